@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..dims import ELEMENTS
 from ..functions.cycles import ring_lists
+from ..functions.rows import let
 
 TOKEN = r"(\[[^\]]+\]|Br|Cl|[BCNOPSFIbcnops]|%[0-9]{2}|[0-9]|[()=#:/\\.$~-])"
 BRACKET = (
@@ -228,16 +229,45 @@ def graph(molecules: DataFrame) -> DataFrame:
     ends = F.transform(
         F.filter("nbrs", lambda x: x["n"] > F.col("idx")), lambda x: F.array(F.col("idx"), x["n"])
     )
-    return rows.groupBy("mol_id").agg(
-        (~F.max("bad")).alias("valid"),
-        F.array_sort(F.collect_list(entry)).alias("atoms"),
-        F.flatten(F.flatten(F.collect_list(ends))).alias("edges"),
+    return (
+        rows.groupBy("mol_id")
+        .agg(
+            (~F.max("bad")).alias("valid"),
+            F.array_sort(F.collect_list(entry)).alias("atoms"),
+            F.flatten(F.flatten(F.collect_list(ends))).alias("edges"),
+        )
+        .withColumn("atoms", let(F.col("atoms"), fold_hydrogens))
     )
 
 
+def fold_hydrogens(at: Column) -> Column:
+    """Written ``[H]`` atoms join the hydrogen count of their neighbour.
+
+    Atom numbers stay; a folded atom keeps its place with an empty element and no bonds.
+    """
+
+    def element(i: Column) -> Column:
+        return F.get(at, i)["el"]
+
+    def one(a: Column) -> Column:
+        extra = F.size(F.filter(a["nbrs"], lambda x: element(x["n"]) == "H"))
+        gone = (a["el"] == "H") & F.exists(a["nbrs"], lambda x: element(x["n"]) != "H")
+        kept = F.filter(a["nbrs"], lambda x: element(x["n"]) != "H")
+        none = F.filter(a["nbrs"], lambda x: F.lit(False))
+        plain = F.when(
+            a["el"] == "H", F.when(gone, a.withField("el", F.lit("")).withField("nbrs", none)).otherwise(a)
+        ).otherwise(a.withField("h", a["h"] + extra).withField("nbrs", kept))
+        return plain
+
+    return F.when(F.exists(at, lambda a: a["el"] == "H"), F.transform(at, one)).otherwise(at)
+
+
 def atom_table(g: DataFrame) -> DataFrame:
     """B2 in long form, valid molecules only."""
-    return g.where("valid").select("mol_id", F.explode("atoms").alias("a")).select("mol_id", "a.*")
+    return (
+        g.where("valid").select("mol_id", F.explode("atoms").alias("a"))
+        .select("mol_id", "a.*").where("el <> ''")
+    )
 
 
 def adjacency(g: DataFrame) -> DataFrame:
@@ -264,13 +294,14 @@ def n_components() -> Column:
 
 
 def n_bonds() -> Column:
-    """Bonds of a graph row, hydrogens included."""
+    """Bonds of a graph row."""
     ends = F.aggregate("atoms", F.lit(0), lambda s, a: s + F.size(a["nbrs"]))
     return (ends / 2).cast("int")
 
 
 def ring_count() -> Column:
-    return n_bonds() - F.size("atoms") + n_components()
+    heavy = F.size(F.filter("atoms", lambda a: a["el"] != ""))
+    return n_bonds() - heavy + n_components()
 
 
 def with_rings(g: DataFrame) -> DataFrame:
@@ -297,52 +328,55 @@ def ring_table(g: DataFrame) -> DataFrame:
     )
 
 
-def atom_at(i: Column) -> Column:
-    return F.get(F.col("atoms"), i)
-
-
-def bond_order(a: Column, b: Column) -> Column:
-    hit = F.filter(atom_at(a)["nbrs"], lambda x: x["n"] == b)
-    return F.get(hit, F.lit(0))["ord"]
-
-
 def mark_kekule(g: DataFrame) -> DataFrame:
     """Rings of 5 or 6 atoms written with alternating double bonds become aromatic.
 
-    Approximation: a 6-ring of C/N/O/S where every atom has exactly one ring or shared double
-    bond, or a 5-ring with two ring double bonds whose fifth atom is N, O or S without one.
-    Double bonds leaving the ring towards a non-ring atom block it.
+    Approximation: a 6-ring where every atom has exactly one double bond, or a 5-ring with
+    two double bonds whose fifth atom is N, O or S without one; at least four atoms must have
+    their double bond inside the ring.  A double bond to an atom outside every ring, or a
+    triple bond, blocks the ring.
     """
-    members = F.flatten("rings")
-
-    def doubles(i: Column) -> Column:
-        return F.filter(atom_at(i)["nbrs"], lambda x: x["ord"] == 2)
 
-    def in_ring_double(i: Column, ring: Column) -> Column:
-        return F.exists(doubles(i), lambda x: F.array_contains(ring, x["n"]))
-
-    def blocked(i: Column) -> Column:
-        return F.exists(doubles(i), lambda x: ~F.array_contains(members, x["n"])) | (
-            F.exists(atom_at(i)["nbrs"], lambda x: x["ord"] > 2)
-        )
-
-    def pi(i: Column) -> Column:
-        return atom_at(i)["arom"] | (F.size(doubles(i)) == 1)
-
-    def flat(ring: Column) -> Column:
-        donors = F.filter(ring, lambda i: ~pi(i))
-        six = (F.size(ring) == 6) & (F.size(donors) == 0)
-        five = (F.size(ring) == 5) & (F.size(donors) == 1) & F.forall(
-            donors, lambda i: atom_at(i)["el"].isin("N", "O", "S")
-        )
-        two = F.size(F.filter(ring, lambda i: atom_at(i)["arom"] | in_ring_double(i, ring))) >= 4
-        return (six | five) & two & ~F.exists(ring, blocked)
-
-    marked = F.flatten(F.filter("rings", flat))
-    return g.withColumn("_flat", marked).withColumn(
-        "atoms",
-        F.transform(
-            "atoms",
-            lambda a: a.withField("arom", a["arom"] | F.array_contains("_flat", a["idx"])),
-        ),
-    ).drop("_flat")
+    def run(at: Column) -> Column:
+        def doubles(i: Column) -> Column:
+            return F.filter(F.get(at, i)["nbrs"], lambda x: x["ord"] == 2)
+
+        def pi(i: Column) -> Column:
+            return F.get(at, i)["arom"] | (F.size(doubles(i)) == 1)
+
+        def flat_rings(members: Column) -> Column:
+            def blocked(i: Column) -> Column:
+                return F.exists(
+                    F.get(at, i)["nbrs"],
+                    lambda x: (x["ord"] > 2) | ((x["ord"] == 2) & ~F.array_contains(members, x["n"])),
+                )
+
+            def flat(ring: Column) -> Column:
+                donors = F.filter(ring, lambda i: ~pi(i))
+                inside = F.filter(
+                    ring,
+                    lambda i: F.get(at, i)["arom"]
+                    | F.exists(doubles(i), lambda x: F.array_contains(ring, x["n"])),
+                )
+                six = (F.size(ring) == 6) & (F.size(donors) == 0)
+                five = (F.size(ring) == 5) & (F.size(donors) == 1) & F.forall(
+                    donors, lambda i: F.get(at, i)["el"].isin("N", "O", "S")
+                )
+                return (six | five) & (F.size(inside) >= 4) & ~F.exists(ring, blocked)
+
+            return F.flatten(F.filter("rings", flat))
+
+        def apply(marked: Column) -> Column:
+            return F.transform(
+                at,
+                lambda a: a.withField("arom", a["arom"] | F.array_contains(marked, a["idx"])),
+            )
+
+        return let(let(F.flatten("rings"), flat_rings), apply)
+
+    return g.withColumn("atoms", F.when(F.size("rings") > 0, let(F.col("atoms"), run)).otherwise(F.col("atoms")))
+
+
+def structures(molecules: DataFrame) -> DataFrame:
+    """``mol_id, valid, atoms, rings``: the input of every molecule-level check."""
+    return mark_kekule(with_rings(graph(molecules)))

@@ -28,7 +28,7 @@ QUERIES = {
     "b8_rings": lambda s, d: G.ring_table(G.with_rings(_g(s, d))),
     "b8_ring_count": lambda s, d: _g(s, d).where("valid").select(
         "mol_id", G.ring_count().alias("n_rings")),
-    "b9_aromatic_from_kekule": lambda s, d: G.atom_table(G.mark_kekule(G.with_rings(_g(s, d))))
+    "b9_aromatic_from_kekule": lambda s, d: G.atom_table(G.structures(view(s, d, "molecules")))
     .where("arom").select("mol_id", "idx"),
     "b10_adjacency": lambda s, d: G.adjacency(_g(s, d)),
 }
@@ -52,7 +52,7 @@ k_ring AS (SELECT mol_id, ring_id FROM k_atom GROUP BY 1, 2, size HAVING NOT boo
     AND bool_and(arom OR nd = 1 OR el IN ('N','O','S'))))),
 k_flat AS (SELECT mol_id, idx FROM g_atom WHERE arom UNION
   SELECT mol_id, idx FROM g_ring JOIN k_ring USING (mol_id, ring_id)),
-k_at AS (SELECT t.mol_id, t.idx, t.comp, t.el, t.charge, t.deg, t.s, t.h, f.idx IS NOT NULL AS arom
+k_at AS (SELECT t.mol_id, t.idx, t.comp, t.el, t.charge, t.deg, t.h, f.idx IS NOT NULL AS arom
   FROM g_atom t JOIN g_valid v ON v.mol_id = t.mol_id AND v.valid
   LEFT JOIN k_flat f ON f.mol_id = t.mol_id AND f.idx = t.idx)"""
 

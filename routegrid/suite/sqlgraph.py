@@ -38,10 +38,10 @@ g_dig AS (SELECT mol_id, pos, idx, prv, CAST(replace(tok, '%', '') AS INT) AS la
   FROM g_tok WHERE is_digit),
 g_close AS (SELECT mol_id, lab, (rn + 1) // 2 AS pair, min(idx) AS a, max(idx) AS b, count(*) AS n,
   max({_ORD.format('prv')}) AS ord FROM g_dig GROUP BY 1, 2, 3),
-g_bond AS (SELECT mol_id, a, b, ord FROM g_chain UNION ALL
+g_bond0 AS (SELECT mol_id, a, b, ord FROM g_chain UNION ALL
   SELECT mol_id, a, b, ord FROM g_close WHERE n = 2),
-g_adj AS (SELECT mol_id, a, b, ord FROM g_bond UNION ALL SELECT mol_id, b, a, ord FROM g_bond),
-g_sum AS (SELECT mol_id, a AS idx, CAST(sum(ord) AS INT) AS s, count(*) AS deg, count(DISTINCT b) AS nd FROM g_adj GROUP BY 1, 2),
+g_adj0 AS (SELECT mol_id, a, b, ord FROM g_bond0 UNION ALL SELECT mol_id, b, a, ord FROM g_bond0),
+g_sum AS (SELECT mol_id, a AS idx, CAST(sum(ord) AS INT) AS s, count(*) AS deg, count(DISTINCT b) AS nd FROM g_adj0 GROUP BY 1, 2),
 g_sym AS (SELECT mol_id, pos, idx, comp, tok, tok LIKE '[%' AS br,
   CASE WHEN tok LIKE '[%' THEN regexp_extract(tok, '{BRACKET}', 1) ELSE tok END AS sym,
   regexp_extract(tok, '{BRACKET}', 3) AS hs, regexp_extract(tok, '{BRACKET}', 4) AS sg
@@ -52,10 +52,20 @@ g_at AS (SELECT y.mol_id, y.idx, y.comp, br, upper(sym[1]) || lower(sym[2:]) AS
   CASE WHEN NOT br THEN NULL WHEN hs = '' THEN 0 WHEN hs = 'H' THEN 1 ELSE TRY_CAST(hs[2:] AS INT) END AS written,
   coalesce(s, 0) AS s, coalesce(deg, 0) AS deg, coalesce(nd, 0) AS nd, tok
   FROM g_sym y LEFT JOIN g_sum USING (mol_id, idx)),
-g_atom AS (SELECT mol_id, idx, comp, el, arom, CAST(charge AS INT) AS charge, deg, s, nd, br, tok, written,
+g_atom0 AS (SELECT mol_id, idx, comp, el, arom, CAST(charge AS INT) AS charge, deg, s, nd, br, tok, written,
   CAST(coalesce(written, CASE WHEN arom THEN greatest({_VALENCE} - s - 1, 0)
     ELSE greatest(CASE WHEN el IN ('P','N') AND s > 3 THEN 5 WHEN el = 'S' AND s > 4 THEN 6
-      WHEN el = 'S' AND s > 2 THEN 4 ELSE {_VALENCE} END - s, 0) END) AS INT) AS h FROM g_at),
+      WHEN el = 'S' AND s > 2 THEN 4 ELSE {_VALENCE} END - s, 0) END) AS INT) AS h0 FROM g_at),
+g_fold AS (SELECT DISTINCT x.mol_id, x.a AS idx FROM g_adj0 x JOIN g_atom0 m ON m.mol_id = x.mol_id AND m.idx = x.a
+  JOIN g_atom0 o ON o.mol_id = x.mol_id AND o.idx = x.b WHERE m.el = 'H' AND o.el <> 'H'),
+g_adj AS (SELECT * FROM g_adj0 ANTI JOIN g_fold f ON f.mol_id = g_adj0.mol_id AND f.idx = g_adj0.a
+  WHERE NOT EXISTS (SELECT 1 FROM g_fold k WHERE k.mol_id = g_adj0.mol_id AND k.idx = g_adj0.b)),
+g_bond AS (SELECT * FROM g_adj WHERE a < b),
+g_eh AS (SELECT x.mol_id, x.a AS idx, count(*) AS n FROM g_adj0 x JOIN g_fold f ON f.mol_id = x.mol_id AND f.idx = x.b GROUP BY 1, 2),
+g_deg AS (SELECT mol_id, a AS idx, CAST(count(*) AS INT) AS d FROM g_adj GROUP BY 1, 2),
+g_atom AS (SELECT t.mol_id, t.idx, comp, el, arom, charge, coalesce(d, 0) AS deg,
+  CAST(h0 + coalesce(n, 0) AS INT) AS h FROM g_atom0 t LEFT JOIN g_eh USING (mol_id, idx) LEFT JOIN g_deg USING (mol_id, idx)
+  WHERE NOT EXISTS (SELECT 1 FROM g_fold k WHERE k.mol_id = t.mol_id AND k.idx = t.idx)),
 g_bad AS (
   SELECT mol_id FROM g_list WHERE smiles IS NULL OR array_to_string(toks, '') <> smiles
   UNION SELECT mol_id FROM g_tok WHERE (is_bond AND (nxt IS NULL OR nxt IN {_SYM} OR nxt IN ('(', ')', '.')))
@@ -64,7 +74,7 @@ g_bad AS (
     OR (tok = '.' AND (nxt IS NULL OR prv = '(')) OR (is_digit AND prv IN ('(', '.'))
     OR depth < 0 OR (nxt IS NULL AND depth <> 0) OR (tok LIKE '[%' AND NOT regexp_matches(tok, '{BRACKET}'))
   UNION SELECT mol_id FROM g_close WHERE n <> 2 OR a = b
-  UNION SELECT mol_id FROM g_atom WHERE nd < deg OR s + coalesce(written, 0) > CASE
+  UNION SELECT mol_id FROM g_atom0 WHERE nd < deg OR s + coalesce(written, 0) > CASE
     WHEN el = 'C' THEN 4 - abs(charge) WHEN el = 'N' THEN CASE WHEN charge = 0 THEN 5 ELSE 3 + charge END
     WHEN el = 'O' THEN 2 + charge WHEN el = 'B' THEN 3 - charge
     WHEN el IN ('F','Cl','Br','I','H') THEN 1 + abs(charge) WHEN el = 'P' THEN 5 + abs(charge)
