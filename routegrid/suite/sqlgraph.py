@@ -82,7 +82,7 @@ g_bad AS (
 g_valid AS (SELECT mol_id, mol_id NOT IN (SELECT mol_id FROM g_bad) AS valid FROM {source})"""
 
 
-def ring_ctes(source: str = "molecules") -> str:
+def ring_ctes() -> str:
     """CTE g_ring(mol_id, ring_id, size, place, idx): simple cycles of valid molecules,
     shortest first, kept while outside the span of the earlier ones (edge sets as bit
     masks)."""
@@ -97,30 +97,35 @@ r_path AS (
   UNION ALL
   SELECT p.mol_id, p.start, e.b, list_append(p.path, e.b) FROM r_path p JOIN r_core e
     ON e.mol_id = p.mol_id AND e.a = p.tip WHERE e.b > p.start AND NOT list_contains(p.path, e.b)),
-r_cyc AS (SELECT p.mol_id, p.path FROM r_path p JOIN r_core e ON e.mol_id = p.mol_id AND e.a = p.tip
-  AND e.b = p.start WHERE len(p.path) > 2 AND p.path[2] < p.path[-1]),
-r_edge AS (SELECT mol_id, a, b, row_number() OVER (PARTITION BY mol_id ORDER BY a, b) - 1 AS bit
-  FROM r_core WHERE a < b),
-r_step AS (SELECT mol_id, path, unnest(path) AS u, unnest(list_append(path[2:], path[1])) AS v FROM r_cyc),
-r_mask AS (SELECT s.mol_id, s.path, sum(CAST(1 AS HUGEINT) << e.bit) AS mask FROM r_step s JOIN r_edge e
-  ON e.mol_id = s.mol_id AND e.a = least(u, v) AND e.b = greatest(u, v) GROUP BY 1, 2),
-r_ord AS (SELECT mol_id, path, CAST(mask AS HUGEINT) AS mask,
-  row_number() OVER (PARTITION BY mol_id ORDER BY len(path), list_sort(path)) AS k FROM r_mask),
+r_cyc AS (SELECT p.mol_id, t.comp, p.path FROM r_path p JOIN r_core e ON e.mol_id = p.mol_id AND e.a = p.tip
+  AND e.b = p.start JOIN g_atom t ON t.mol_id = p.mol_id AND t.idx = p.start
+  WHERE len(p.path) > 2 AND p.path[2] < p.path[-1]),
+r_step AS (SELECT mol_id, comp, path, least(u, v) AS a, greatest(u, v) AS b FROM (
+  SELECT mol_id, comp, path, unnest(path) AS u, unnest(list_append(path[2:], path[1])) AS v FROM r_cyc)),
+r_edge AS (SELECT mol_id, a, b, row_number() OVER (PARTITION BY mol_id, comp ORDER BY a, b) - 1 AS bit
+  FROM (SELECT DISTINCT mol_id, comp, a, b FROM r_step)),
+r_mask AS (SELECT mol_id, comp, path, sum(CAST(1 AS HUGEINT) << bit) AS mask FROM r_step JOIN r_edge
+  USING (mol_id, a, b) GROUP BY 1, 2, 3),
+r_ord AS (SELECT mol_id, comp, path, CAST(mask AS HUGEINT) AS mask,
+  row_number() OVER (PARTITION BY mol_id, comp ORDER BY len(path), list_sort(path)) AS k FROM r_mask),
 r_pick AS (
-  SELECT mol_id, k, path, true AS keep, [CAST(0 AS HUGEINT), mask] AS span FROM r_ord WHERE k = 1
+  SELECT mol_id, comp, k, path, true AS keep, [CAST(0 AS HUGEINT), mask] AS span FROM r_ord WHERE k = 1
   UNION ALL
-  SELECT o.mol_id, o.k, o.path, NOT list_contains(p.span, o.mask),
+  SELECT o.mol_id, o.comp, o.k, o.path, NOT list_contains(p.span, o.mask),
     CASE WHEN list_contains(p.span, o.mask) THEN p.span
       ELSE list_concat(p.span, list_transform(p.span, lambda x: xor(x, o.mask))) END
-  FROM r_pick p JOIN r_ord o ON o.mol_id = p.mol_id AND o.k = p.k + 1),
-r_kept AS (SELECT mol_id, path, row_number() OVER (PARTITION BY mol_id ORDER BY k) - 1 AS ring_id
+  FROM r_pick p JOIN r_ord o ON o.mol_id = p.mol_id AND o.comp = p.comp AND o.k = p.k + 1),
+r_kept AS (SELECT mol_id, path, row_number() OVER (PARTITION BY mol_id ORDER BY len(path), list_sort(path)) - 1 AS ring_id
   FROM r_pick WHERE keep),
 g_ring AS (SELECT mol_id, CAST(ring_id AS INT) AS ring_id, CAST(len(path) AS INT) AS size,
   CAST(generate_subscripts(path, 1) - 1 AS INT) AS place, unnest(path) AS idx FROM r_kept)"""
 
 
-def graph_sql(select: str, rings: bool = False, extra: str = "", views: tuple[str, ...] = ("molecules",)) -> str:
-    parts = [with_views(*views), graph_ctes()]
+def graph_sql(
+    select: str, rings: bool = False, extra: str = "", source: str = "molecules", pre: str | None = None
+) -> str:
+    """A query over the graph CTEs of ``source``; ``pre`` holds the CTEs that define it."""
+    parts = [pre or with_views("molecules"), graph_ctes(source)]
     if rings:
         parts.append(ring_ctes())
     if extra:
