@@ -28,19 +28,36 @@ def _ring_core(pairs: list[tuple[int, int]]) -> dict[int, set[int]]:
     return near
 
 
-def minimum_cycles(pairs: list[tuple[int, int]]) -> list[list[int]]:
-    """Minimum cycle basis of one molecule, each cycle as atoms in ring order.
+def _systems(near: dict[int, set[int]]):
+    """Connected parts of the ring core: each a set of atoms."""
+    left = set(near)
+    while left:
+        todo = [left.pop()]
+        part = set(todo)
+        while todo:
+            for u in near[todo.pop()]:
+                if u not in part:
+                    part.add(u)
+                    todo.append(u)
+        left -= part
+        yield part
 
-    Candidates are the shortest cycles through a vertex and an edge; they are taken shortest
-    first while independent over GF(2).  A cycle starts at its lowest atom and runs towards
-    the lower of that atom's two ring neighbours.
-    """
-    near = _ring_core(pairs)
-    edges = sorted((a, b) for a in near for b in near[a] if a < b)
-    bit = {e: 1 << i for i, e in enumerate(edges)}
-    found: dict[tuple[int, tuple[int, ...]], list[int]] = {}
-    for root in near:
-        back, queue = {root: None}, [root]
+
+def _walk(near: dict[int, set[int]], part: set[int]) -> list[int]:
+    """Atoms of a part that is one plain ring."""
+    start = min(part)
+    ring, last, at = [start], start, min(near[start])
+    while at != start:
+        ring.append(at)
+        at, last = next(u for u in near[at] if u != last), at
+    return ring
+
+
+def _candidates(near: dict[int, set[int]], part: set[int], edges: list[tuple[int, int]]):
+    """Shortest cycles through a vertex and an edge of one part."""
+    for root in part:
+        back: dict[int, int | None] = {root: None}
+        queue = [root]
         for v in queue:
             for u in sorted(near[v]):
                 if u not in back:
@@ -54,29 +71,47 @@ def minimum_cycles(pairs: list[tuple[int, int]]) -> list[list[int]]:
                 v = back[v]
             return out
 
+        trails = {v: trail(v) for v in part}
         for a, b in edges:
-            if a in back and b in back and back[a] != b and back[b] != a:
-                left, right = trail(a), trail(b)
-                if set(left) & set(right) == {root}:
-                    ring = left[::-1] + right[:-1]
-                    found[(len(ring), tuple(sorted(ring)))] = ring
-    basis: dict[int, int] = {}
+            if back[a] != b and back[b] != a:
+                left, right = trails[a], trails[b]
+                if len(set(left) & set(right)) == 1:
+                    yield left[::-1] + right[:-1]
+
+
+def minimum_cycles(pairs: list[tuple[int, int]]) -> list[list[int]]:
+    """Minimum cycle basis of one molecule, each cycle as atoms in ring order.
+
+    Every connected part of the ring core is solved on its own: a part with as many bonds as
+    atoms is one ring; otherwise candidate cycles are taken shortest first while independent
+    over GF(2).  A cycle starts at its lowest atom and runs towards the lower of that atom's
+    two ring neighbours; rings are listed by size, then atoms.
+    """
+    near = _ring_core(pairs)
     out = []
-    for key in sorted(found):
-        ring = found[key]
-        vec = 0
-        for a, b in zip(ring, ring[1:] + ring[:1]):
-            vec ^= bit[(a, b) if a < b else (b, a)]
-        while vec and (vec.bit_length() in basis):
-            vec ^= basis[vec.bit_length()]
-        if vec:
-            basis[vec.bit_length()] = vec
-            at = ring.index(min(ring))
-            turned = ring[at:] + ring[:at]
-            if turned[1] > turned[-1]:
-                turned = turned[:1] + turned[:0:-1]
-            out.append(turned)
-    return out
+    for part in _systems(near):
+        edges = sorted((a, b) for a in part for b in near[a] if a < b)
+        if len(edges) == len(part):
+            out.append(_walk(near, part))
+            continue
+        bit = {e: 1 << i for i, e in enumerate(edges)}
+        found = {(len(r), tuple(sorted(r))): r for r in _candidates(near, part, edges)}
+        basis: dict[int, int] = {}
+        for key in sorted(found):
+            ring = found[key]
+            vec = 0
+            for a, b in zip(ring, ring[1:] + ring[:1]):
+                vec ^= bit[(a, b) if a < b else (b, a)]
+            while vec and vec.bit_length() in basis:
+                vec ^= basis[vec.bit_length()]
+            if vec:
+                basis[vec.bit_length()] = vec
+                at = ring.index(min(ring))
+                turned = ring[at:] + ring[:at]
+                out.append(turned if turned[1] < turned[-1] else turned[:1] + turned[:0:-1])
+            if len(basis) == len(edges) - len(part) + 1:
+                break
+    return sorted(out, key=lambda r: (len(r), sorted(r)))
 
 
 def _per_batch(flat: pd.Series) -> pd.Series:

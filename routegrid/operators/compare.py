@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import GROUP_NAMES, SCORE_MESSAGES
-from ..functions.rows import count_if, let
+from ..functions.rows import count_if, let, total
 from ..plans.staging import stage
 from .graph import n_bonds, n_components, structures
 from .molecule import environment_hashes, heavy
@@ -193,6 +193,77 @@ def compare_table(pairs: DataFrame, features: DataFrame | None = None) -> DataFr
     )
 
 
+def _sum_entries(parts: Column) -> Column:
+    entries = F.flatten(F.transform(parts, lambda p: p["els"]))
+    return let(entries, lambda all_: F.map_from_entries(F.transform(
+        F.array_distinct(F.transform(all_, lambda e: e["key"])),
+        lambda k: F.struct(k, total(F.filter(all_, lambda e: e["key"] == k), lambda e: e["value"])))))
+
+
+def _joined_features(parts: Column) -> Column:
+    """Features of dot-joined molecules from the features of each."""
+
+    def groups(p: Column, i: Column) -> Column:
+        def earlier(size: Column) -> Column:
+            return total(F.slice(parts, 1, i), lambda q: count_if(q["marks"], lambda m: m["size"] == size))
+
+        return F.transform(p["groups"], lambda g: g.withField("nth", g["nth"] + earlier(g["size"])))
+
+    return F.struct(
+        _sum_entries(parts).alias("els"),
+        F.flatten(F.transform(parts, lambda p: p["ring_sizes"])).alias("ring_sizes"),
+        total(parts, lambda p: p["n_arom"]).alias("n_arom"),
+        total(parts, lambda p: p["n_bonds"]).alias("n_bonds"),
+        total(parts, lambda p: p["n_frag"]).alias("n_frag"),
+        F.flatten(F.transform(parts, groups)).alias("groups"),
+        F.flatten(F.transform(parts, lambda p: p["marks"])).alias("marks"),
+        F.flatten(F.transform(parts, lambda p: p["envs"])).alias("envs"),
+    )
+
+
+def pathway_table(pathways: DataFrame, features: DataFrame | None = None) -> DataFrame:
+    """`compare_table` for ``pathways(target, rank, reactants)``: dot-joined reactants
+    against the target.
+
+    Molecules are analysed one by one and their features added up, so a molecule used by
+    many pathways costs once.  Only where a reactant cannot be read alone (its ring digits
+    may close in another one) is the joined text analysed as a whole.
+    """
+    key = ["target", "rank"]
+    parts = pathways.select(*key, F.posexplode("reactants").alias("place", "smiles"))
+    if features is None:
+        texts = parts.select("smiles").union(pathways.select("target"))
+        features = stage(text_features(text_structures(texts)))
+    part = F.struct(
+        "place", F.col("els").isNotNull().alias("ok"), F.map_entries("els").alias("els"),
+        *[c for c in _FEATURES if c != "els"])
+    gathered = (
+        parts.withColumn("mol_id", F.md5("smiles")).join(features, "mol_id", "left")
+        .groupBy(*key).agg(
+            F.array_sort(F.collect_list(part)).alias("parts"), F.min(F.col("els").isNotNull()).alias("readable"),
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "smiles"))), lambda x: x["smiles"]), ".").alias("reactant"),
+        )
+    )
+    gathered = stage(gathered)
+    whole = text_features(text_structures(gathered.where("NOT readable").select(F.col("reactant").alias("smiles"))))
+    added = let(F.when(F.col("readable"), F.col("parts")), lambda p: F.when(p.isNotNull(), _joined_features(p)))
+
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        return df.select(F.col("mol_id").alias(f"{tag}_key"), F.struct(*_FEATURES).alias(f"{tag}_f"))
+
+    rows = (
+        gathered.withColumn("w_key", F.when(~F.col("readable"), F.md5("reactant")))
+        .withColumn("p_key", F.md5("target"))
+        .join(side(whole, "w"), "w_key", "left").join(side(features, "p"), "p_key", "left")
+        .withColumn("r_f", F.when(F.col("readable"), added).otherwise(F.col("w_f")))
+    )
+    return rows.select(
+        *key, "reactant", F.col("target").alias("product"),
+        *[F.col(f"{t}_f.{c}").alias(f"{t}_{c}") for t in ("r", "p") for c in _FEATURES],
+        (F.col("r_f.els").isNotNull() & F.col("p_f.els").isNotNull()).alias("both_valid"),
+    )
+
+
 def atom_diffs() -> Column:
     """D1 per pair: elements whose counts differ."""
     all_els = F.array_union(F.map_keys("r_els"), F.map_keys("p_els"))
@@ -286,10 +357,8 @@ def consistency_scores(table: DataFrame) -> DataFrame:
 
 def consistency_filter(pathways: DataFrame) -> DataFrame:
     """``pathways(target, rank, reactants)``; keeps those scored low or medium risk."""
-    pairs = pathways.select(
-        "*", F.array_join("reactants", ".").alias("reactant"), F.col("target").alias("product"))
-    kept = consistency_scores(compare_table(pairs)).where(F.col("severity").isin("low", "medium"))
-    return kept.select(*pathways.columns)
+    kept = consistency_scores(pathway_table(pathways)).where(F.col("severity").isin("low", "medium"))
+    return pathways.join(kept.select("target", "rank"), ["target", "rank"], "left_semi")
 
 
 def position_pairs(table: DataFrame) -> DataFrame:

@@ -27,9 +27,12 @@ ATOM_TYPE = (
 def tokenize(molecules: DataFrame) -> DataFrame:
     """B1: (mol_id, covered, pos, tok); a text without tokens keeps one row with NULL."""
     toks = F.regexp_extract_all("smiles", F.lit(TOKEN), F.lit(1))
+    # The partition number is explicit because the texts are small but the work per byte is
+    # not: AQE would merge them by size into a few tasks.
+    n = int(molecules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         molecules.select("mol_id", "smiles")
-        .repartition("mol_id")
+        .repartition(n, "mol_id")
         .select("mol_id", "smiles", toks.alias("toks"))
         .select(
             "mol_id", "toks",
