@@ -81,6 +81,7 @@ def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Evaluate a one-table SELECT over a driver table."""
     used = [t for t in TABLES if f"FROM {t}" in sql or f"JOIN {t}" in sql]
     tables = {t: load(spark, sf_dir, t) for t in used}
+    sql = sql.replace("{", "{{").replace("}", "}}")  # spark.sql formats its text
     for t in used:
         sql = sql.replace(f"FROM {t}", "FROM {" + t + "}").replace(f"JOIN {t}", "JOIN {" + t + "}")
     return spark.sql(sql, **tables)

@@ -12,6 +12,8 @@ _WANTED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # groups here are single atoms or molecules: many and small
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
 }
 
 
