@@ -41,7 +41,7 @@ def split_cot(text: Column) -> Column:
     """struct(status, thinking, json) of the tagged layout."""
     thoughts = tagged(text, "cot", 6)
     steps = F.transform(
-        F.slice(F.split(thoughts, "<thinking"), 2, 2147483647),
+        F.slice(F.split(thoughts, "<thinking"), F.lit(2), F.size(F.split(thoughts, "<thinking"))),
         lambda s: between(s, F.lit(0), find(s, "</thinking>")),
     )
     ok = (thoughts != "") & (F.size(F.split(thoughts, "<thinking")) > 1) & (json_body(text) != "")
