@@ -78,11 +78,11 @@ def expand_routes(
             "route_id", F.col("path").alias("parent"), (F.col("depth") + 1).alias("depth"),
             F.array_append("line", F.col("smiles")).alias("line"), F.col("smiles").alias("target"))
         rows = parents.join(best.select("target", "ord", "smiles"), "target").select(
-            "route_id", F.array_append("parent", F.col("ord").cast("int")).alias("path"), "parent", "depth", "line", "smiles")
+            "route_id", F.array_append("parent", F.col("ord").cast("bigint")).alias("path"), "parent", "depth", "line", "smiles")
         return judge(rows)
 
     root = targets.select(
-        "route_id", F.array().cast("array<int>").alias("path"), F.lit(None).cast("array<int>").alias("parent"),
+        "route_id", F.array().cast("array<bigint>").alias("path"), F.lit(None).cast("array<bigint>").alias("parent"),
         F.lit(0).alias("depth"), F.array().cast("array<string>").alias("line"), "smiles")
     return union_all(grow(judge(root), children)).drop("line")
 
@@ -151,7 +151,7 @@ def enrich_steps(
     last = molecules.groupBy(*key).agg(F.max("ord").alias("_last"))
     added = (
         reagents.join(last, key, "left")
-        .select(*key, (F.coalesce("_last", F.lit(-1)) + 1 + F.col("ord")).cast("int").alias("ord"), "smiles",
+        .select(*key, (F.coalesce("_last", F.lit(-1)) + 1 + F.col("ord")).cast("bigint").alias("ord"), "smiles",
                 F.lit("reagent").alias("role"))
     )
     full = steps.join(conditions, key, "left").join(literature, key, "left")

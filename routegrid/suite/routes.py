@@ -12,7 +12,7 @@ from ..plans.ranking import numbered
 CUST = smiles_of("{0}", "{0}")
 TARGETS = f"SELECT c_custkey AS route_id, {CUST.format('c_custkey')} AS smiles FROM customer"
 STOCK = f"SELECT {PART_SMILES} AS smiles FROM part WHERE p_size <= 35"
-CAND = (f"SELECT {CUST.format('o_custkey')} AS target, o_orderkey AS rank, (l_linenumber * 1000000 + l_partkey) AS ord, {CUST.format('l_partkey')} AS smiles, "
+CAND = (f"SELECT {CUST.format('o_custkey')} AS target, o_orderkey AS rank, (cast(l_linenumber AS bigint) * 1000000000000 + l_partkey) AS ord, {CUST.format('l_partkey')} AS smiles, "
         "0.1 + (o_orderkey % 8) / 10.0 AS confidence FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 # the place of a reactant must be unique in its order: line number, then part
 DEPTH = 6
