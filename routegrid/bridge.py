@@ -29,7 +29,7 @@ POOL = [
     "CC.CO.O", "Cc1ccc[nH]1", "C/C=C/C", "C[C@H](N)C(=O)O", "CC1CCCCCC1", "CC1CCCCCCC1",
     "Cc1ccc(C)cc1", "Cc1cccc(Cl)c1", "Cc1ccccc1Br", "CC1CC2OC2C1", "C[N+](=O)[O-]",
     "CS(=O)(=O)C", "CP(=O)(O)O", "C%10CCCC%10", "CC([H])([H])C", "Cc1ccc(Cl)c(C)c1",
-    "C1C[C]1", "C1CC1", "CCOC", "CC(=O)OC(C)C", "CNC(=O)c1ccc(C#N)cc1", "Cc1ccoc1C",
+    "C1C[C]1", "C1CC1", "CCOC", "CC(=O)OC(C)C", "C1C2CC1C2", "CC1=CC2=CC=CC2=C1", "CNC(=O)c1ccc(C#N)cc1", "Cc1ccoc1C",
     "C1CC", "C(C", "C(C)(C)(C)(C)C", "Cx", "CC)C", "C=",
 ]
 

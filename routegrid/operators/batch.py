@@ -19,7 +19,7 @@ def sweep(molecules: DataFrame, folders: list[str], runs: int, models: DataFrame
     rows = molecules.select("*", F.explode(cells).alias("c")).select(*molecules.columns, "c.*")
     parts = F.split("folder", ":")
     keyed = rows.withColumn("model_key", parts[0]).withColumn("version", F.get(parts, F.lit(1)))
-    return keyed.join(F.broadcast(models), "model_key", "left")
+    return keyed.join(models, "model_key", "left")
 
 
 def isolate_errors(df: DataFrame, ok: Column, error: Column) -> DataFrame:
@@ -51,7 +51,7 @@ def resolve_requests(requests: DataFrame, models: DataFrame, defaults: dict, ver
     filled = (
         requests.withColumn("model_key", F.coalesce("model_type", F.lit(defaults["model_type"])))
         .withColumn("version", F.coalesce("model_version", F.lit(defaults["model_version"])))
-        .join(F.broadcast(models), "model_key", "left")
+        .join(models, "model_key", "left")
     )
     flags = [("advanced_prompt", "supports_advanced_prompt"), ("stability_flag", "supports_stability_check"),
              ("hallucination_check", "supports_hallucination_check")]

@@ -104,7 +104,7 @@ def class_scalability(names: DataFrame, classes: DataFrame) -> tuple[DataFrame,
     """(matched with scalability, unmatched), by lower-case name."""
     known = classes.select(F.lower("name").alias("_n"), "code", "scalability")
     keyed = names.withColumn("_n", F.lower("name"))
-    return keyed.join(F.broadcast(known), "_n").drop("_n"), keyed.join(F.broadcast(known), "_n", "left_anti").drop("_n")
+    return keyed.join(known, "_n").drop("_n"), keyed.join(known, "_n", "left_anti").drop("_n")
 
 
 def describe(df: DataFrame) -> DataFrame:

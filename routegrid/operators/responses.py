@@ -19,11 +19,8 @@ MISSING_METADATA = 404
 
 
 def split_answers(responses: DataFrame, families: DataFrame) -> DataFrame:
-    """adds ``status, thinking, json`` by the model's answer family.
-
-    The family table is a fixed list of a few model names.
-    """
-    known = responses.join(F.broadcast(families), "model", "left")
+    """adds ``status, thinking, json`` by the model's answer family."""
+    known = responses.join(families, "model", "left")
     return known.withColumn("_a", split_for(F.col("text"), F.col("family"))).select(
         *responses.columns, "_a.*")
 
@@ -106,7 +103,7 @@ def first_good_attempt(
 def explain_status(df: DataFrame, codes: DataFrame, column: str = "status") -> DataFrame:
     """F8."""
     known = codes.withColumnRenamed("code", column)
-    return df.join(F.broadcast(known), column, "left").withColumn(
+    return df.join(known, column, "left").withColumn(
         "description", F.coalesce("description", F.lit("not recognized")))
 
 
@@ -117,9 +114,9 @@ def choose_prompt(requests: DataFrame, families: DataFrame, templates: DataFrame
     so they use the tagged layout.
     """
     marked = requests.withColumn("advanced", F.coalesce(F.get(F.split("model", ":"), F.lit(1)) == "adv", F.lit(False)))
-    named = marked.join(F.broadcast(families), "model", "left").withColumn(
+    named = marked.join(families, "model", "left").withColumn(
         "family", F.coalesce("family", F.lit("tagged")))
-    return named.join(F.broadcast(templates), ["advanced", "family"], "left")
+    return named.join(templates, ["advanced", "family"], "left")
 
 
 def build_messages(prompts: DataFrame, seven_ring_note: str, group_note: str) -> DataFrame:

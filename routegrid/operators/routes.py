@@ -163,7 +163,7 @@ def reaction_type(pairs: DataFrame, predictions: DataFrame, classes: DataFrame)
     named = classes.select("code", "name")
     return (
         pairs.join(predictions.select("pair_id", F.col("prediction").cast("int").alias("code")), "pair_id", "left")
-        .join(F.broadcast(named), "code", "left")
+        .join(named, "code", "left")
         .select("pair_id", F.coalesce("name", F.lit("Unknown Reaction")).alias("name"),
                 F.when(F.col("name").isNull(), -1).otherwise(F.col("code")).alias("code"))
     )
@@ -172,7 +172,7 @@ def reaction_type(pairs: DataFrame, predictions: DataFrame, classes: DataFrame)
 def scalability_index(df: DataFrame, classes: DataFrame, column: str = "code") -> DataFrame:
     """As text; ``N/A`` for an unknown class."""
     known = classes.select(F.col("code").alias(column), F.col("scalability").cast("string").alias("scalability"))
-    return df.join(F.broadcast(known), column, "left").withColumn(
+    return df.join(known, column, "left").withColumn(
         "scalability", F.coalesce("scalability", F.lit("N/A")))
 
 

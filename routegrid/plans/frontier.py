@@ -34,12 +34,10 @@ def union_all(levels: list[DataFrame]) -> DataFrame:
 def closure(start: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """Nodes reached from ``start(*keys, node)`` over ``edges(*keys, node, next)``, start
     included.  Each level keeps only nodes not seen before, so cycles end."""
-    seen = stage(start.select(*keys, "node").distinct())
-    frontier = seen
+    levels = [stage(start.select(*keys, "node").distinct())]
     while True:
-        found = frontier.join(edges, keys + ["node"]).select(*keys, edges["next"].alias("node")).distinct()
-        fresh = stage(found.join(seen, keys + ["node"], "left_anti"))
+        found = levels[-1].join(edges, keys + ["node"]).select(*keys, edges["next"].alias("node")).distinct()
+        fresh = stage(found.join(union_all(levels), keys + ["node"], "left_anti"))
         if fresh.isEmpty():
-            return seen
-        seen = stage(seen.unionByName(fresh))
-        frontier = fresh
+            return union_all(levels)
+        levels.append(fresh)

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -18,9 +19,10 @@ from ..operators import routes as R
 from ..plans.ranking import numbered
 from ..plans.staging import checkpoint_root, stage
 from ..sources import readers, writers
+from .compare import SIDES
 from .graph import KEKULE
 from .molecule import FORMULA, KEYS, LABELS
-from .routes import _flat
+from .routes import _flat, _route
 from .sqlgraph import graph_sql
 
 
@@ -45,7 +47,7 @@ def _compute(s, d):
         lambda m: m.withColumn("result", unmask_groups(F.col("smiles"))))
 
 
-_KEY = "'plain:' || md5('{\"smiles\":\"' || replace(smiles, '/', '/') || '\"}')"
+_KEY = "'plain:' || md5('{\"smiles\":\"' || smiles || '\"}')"
 
 # --- evaluation -----------------------------------------------------------------------
 TRUE_PARTS = f"SELECT l_orderkey AS id, l_linenumber AS place, l_partkey AS pk, {smiles_of('l_partkey', 'l_partkey')} AS smiles FROM lineitem"
@@ -146,7 +148,7 @@ def _isolated(s, d):
 
 # --- classification -------------------------------------------------------------------
 RXN = (f"SELECT p_partkey AS id, concat({PART_SMILES}, CASE WHEN p_size = 50 THEN '' ELSE '>>' END, {smiles_of('p_partkey', '(p_partkey + p_size % 5)')}) AS rxn, p_type AS rxn_class, "
-       "CASE WHEN p_retailprice > 1000 THEN 'test' ELSE 'train' END AS split FROM part")
+       "CASE WHEN p_size > 30 THEN 'test' ELSE 'train' END AS split FROM part")
 NAMES = "SELECT p_partkey, CASE WHEN p_size < 40 THEN upper(" + pool_of("p_partkey", [n for _, _, n, _ in dims.REACTION_CLASSES]) + ") ELSE p_name END AS name FROM part"
 
 
@@ -249,7 +251,7 @@ QUERIES = {
     "i2_memo_additions": lambda s, d: _compute(s, d)[1],
     "i3_clear_all": lambda s, d: I.clear_all(_memo(s, d)),
     "i4_evict": lambda s, d: I.evict(_memo(s, d), "c1ccc"),
-    "i4_evict_all": lambda s, d: I.evict_all(_memo(s, d), derive(s, d, f"SELECT concat('F', {pool_of('n_nationkey')}) AS smiles FROM nation")),
+    "i4_evict_all": lambda s, d: I.evict_all(_memo(s, d), derive(s, d, f"SELECT concat('C(F)', {pool_of('n_nationkey')}) AS smiles FROM nation")),
     "j1_first_step": lambda s, d: J.first_step(*reversed(_flat(s, d)))[0],
     "j2_attach_results": lambda s, d: J.attach_results(
         load(s, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey"),
@@ -271,7 +273,7 @@ QUERIES = {
     "k2_encode_class": lambda s, d: K.encode_class(_rxn(s, d)).select("id", F.col("label").cast("int").alias("label")),
     "k3_split_reaction": lambda s, d: K.split_reaction(_rxn(s, d)).select("id", "input", "output", "n_parts"),
     "k4_fingerprints": lambda s, d: _prints(s, d).select("id", F.size("input_bits").alias("n_input"), F.size("output_bits").alias("n_output")),
-    "k5_features": lambda s, d: K.features(_prints(s, d)).select("id", F.expr("size(input_bits) + size(output_bits)").alias("n_set")),
+    "k5_features": lambda s, d: K.features(_prints(s, d)).select("id", F.size(F.filter(vector_to_array("features"), lambda x: x > 0)).alias("n_set")),
     "k7_predict": _predictions,
     "k8_class_report": lambda s, d: K.class_report(_votes(s, d)),
     "k8_accuracy": lambda s, d: K.accuracy(_votes(s, d)),
@@ -302,6 +304,11 @@ sc AS (SELECT id, CAST(nt = coalesce(np, 0) AND coalesce(nc, 0) > 0 AS INT) AS a
   FROM (SELECT id, count(*) AS nt FROM tr GROUP BY 1) LEFT JOIN (SELECT id, count(*) AS np, count(*) FILTER (WHERE (id, mol) IN (SELECT (id, mol) FROM tr)) AS nc FROM pr GROUP BY 1) USING (id))"""
 
 
+PRINTS = f"""{KEKULE},{LABELS}, rxn AS (SELECT p_partkey AS id FROM part WHERE p_size <> 50),
+fp AS (SELECT mol_id, count(DISTINCT ('0x' || l[1:8])::BIGINT % 2048) AS n FROM (SELECT * FROM w0 UNION ALL SELECT * FROM w1 UNION ALL SELECT * FROM w2)
+  JOIN g_valid USING (mol_id) WHERE valid GROUP BY 1)"""
+
+
 def _eval(select: str) -> str:
     return graph_sql(select, rings=True, extra=EVAL)
 
@@ -321,7 +328,6 @@ _CLASSES = ", ".join(f"({c}, '{n}', {v})" for c, _, n, v in dims.REACTION_CLASSE
 _MEMO = f"SELECT {_KEY} AS key, '{{\"smiles\":\"' || smiles || '\"}}' AS input_args, 'stored' AS result FROM ({DONE})"
 _UNMASK = "replace(replace(replace(smiles, '$', 'OC'), '%', 'COCc1ccccc1'), '&', 'COC')"
 _VOTES = "SELECT l_returnflag AS label, CASE WHEN l_quantity > 30 THEN 'N' WHEN l_quantity > 15 THEN 'A' ELSE 'R' END AS prediction FROM lineitem"
-from .routes import _route  # noqa: E402
 
 ORACLES = {
     "i1_memo_key": f"SELECT key, input_args FROM ({_MEMO})",
@@ -329,7 +335,7 @@ ORACLES = {
     "i2_memo_additions": f"WITH w AS (SELECT DISTINCT smiles FROM ({WORK})), m AS ({_MEMO}) SELECT {_KEY} AS key, '{{\"smiles\":\"' || smiles || '\"}}' AS input_args, {_UNMASK} AS result FROM w WHERE {_KEY} NOT IN (SELECT key FROM m)",
     "i3_clear_all": f"SELECT * FROM ({_MEMO}) WHERE false",
     "i4_evict": f"SELECT * FROM ({_MEMO}) WHERE NOT contains(input_args, 'c1ccc')",
-    "i4_evict_all": f"SELECT * FROM ({_MEMO}) m WHERE NOT EXISTS (SELECT 1 FROM nation WHERE contains(m.input_args, concat('F', {pool_of('n_nationkey')})))",
+    "i4_evict_all": f"SELECT * FROM ({_MEMO}) m WHERE NOT EXISTS (SELECT 1 FROM nation WHERE contains(m.input_args, concat('C(F)', {pool_of('n_nationkey')})))",
     "j1_first_step": _route("SELECT route_id, ord, smiles, role FROM used WHERE step = 1"),
     "j2_attach_results": "SELECT o_orderkey AS id, o_custkey, event_type FROM orders JOIN events ON event_id = o_orderkey WHERE value > 5 AND event_type IS NOT NULL AND o_custkey IS NOT NULL",
     "j3_product_mismatch": f"SELECT * FROM (SELECT p_partkey AS pair_id, {PART_SMILES} AS input, {smiles_of('p_partkey', '(p_partkey + p_size % 5)')} AS product FROM part) WHERE input <> product",
@@ -347,6 +353,8 @@ ORACLES = {
     "k1_split_rows": f"SELECT * FROM ({RXN}) WHERE split = 'test'",
     "k2_encode_class": f"SELECT id, CAST(dense_rank() OVER (ORDER BY rxn_class) - 1 AS INT) AS label FROM ({RXN})",
     "k3_split_reaction": f"SELECT id, string_split(rxn, '>>')[1] AS input, string_split(rxn, '>>')[2] AS output, len(string_split(rxn, '>>')) AS n_parts FROM ({RXN})",
+    "k4_fingerprints": graph_sql("SELECT id, a.n AS n_input, b.n AS n_output FROM rxn JOIN fp a ON a.mol_id = id * 2 JOIN fp b ON b.mol_id = id * 2 + 1", rings=True, extra=PRINTS, source="sides", pre=SIDES),
+    "k5_features": graph_sql("SELECT id, a.n + b.n AS n_set FROM rxn JOIN fp a ON a.mol_id = id * 2 JOIN fp b ON b.mol_id = id * 2 + 1", rings=True, extra=PRINTS, source="sides", pre=SIDES),
     "k8_class_report": f"WITH v AS ({_VOTES}), a AS (SELECT label AS class, count(*) AS support, count(*) FILTER (WHERE label = prediction) AS hits FROM v GROUP BY 1), g AS (SELECT prediction AS class, count(*) AS guessed FROM v GROUP BY 1), "
                        "q AS (SELECT class, support, coalesce(hits / guessed, 0.0) AS p, hits / support AS r FROM a LEFT JOIN g USING (class)) SELECT class, round(p, 6) AS \"precision\", round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, support FROM q",
     "k8_accuracy": f"SELECT round(avg((label = prediction)::INT), 6) AS accuracy FROM ({_VOTES})",
