@@ -115,7 +115,12 @@ def minimum_cycles(pairs: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def _per_batch(flat: pd.Series) -> pd.Series:
-    return flat.map(lambda ends: minimum_cycles([(int(a), int(b)) for a, b in zip(ends[::2], ends[1::2])]))
+    def one(ends):
+        if ends is None:
+            return []
+        return minimum_cycles([(int(a), int(b)) for a, b in zip(ends[::2], ends[1::2])])
+
+    return flat.map(one)
 
 
 def ring_lists(flat: Column) -> Column:

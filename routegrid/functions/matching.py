@@ -69,7 +69,7 @@ def embeds(target_atoms, target_bonds, query_atoms, query_bonds) -> bool:
 
 
 def _per_batch(ta: pd.Series, tb: pd.Series, qa: pd.Series, qb: pd.Series) -> pd.Series:
-    return pd.Series([embeds(*row) for row in zip(ta, tb, qa, qb)], dtype=bool)
+    return pd.Series([row[0] is not None and embeds(*row) for row in zip(ta, tb, qa, qb)], dtype=bool)
 
 
 def embeds_udf(*cols: str) -> Column:

@@ -17,8 +17,12 @@ from .molecule import environment_hashes, heavy
 
 
 def text_structures(texts: DataFrame) -> DataFrame:
-    """Structures of the distinct values of ``smiles``; ``mol_id`` is the md5 of the text."""
-    unique = texts.select("smiles").where("smiles IS NOT NULL").distinct()
+    """Structures of the distinct values of ``smiles``; ``mol_id`` is the md5 of the text.
+
+    The distinct texts are written first: they are few next to the rows they come from, and
+    later stages then start from them instead of from the fact table.
+    """
+    unique = stage(texts.select("smiles").where("smiles IS NOT NULL").distinct())
     return structures(unique.select(F.md5("smiles").alias("mol_id"), "smiles"))
 
 

@@ -310,16 +310,11 @@ def ring_count() -> Column:
 def with_rings(g: DataFrame) -> DataFrame:
     """``rings`` column, one atom list per ring.
 
-    Only rows that have a ring reach Python; the rest get an empty list and stay JVM-side.
+    Only the bond ends of molecules that have a ring are sent to Python; for the rest the
+    call gets a NULL and gives an empty list.
     """
     ringed = F.col("valid") & (ring_count() > 0)
-    empty = F.lit(None).cast("array<array<int>>")
-    with_flag = g.withColumn("_ringed", F.coalesce(ringed, F.lit(False)))
-    cyclic = with_flag.where("_ringed").withColumn("rings", ring_lists(F.col("edges")))
-    plain = with_flag.where("NOT _ringed").withColumn(
-        "rings", F.coalesce(empty, F.array().cast("array<array<int>>"))
-    )
-    return cyclic.unionByName(plain).drop("_ringed", "edges")
+    return g.withColumn("rings", ring_lists(F.when(ringed, F.col("edges")))).drop("edges")
 
 
 def ring_table(g: DataFrame) -> DataFrame:

@@ -418,8 +418,9 @@ def contains(pairs: DataFrame, forms: DataFrame) -> DataFrame:
         F.map_entries("q_m_counts"),
         lambda e: F.coalesce(F.col("t_m_counts")[e["key"]], F.lit(0)) >= e["value"],
     ) & (F.size("q_m_bonds") <= F.size("t_m_bonds"))
-    flagged = joined.withColumn("_try", F.coalesce(enough, F.lit(False)))
-    tried = flagged.where("_try").withColumn(
-        "found", embeds_udf("t_m_atoms", "t_m_bonds", "q_m_atoms", "q_m_bonds").cast("int"))
-    rest = flagged.where("NOT _try").withColumn("found", F.lit(0))
-    return tried.select("pair_id", "found").unionByName(rest.select("pair_id", "found"))
+    test = F.coalesce(enough, F.lit(False))
+    sides = [f"{t}_m_{c}" for t in ("t", "q") for c in ("atoms", "bonds")]
+    # pairs that are settled send NULLs to Python and come back as "no"
+    ready = joined.withColumn("_try", test).select(
+        "pair_id", *[F.when(F.col("_try"), F.col(c)).alias(c) for c in sides])
+    return ready.withColumn("found", embeds_udf(*sides).cast("int")).select("pair_id", "found")
