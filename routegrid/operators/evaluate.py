@@ -33,7 +33,7 @@ def product_mismatch(rows: DataFrame) -> DataFrame:
 
 def with_keys(rows: DataFrame) -> DataFrame:
     """Adds ``mol``: the structure key of ``smiles``, or the text itself if unreadable."""
-    keys = structure_key(text_structures(rows)).where("skey IS NOT NULL")
+    keys = structure_key(text_structures(rows))
     return (
         rows.withColumn("mol_id", F.md5("smiles")).join(keys, "mol_id", "left")
         .withColumn("mol", F.coalesce("skey", "smiles")).drop("mol_id", "skey")
