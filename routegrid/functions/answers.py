@@ -9,7 +9,7 @@ CANDIDATES = "data array<string>, explanation array<string>, confidence_scores a
 
 def find(text: Column, part: str) -> Column:
     """0-based place of ``part``, -1 if absent."""
-    return F.locate(part, text) - 1 if isinstance(text, str) else F.position(F.lit(part), text) - 1
+    return F.position(F.lit(part), text) - 1
 
 
 def between(text: Column, start: Column, end: Column) -> Column:
