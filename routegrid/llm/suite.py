@@ -3,9 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import Vocabulary, decode, encode
 from .decontaminate import contamination
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +30,13 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query
+def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = Vocabulary.load(public_tokenizers.path("byte_bpe_50k.json"))
+    return decode(encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
