@@ -261,6 +261,18 @@ def _calibrate(models: LanguageModels, held: pd.DataFrame) -> None:
             models.spread[i] = 1.4826 * np.median(np.abs(mine - models.mean[i]) * np.sqrt(length[truth == i]))
 
 
+def _runs(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of the list with at most so many characters each, or one text."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > at and size + len(t or "") > most:
+            yield at, i
+            at, size = i, 0
+        size += len(t or "")
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def identify(models: LanguageModels, text: Column) -> Column:
     """struct(lang, score, cross_entropy, rejected) of a text column.
 
@@ -269,6 +281,17 @@ def identify(models: LanguageModels, text: Column) -> Column:
     the language's usual value plus ``slack`` plus ``reject_z`` standard errors at that length.
     A text that is null or has no letter is ``und`` with score 0.
     """
+    def judge(texts: list[str | None]) -> pd.DataFrame:
+        entropy, lengths, lettered = models.cross_entropy(texts)
+        best = entropy.argmin(1)
+        least = entropy[np.arange(len(best)), best]
+        limit = models.mean[best] + models.slack + models.reject_z * models.spread[best] / np.sqrt(np.maximum(lengths, 1))
+        score = models.posterior(entropy, lengths).max(1)
+        return pd.DataFrame({
+            "lang": np.where(lettered, np.array(models.languages, object)[best], UNKNOWN), "score": np.where(lettered, score, 0.0),
+            "cross_entropy": least, "rejected": ~lettered | (least > limit),
+        })
+
     @F.pandas_udf("lang string, score double, cross_entropy double, rejected boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -277,15 +300,10 @@ def identify(models: LanguageModels, text: Column) -> Column:
             if not models.languages:
                 yield pd.DataFrame({"lang": UNKNOWN, "score": 0.0, "cross_entropy": 0.0, "rejected": True}, index=range(len(texts)))
                 continue
-            entropy, lengths, lettered = models.cross_entropy(texts)
-            best = entropy.argmin(1)
-            least = entropy[np.arange(len(best)), best]
-            limit = models.mean[best] + models.slack + models.reject_z * models.spread[best] / np.sqrt(np.maximum(lengths, 1))
-            score = models.posterior(entropy, lengths).max(1)
-            yield pd.DataFrame({
-                "lang": np.where(lettered, np.array(models.languages, object)[best], UNKNOWN), "score": np.where(lettered, score, 0.0),
-                "cross_entropy": least, "rejected": ~lettered | (least > limit),
-            })
+            parts = []
+            for at, end in _runs(texts, 1_000_000):
+                parts.append(judge(texts[at:end]))
+            yield pd.concat(parts, ignore_index=True) if parts else judge([])
 
     return predict(text)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import Vocabulary, decode, encode
 from .decontaminate import contamination
 from .language import fit, held_out, identify, learned_from
+from .suffixes import removal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +50,9 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = fit(learned_from(docs))
     found = docs.select("doc_id", held_out().alias("held_out"), identify(models, F.col("text")).alias("found"))
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score", "found.cross_entropy", "found.rejected")
+
+
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
