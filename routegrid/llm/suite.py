@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import Vocabulary, decode, encode
 from .decontaminate import contamination
+from .jaccard import similar_texts
 from .language import fit, held_out, identify, learned_from
 from .suffixes import removal
 
@@ -56,3 +57,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_texts(table(spark, sf_dir, "documents"), k=3, percent=90)
