@@ -11,6 +11,7 @@ from .bpe import Vocabulary, decode, encode
 from .decontaminate import contamination
 from .jaccard import similar_texts
 from .language import fit, held_out, identify, learned_from
+from .sampling import fingerprints
 from .suffixes import removal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +63,8 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_texts(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+@query
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
