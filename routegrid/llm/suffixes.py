@@ -14,7 +14,7 @@ from ..plans.staging import stage
 from .frames import KEY, batch_of, id_type, join_rows, texts
 from .hashing import U64, mix, randoms, signed, slices, text_buffer, window_min
 
-_CHUNK = 1 << 18  # windows hashed at once
+_CHUNK = 1 << 17  # windows hashed at once
 _PLACE_BITS = 20  # place of a k-gram within a chunk
 _STEP = U64(0x9E3779B97F4A7C15)
 _BYTE = randoms(256, 1 << 23)
@@ -202,7 +202,7 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of each listed run of windows."""
-    for part in slices(batches, "text", 4 << 20):
+    for part in slices(batches, "text", 1 << 20):
         out: dict[str, list] = {c: [] for c in (KEY, "anchor", "start", "many", "place", "alone", "bytes")}
         for key, text, listed in zip(*(part.column(c).to_pylist() for c in (KEY, "text", "listed"))):
             data = text.encode()
@@ -294,7 +294,7 @@ def _merged(group: pa.Table, width: int) -> pa.Table:
 def _edges(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Bytes covered by repeated windows of runs that are not repeated as a whole."""
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
             entry = np.frombuffer(row["entry"], np.int32)
             again = np.frombuffer(row["again"], np.uint8).astype(bool) | (np.bincount(entry) > 1)
             hit = again[entry] & np.frombuffer(row["alone"], bool)
@@ -340,7 +340,7 @@ def repeats(docs: DataFrame, length: int = 400) -> DataFrame:
         lambda b: _contexts(b, length), f"{KEY} long, anchor long, start int, many int, place int, alone boolean, bytes binary"))
 
     windows = contexts.agg(F.sum("many")).first()[0] or 0
-    ranges = 1 + windows // 500_000
+    ranges = 1 + windows // 200_000
     width = length - k + 12
     # splitters from a sample of bounded size: one window of about 50 contexts per range
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +357,7 @@ def repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     splits = [picked[len(picked) * i // ranges] for i in range(1, ranges)] if picked else []
 
     coded = stage(contexts.mapInArrow(
-        lambda b: _sorted_runs(b, length, k, splits, 100_000),
+        lambda b: _sorted_runs(b, length, k, splits, 50_000),
         "part int, run long, lcps binary, rest binary, entry binary, keys binary, starts binary, spots binary, alone binary"))
     merged = coded.select("part", "run", "lcps", "rest").groupBy("part").applyInArrow(lambda t: _merged(t, width), "part int, run long, again binary")
     parts = coded.drop("lcps", "rest").join(merged, ["part", "run"]).mapInArrow(lambda b: _edges(b, length), f"{KEY} long, start int, end int")
@@ -389,7 +389,7 @@ def removal(docs: DataFrame, length: int = 400) -> DataFrame:
     shorter than ``length`` bytes stay whole.  Other columns are not read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text", 2 << 20):
             found = [_cut(t, s) for t, s in zip(part.column("text").to_pylist(), part.column("spans").to_pylist())]
             kept = [x[0] for x in found]
             yield batch_of({
