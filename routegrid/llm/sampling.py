@@ -13,7 +13,7 @@ from ..plans.staging import stage
 from .frames import id_type
 from .hashing import SPACED, U64, mix, randoms, text_buffer, word_hashes
 
-_BLOCK = 1 << 14  # weighted terms sampled at once
+_BLOCK = 1 << 11  # weighted terms sampled at once
 
 
 def _uniform(bits: np.ndarray) -> np.ndarray:
@@ -22,18 +22,19 @@ def _uniform(bits: np.ndarray) -> np.ndarray:
 
 
 def _draws(terms: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r ~ Gamma(2, 1), log c with c ~ Gamma(2, 1), and b ~ U(0, 1) of each term and sample.
+    """r, b and log c - r (1 - b) of each term and sample, with r, c ~ Gamma(2, 1) and b ~ U(0, 1).
 
     They depend on the term and the sample's number alone, so all documents see the same ones.
     """
     low = U64(0xFFFFFFFF)
-    out = np.empty((3, len(terms), samples), np.float32)
+    rate, shift, base = (np.empty((len(terms), samples), np.float32) for _ in range(3))
     for k, seeds in enumerate(randoms(3 * samples, 1 << 24).reshape(samples, 3)):
         a, b, c = (mix(terms ^ s) for s in seeds)
-        out[0, :, k] = -np.log(np.maximum(_uniform(a >> U64(32)) * _uniform(a & low), np.float32(1e-30)))
-        out[1, :, k] = np.log(-np.log(np.maximum(_uniform(b >> U64(32)) * _uniform(b & low), np.float32(1e-30))))
-        out[2, :, k] = np.minimum(_uniform(c >> U64(32)), np.float32(0.9999999))
-    return out[0], out[1], out[2]
+        r = -np.log(np.maximum(_uniform(a >> U64(32)) * _uniform(a & low), np.float32(1e-30)))
+        log_c = np.log(-np.log(np.maximum(_uniform(b >> U64(32)) * _uniform(b & low), np.float32(1e-30))))
+        u = np.minimum(_uniform(c >> U64(32)), np.float32(0.9999999))
+        rate[:, k], shift[:, k], base[:, k] = r, u, log_c - r * (np.float32(1) - u)
+    return rate, shift, base
 
 
 def signatures(texts: list[str | None], samples: int) -> np.ndarray:
@@ -55,21 +56,26 @@ def signatures(texts: list[str | None], samples: int) -> np.ndarray:
     weight = np.log(np.diff(np.append(first, len(words)))).astype(np.float32)
     words, owner = words[first], owner[first]
     terms, index = np.unique(words, return_inverse=True)
-    r, log_c, b = _draws(terms, samples)
+    rate, shift, base = _draws(terms, samples)
     least = np.full((len(texts), samples), np.inf, np.float32)
     for at in range(0, len(words), _BLOCK):
         end = min(len(words), at + _BLOCK)
         own, which = owner[at:end], index[at:end]
-        rate, shift = r[which], b[which]
-        level = np.floor(weight[at:end, None] / rate + shift)
-        key = log_c[which] - rate * (level - shift + np.float32(1))
+        key = base[which]  # a word that occurs once has level 0
+        more = np.flatnonzero(weight[at:end])
+        if len(more):
+            many = which[more]
+            key[more] -= rate[many] * np.floor(weight[at:end][more, None] / rate[many] + shift[many])
         starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        block = np.minimum.reduceat(key, starts, axis=0)
-        better = block < least[own[starts]]
-        rows, columns = np.nonzero(key == np.repeat(np.where(better, block, -np.inf), np.diff(np.append(starts, len(own))), axis=0))
-        code = mix(words[at:end][rows] ^ mix(level[rows, columns].astype(np.int64).view(U64))) >> U64(48)
+        block, lengths = np.minimum.reduceat(key, starts, axis=0), np.diff(np.append(starts, len(own)))
+        before = least[own[starts]]
+        target = np.where(block < before, block, np.float32(-np.inf))
+        rows, columns = np.nonzero(key == np.repeat(target, lengths, axis=0))
+        term = which[rows]
+        level = np.floor(weight[at:end][rows] / rate[term, columns] + shift[term, columns]).astype(np.int64)
+        code = mix(words[at:end][rows] ^ mix(level.view(U64))) >> U64(48)
         out[own[rows], columns] = np.maximum(code, U64(1)).astype(np.uint16)
-        least[own[starts]] = np.minimum(block, least[own[starts]])
+        least[own[starts]] = np.minimum(block, before)
     return out
 
 
@@ -78,21 +84,24 @@ def _edited(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
-def _rows(ids: list, texts: list[str], following: list[str], samples: int, next_codes: np.ndarray | None = None) -> dict[str, list]:
-    codes = signatures(texts, samples)
-    edited = [_edited(t, n) for t, n in zip(texts, following)]
-    edited_codes = signatures(edited, samples)
-    if next_codes is None:
-        next_codes = signatures(following, samples)
+def _rows(ids: list, texts: list[str], following: list[str], samples: int) -> dict[str, list]:
+    """Result rows of some documents; following[i] is the text after texts[i]."""
+    n = len(texts)
+    edited = [_edited(t, f) for t, f in zip(texts, following)]
+    # in a stretch of neighbours the next text is the next in the list: only the last is new
+    extra = following[-1:] if texts[1:] == following[:-1] else following
+    codes = signatures([*texts, *extra, *edited], samples)
+    own, changed = codes[:n], codes[n + len(extra):]
+    after = codes[1:n + 1] if len(extra) == 1 else codes[n:2 * n]
     return {
         "doc_id": ids, "n_chars": [len(t) for t in texts],
-        "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in edited],
-        "fingerprint": [c.astype(">u2").tobytes().hex() for c in codes], "edited_fingerprint": [c.astype(">u2").tobytes().hex() for c in edited_codes],
-        "near_edited": (codes == edited_codes).mean(1).tolist(), "near_next": (codes == next_codes).mean(1).tolist(),
+        "edited_sha256": [hashlib.sha256(t.encode()).digest() for t in edited],
+        "fingerprint": [c.astype(">u2").tobytes() for c in own], "edited_fingerprint": [c.astype(">u2").tobytes() for c in changed],
+        "near_edited": (own == changed).mean(1).tolist(), "near_next": (own == after).mean(1).tolist(),
     }
 
 
-def fingerprints(docs: DataFrame, samples: int = 64, most: int = 4 << 20) -> DataFrame:
+def fingerprints(docs: DataFrame, samples: int = 64, most: int = 3 << 20) -> DataFrame:
     """Each text's fingerprint, that of its edited text, and their likeness (the share of equal samples).
 
     The edited text has its last floor(n / 2) code points replaced by the first as many of the
@@ -106,9 +115,9 @@ def fingerprints(docs: DataFrame, samples: int = 64, most: int = 4 << 20) -> Dat
     """
     kind = id_type(docs)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = f"doc_id {kind}, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
     id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    arrow = pa.schema([("doc_id", id_arrow), ("n_chars", pa.int64()), *[(c, pa.string()) for c in names[2:5]], *[(c, pa.float64()) for c in names[5:]]])
+    arrow = pa.schema([("doc_id", id_arrow), ("n_chars", pa.int64()), *[(c, pa.binary()) for c in names[2:5]], *[(c, pa.float64()) for c in names[5:]]])
     edge_arrow = pa.schema([*arrow, ("part", pa.int32()), ("role", pa.string()), ("text", pa.string())])
 
     def edge(part: int, role: str, doc_id: object, text: str) -> pa.RecordBatch:
@@ -125,8 +134,7 @@ def fingerprints(docs: DataFrame, samples: int = 64, most: int = 4 << 20) -> Dat
 
         def done() -> pa.RecordBatch:
             """All waiting documents but the last, which waits for its successor."""
-            codes = signatures(texts, samples)
-            row = _rows(ids[:-1], texts[:-1], texts[1:], samples, codes[1:])
+            row = _rows(ids[:-1], texts[:-1], texts[1:], samples)
             n = len(row["doc_id"])
             del ids[:-1], texts[:-1]
             return pa.RecordBatch.from_pydict(row | {"part": [part] * n, "role": ["whole"] * n, "text": [None] * n}, edge_arrow)
@@ -149,7 +157,7 @@ def fingerprints(docs: DataFrame, samples: int = 64, most: int = 4 << 20) -> Dat
         if ids:
             yield edge(part, "last", ids[0], texts[0])
 
-    walked = stage(docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").mapInArrow(
+    walked = stage(docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(
         walk, f"{schema}, part int, role string, text string"))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,4 +172,5 @@ def fingerprints(docs: DataFrame, samples: int = 64, most: int = 4 << 20) -> Dat
     links = firsts.select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(order)).alias("next_part"))
     following = firsts.select(F.col("part").alias("next_part"), F.col("text").alias("following"))
     lasts = walked.where("role = 'last'").select("part", "doc_id", "text").join(links, "part").join(following, "next_part")
-    return walked.where("role = 'whole'").select(*names).unionByName(lasts.select("doc_id", "text", "following").mapInArrow(close, schema))
+    found = walked.where("role = 'whole'").select(*names).unionByName(lasts.select("doc_id", "text", "following").mapInArrow(close, schema))
+    return found.withColumns({c: F.lower(F.hex(c)) for c in names[2:5]})
