@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Vocabulary, decode, encode
+from .chat import chat_texts
 from .decontaminate import contamination
 from .jaccard import similar_texts
 from .language import fit, held_out, identify, learned_from
 from .sampling import fingerprints
 from .suffixes import removal
+from .urls import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +70,26 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_texts(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op5_chat_formatting"] = """
+WITH conv AS (
+  SELECT conv_id, count(*) AS n_turns,
+         list((coalesce(role, ''), coalesce(text, '')) ORDER BY turn) AS turns,
+         string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text
+  FROM conversations GROUP BY conv_id),
+firsts AS (SELECT min(conv_id) AS conv_id, n_turns, turns, any_value(text) AS text FROM conv GROUP BY n_turns, turns)
+SELECT f.conv_id, f.n_turns, f.text FROM firsts f
+WHERE NOT EXISTS (
+  SELECT 1 FROM conv c WHERE c.turns[1] = f.turns[1] AND c.n_turns > f.n_turns AND c.turns[1:f.n_turns] = f.turns)
+"""
