@@ -13,6 +13,7 @@ from .decontaminate import contamination
 from .jaccard import similar_texts
 from .language import fit, held_out, identify, learned_from
 from .sampling import fingerprints
+from .scoring import backoff_scores
 from .suffixes import removal
 from .urls import judge_urls
 
@@ -93,3 +94,35 @@ SELECT f.conv_id, f.n_turns, f.text FROM firsts f
 WHERE NOT EXISTS (
   SELECT 1 FROM conv c WHERE c.turns[1] = f.turns[1] AND c.n_turns > f.n_turns AND c.turns[1:f.n_turns] = f.turns)
 """
+
+
+@query
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_scores(table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 4))
+
+
+ORACLES["op10_lm_scoring"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+w AS (SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS n FROM d),
+b AS (SELECT x.r, x.i, x.n, x.w, y.w AS v FROM w x LEFT JOIN w y ON y.r = x.r AND y.i = x.i - 1),
+c1 AS (SELECT w, count(*) AS c FROM w GROUP BY w), o1 AS (SELECT r, w, count(*) AS c FROM w GROUP BY r, w),
+c2 AS (SELECT v, w, count(*) AS c FROM b WHERE v IS NOT NULL GROUP BY v, w),
+o2 AS (SELECT r, v, w, count(*) AS c FROM b WHERE v IS NOT NULL GROUP BY r, v, w),
+t AS (SELECT count(*) AS n FROM w),
+j AS (
+  SELECT b.r, b.v, c1.c - o1.c AS l1, coalesce(p.c - q.c, 0) AS lv, coalesce(c2.c - o2.c, 0) AS l2, greatest(t.n - b.n, 1) AS rest
+  FROM b CROSS JOIN t JOIN c1 ON c1.w = b.w JOIN o1 ON o1.r = b.r AND o1.w = b.w
+  LEFT JOIN c1 p ON p.w = b.v LEFT JOIN o1 q ON q.r = b.r AND q.w = b.v
+  LEFT JOIN c2 ON c2.v = b.v AND c2.w = b.w LEFT JOIN o2 ON o2.r = b.r AND o2.v = b.v AND o2.w = b.w),
+s AS (
+  SELECT r, v, l2, (CASE WHEN l1 > 0 THEN l1 ELSE CAST(0.4 AS DOUBLE) END) / rest AS one, lv FROM j),
+g AS (
+  SELECT r, sum(ln(CASE WHEN v IS NULL THEN one WHEN l2 > 0 THEN l2 / CAST(greatest(lv, 1) AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) * one END)) AS log_score,
+         sum(CASE WHEN v IS NOT NULL AND l2 = 0 THEN 1 ELSE 0 END) AS n_backoff
+  FROM s GROUP BY r)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, round(coalesce(g.log_score, 0), 4) AS log_score, CAST(coalesce(g.n_backoff, 0) AS BIGINT) AS n_backoff
+FROM d LEFT JOIN g ON g.r = d.r
+"""
