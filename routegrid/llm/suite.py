@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import Vocabulary, decode, encode
 from .chat import chat_texts
 from .decontaminate import contamination
+from .html import extract
 from .jaccard import similar_texts
 from .language import fit, held_out, identify, learned_from
 from .sampling import fingerprints
@@ -126,3 +127,8 @@ g AS (
 SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, round(coalesce(g.log_score, 0), 4) AS log_score, CAST(coalesce(g.n_backoff, 0) AS BIGINT) AS n_backoff
 FROM d LEFT JOIN g ON g.r = d.r
 """
+
+
+@query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
