@@ -6,6 +6,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -368,7 +369,7 @@ def _cut(text: str | None, spans: list[dict] | None) -> tuple[bytes, int, int]:
     """The bytes outside the spans, and how many bytes and maximal runs are inside."""
     data = (text or "").encode()
     kept, at, removed, runs = [], 0, 0, 0
-    for start, end in sorted((s["start"], s["end"]) for s in spans or ()):
+    for start, end in sorted((s["start"], s["end"]) for s in (() if spans is None else spans)):
         if start > at or not runs:
             kept.append(data[at:start])
             runs += 1
@@ -408,11 +409,8 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     What is left of a character that was cut in its middle goes too.  Null texts stay null.
     """
     @F.pandas_udf("string")
-    def cut(batches):
-        import pandas as pd
-
-        for text, spans in batches:
-            yield pd.Series([t if t is None or s is None else _cut(t, s)[0].decode("utf-8", "ignore") for t, s in zip(text, spans)], dtype=object)
+    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or s is None else _cut(t, s)[0].decode("utf-8", "ignore") for t, s in zip(text, spans)], dtype=object)
 
     spans = repeats(docs, length).withColumnsRenamed({KEY: "_span_key", "spans": "_spans"})
     key = F.xxhash64(docs["doc_id"], docs["text"])
