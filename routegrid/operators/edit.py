@@ -60,11 +60,13 @@ def renumber_edges(new_edges: DataFrame, mapping: DataFrame) -> DataFrame:
 def splice(
     steps: DataFrame, edges: DataFrame, starts: DataFrame, new_steps: DataFrame, new_edges: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """H5: merged (steps with ``origin`` and ``old_step``, edges)."""
+    """H5: merged (steps with ``origin`` and ``old_step``, edges) of the routes in ``starts``."""
     asked = steps.join(starts.select("route_id").distinct(), "route_id", "left_semi")
     own_edges = edges.join(starts.select("route_id").distinct(), "route_id", "left_semi")
     removed = downstream(own_edges, starts)
     kept = stage(keep_steps(asked, removed))
+    routes = starts.select("route_id").distinct()
+    new_steps, new_edges = (t.join(routes, "route_id", "left_semi") for t in (new_steps, new_edges))
     mapping = stage(renumber(new_steps, kept))
     first = mapping.groupBy("route_id").agg(F.min("new_step").alias("dep"))
     bridge = left_connection(own_edges, starts, removed).join(first, "route_id").select(

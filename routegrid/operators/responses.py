@@ -1,6 +1,8 @@
 """Model answers: prompts out, candidate pathways in."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,6 @@ from .compare import consistency_filter, text_structures
 from .molecule import chemical_formula, contains, exact_mass, fingerprint, heavy, match_form
 from .stability import stability_filter
 
-# Attempts allowed without and with extra checks (temperatures 0.0, 0.1, ...).
-MAX_ATTEMPTS = 6
-MAX_ATTEMPTS_CHECKED = 15
 MISSING_METADATA = 404
 
 
@@ -48,13 +47,16 @@ def candidate_rows(parsed: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
-def validity_filter(candidates: DataFrame) -> DataFrame:
+def validity_filter(candidates: DataFrame, key: Sequence[str] = ("target", "rank")) -> DataFrame:
     """``candidates(target, rank, reactants, ...)`` whose molecules are all readable, not
     the target itself and do not contain it.
 
+    ``key`` names the columns that tell pathways apart, such as the answer's id and the rank.
+
     "The target itself" is equality of folded neighbourhood bits (radius 2, 1024 bits).
     """
-    parts = candidates.select("target", "rank", F.posexplode("reactants").alias("place", "smiles"))
+    key = list(key)
+    parts = candidates.select(*key, *[c for c in ["target"] if c not in key], F.posexplode("reactants").alias("place", "smiles"))
     s = stage(text_structures(parts.select("smiles").union(candidates.select("target"))))
     prints = fingerprint(s, 2, 1024).select("mol_id", F.array_join("bits", ",").alias("bits"))
     keyed = (
@@ -70,20 +72,22 @@ def validity_filter(candidates: DataFrame) -> DataFrame:
         F.col("part_bits").isNull() | F.coalesce(F.col("part_bits") == F.col("whole_bits"), F.lit(False))
         | F.col("_in").isNotNull()
     )
-    bad = judged.where(fails).select("target", "rank").distinct()
-    return candidates.join(bad, ["target", "rank"], "left_anti")
+    bad = judged.where(fails).select(*key).distinct()
+    return candidates.join(bad, key, "left_anti")
 
 
 def first_good_attempt(
-    responses: DataFrame, families: DataFrame, check_stability: bool = False, check_consistency: bool = False
+    responses: DataFrame, families: DataFrame, check_stability: bool = False, check_consistency: bool = False,
+    attempts: int | None = None,
 ) -> DataFrame:
     """per target the surviving pathways of the first attempt that has any.
 
     ``responses(target, model, attempt, status_code, text)``; attempts count from 0.  The
-    cheap checks run first; each pathway keeps its own explanation and confidence.
+    cheap checks run first; ``attempts`` limits how many are looked at (none: all); each pathway keeps its own explanation and confidence.
     """
-    limit = MAX_ATTEMPTS_CHECKED if check_stability or check_consistency else MAX_ATTEMPTS
-    tried = responses.where((F.col("attempt") < limit) & (F.col("status_code") == 200))
+    tried = responses.where("status_code = 200")
+    if attempts is not None:
+        tried = tried.where(F.col("attempt") < attempts)
     answers = split_answers(tried, families).where("status = 200")
     rows = candidate_rows(parse_candidates(answers), ["target", "attempt"])
     rows = stage(rows.withColumn("rank", F.struct("attempt", "rank")).drop("attempt"))

@@ -45,7 +45,7 @@ def solvable_pathways(candidates: DataFrame, stock: DataFrame) -> DataFrame:
 
 
 def expand_routes(
-    targets: DataFrame, candidates: DataFrame, stock: DataFrame, max_depth: int = 30, strict: bool = False
+    targets: DataFrame, candidates: DataFrame, stock: DataFrame, max_depth: int | None = None, strict: bool = False
 ) -> DataFrame:
     """Route nodes ``route_id, path, parent, smiles, depth, status, confidence``.
 
@@ -62,7 +62,7 @@ def expand_routes(
             F.when(F.col("_stock"), "stock")
             .when(F.array_contains("line", F.col("smiles")), "cycle")
             .when(F.col("_has").isNull(), "dead_end")
-            .when(F.col("depth") >= max_depth, "depth")
+            .when(F.lit(False) if max_depth is None else F.col("depth") >= max_depth, "depth")
             .otherwise("expanded")
         )
         return (

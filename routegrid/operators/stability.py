@@ -6,6 +6,8 @@ added to the list.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -283,16 +285,17 @@ def issue_rows(st: DataFrame) -> DataFrame:
     return st.select("mol_id", F.explode("issues").alias("i")).select("mol_id", "i.*")
 
 
-def stability_filter(pathways: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+def stability_filter(pathways: DataFrame, scores: DataFrame | None = None, key: Sequence[str] = ("target", "rank")) -> DataFrame:
     """``pathways(target, rank, reactants)`` whose molecules are all stable enough.
 
-    Counts per pathway combine before the shuffle; the reactant lists themselves stay put.
+    ``key`` names the columns that tell pathways apart.  Counts per pathway combine before the shuffle; the reactant lists themselves stay put.
     """
-    parts = pathways.select("target", "rank", F.explode("reactants").alias("smiles"))
+    key = list(key)
+    parts = pathways.select(*key, F.explode("reactants").alias("smiles"))
     if scores is None:
         scores = stability(text_structures(parts))
     good = scores.select("mol_id", F.col("assessment").isin("Likely stable", "Moderately stable").alias("good"))
     judged = parts.withColumn("mol_id", F.md5("smiles")).join(good, "mol_id", "left")
-    bad = judged.groupBy("target", "rank").agg(
+    bad = judged.groupBy(*key).agg(
         F.min(F.coalesce("good", F.lit(False))).alias("all_good")).where("NOT all_good")
-    return pathways.join(bad, ["target", "rank"], "left_anti")
+    return pathways.join(bad, key, "left_anti")

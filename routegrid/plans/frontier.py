@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from .staging import stage
 
 
-def grow(start: DataFrame, step: Callable[[DataFrame], DataFrame], max_levels: int | None = None) -> list[DataFrame]:
+def grow(start: DataFrame, step: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
     """Staged levels start, step(start), ... until one is empty.
 
     Each level is written before the next one reads it, so plans stay one level long and a
@@ -18,8 +18,6 @@ def grow(start: DataFrame, step: Callable[[DataFrame], DataFrame], max_levels: i
     level = stage(start)
     while not level.isEmpty():
         levels.append(level)
-        if max_levels is not None and len(levels) > max_levels:
-            break
         level = stage(step(level))
     return levels or [level]
 

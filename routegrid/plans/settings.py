@@ -19,13 +19,13 @@ _WANTED = {
 
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in _WANTED.items():
-        if spark.conf.get(key, None) != value:
+        if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
     return spark
 
 
-def local_session(app: str = "routegrid", cores: str = "8", partitions: int = 8) -> SparkSession:
-    """A single-machine session for tests and the bench."""
+def local_session(app: str = "routegrid", cores: str = "8", partitions: int = 8, folder: str | None = None) -> SparkSession:
+    """A single-machine session for tests and the bench; ``folder`` takes its staged tables."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -37,4 +37,6 @@ def local_session(app: str = "routegrid", cores: str = "8", partitions: int = 8)
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if folder:
+        spark.sparkContext.setCheckpointDir(folder)
     return tune(spark)

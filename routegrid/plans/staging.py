@@ -1,7 +1,6 @@
 """Lineage cuts: a table written under the folder the cluster names."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,22 +9,11 @@ _KEY = "spark.checkpoint.dir"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for staged tables.
-
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local master may fall back to
-    a scratch folder of its own, because there driver and executors share one disk.
-    """
-    root = spark.conf.get(_KEY, None)
-    if root:
-        return root
-    named = spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+    """Shared folder for staged tables, as the cluster (or a local session's owner) named it."""
+    root = spark.conf.get(_KEY, None) or spark.sparkContext.getCheckpointDir()
+    if not root:
         raise RuntimeError(f"set {_KEY} to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(root)
-    return spark.sparkContext.getCheckpointDir()
+    return root
 
 
 def stage(df: DataFrame) -> DataFrame:

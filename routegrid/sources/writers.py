@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 
 def write_routes(df: DataFrame, root: str) -> None:
-    """JSON under ``folder=/run=``; readers prune by both."""
-    df.write.mode("overwrite").partitionBy("folder", "run").json(root)
+    """JSON under ``folder=/run=``; readers prune by both.  Other folders and runs there stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder", "run").json(root)
 
 
 def save_result(df: DataFrame, path: str) -> None:

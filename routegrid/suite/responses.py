@@ -92,7 +92,7 @@ QUERIES = {
     "f3_split_think": _split(A.split_think),
     "f4_split_by_model": lambda s, d: _answers(s, d).select("id", "status", "thinking", "json"),
     "f5_parse_candidates": lambda s, d: _candidates(s, d).drop("target"),
-    "f6_validity_filter": lambda s, d: R.validity_filter(_candidates(s, d)).select("id", "rank"),
+    "f6_validity_filter": lambda s, d: R.validity_filter(_candidates(s, d), ("id", "rank")).select("id", "rank"),
     "f7_first_good_attempt": lambda s, d: R.first_good_attempt(derive(s, d, ATTEMPTS), dims.model_families(s)).select(
         "target", "attempt", "rank", "explanation", "confidence"),
     "f7_checked_attempt": lambda s, d: R.first_good_attempt(
@@ -172,7 +172,7 @@ ORACLES = {
         "SELECT target, attempt, rank, explanation, confidence FROM good SEMI JOIN (SELECT target, min(attempt) AS attempt FROM good GROUP BY 1) USING (target, attempt)",
         rings=True, extra=_judge("attempt"), source="texts",
         pre=SPLITS.replace(RESP, f"SELECT row_number() OVER () AS id, * FROM ({ATTEMPTS})") +
-        f", src AS (SELECT target, attempt, json FROM f4 JOIN resp USING (id) WHERE status = 200 AND status_code = 200 AND attempt < 6), cand AS ({_cands('src', 'target, attempt')}), {_TEXTS}"),
+        f", src AS (SELECT target, attempt, json FROM f4 JOIN resp USING (id) WHERE status = 200 AND status_code = 200), cand AS ({_cands('src', 'target, attempt')}), {_TEXTS}"),
     "f8_explain_status":
         f"WITH {SPLITS}, st AS (SELECT id, CAST(CASE WHEN id % 10 = 0 THEN id WHEN status <> 200 THEN status WHEN json_valid(json) AND json_exists(json, '$.explanation') "
         "THEN 200 ELSE 504 END AS INT) AS status FROM f4) SELECT id, status, CASE status " + " ".join(

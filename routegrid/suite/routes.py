@@ -15,7 +15,6 @@ STOCK = f"SELECT {PART_SMILES} AS smiles FROM part WHERE p_size <= 35"
 CAND = (f"SELECT {CUST.format('o_custkey')} AS target, o_orderkey AS rank, (cast(l_linenumber AS bigint) * 1000000000000 + l_partkey) AS ord, {CUST.format('l_partkey')} AS smiles, "
         "0.1 + (o_orderkey % 8) / 10.0 AS confidence FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 # the place of a reactant must be unique in its order: line number, then part
-DEPTH = 6
 
 
 def _targets(s, d):
@@ -31,7 +30,7 @@ def _stock(s, d):
 
 
 def _nodes(s, d, strict=False):
-    return G.expand_routes(_targets(s, d), _cands(s, d), _stock(s, d), DEPTH, strict)
+    return G.expand_routes(_targets(s, d), _cands(s, d), _stock(s, d), strict=strict)
 
 
 def _basic(s, d):
@@ -43,6 +42,10 @@ def _flat(s, d):
     return G.flatten_route(_nodes(s, d), _basic(s, d))
 
 
+def _counted(steps, molecules, deps):
+    return steps.join(deps.groupBy("route_id", "step").agg(F.count("dep").alias("n_deps")), ["route_id", "step"])
+
+
 def _format(s, d):
     return G.format_route(_nodes(s, d), _basic(s, d))
 
@@ -111,8 +114,7 @@ QUERIES = {
     "g4_flatten_steps": lambda s, d: _flat(s, d)[0],
     "g4_flatten_molecules": lambda s, d: _flat(s, d)[1],
     "g5_resolve_dependencies": lambda s, d: _format(s, d)[2],
-    "g6_format_route": lambda s, d: _format(s, d)[0].join(
-        _format(s, d)[2].groupBy("route_id", "step").agg(F.count("dep").alias("n_deps")), ["route_id", "step"]),
+    "g6_format_route": lambda s, d: _counted(*_format(s, d)),
     "g7_enrich_steps": lambda s, d: _enriched(s, d)[0],
     "g7_enrich_molecules": lambda s, d: _enriched(s, d)[1],
     "g8_confidence_estimate": lambda s, d: load(s, d, "lineitem").select(
@@ -148,7 +150,7 @@ pick2 AS (SELECT c.* FROM cand c SEMI JOIN (""" + " UNION ALL ".join(f"FROM ch{k
 
 def _tree(pick: str = "pick") -> str:
     status = (f"CASE WHEN s.smiles IS NOT NULL THEN 'stock' WHEN list_contains({{line}}, {{sm}}) THEN 'cycle' WHEN h.target IS NULL THEN 'dead_end' "
-              f"WHEN {{dep}} >= {DEPTH} THEN 'depth' ELSE 'expanded' END")
+              "ELSE 'expanded' END")
     joins = "LEFT JOIN stk s ON s.smiles = {sm} LEFT JOIN hd h ON h.target = {sm}"
     return f"""hd AS (SELECT target, max(confidence) AS confidence FROM {pick} GROUP BY 1),
 nd AS (SELECT route_id, CAST([] AS BIGINT[]) AS path, CAST(NULL AS BIGINT[]) AS parent, 0 AS depth, CAST([] AS VARCHAR[]) AS line, tg.smiles AS smiles,
@@ -187,7 +189,7 @@ nw AS (SELECT c_custkey AS route_id, CAST(unnest(range(1, c_custkey % 4 + 1)) AS
 mp AS (SELECT n.route_id, n.step, CAST(n.step + coalesce(m, 0) AS INT) AS new_step FROM nw n LEFT JOIN (SELECT route_id, max(step) AS m FROM kst GROUP BY 1) USING (route_id)),
 asked AS (SELECT DISTINCT route_id FROM start),
 kask AS (SELECT * FROM kst SEMI JOIN asked USING (route_id)),
-mpa AS (SELECT n.route_id, n.step, CAST(n.step + coalesce(m, 0) AS INT) AS new_step FROM nw n LEFT JOIN (SELECT route_id, max(step) AS m FROM kask GROUP BY 1) USING (route_id)),
+mpa AS (SELECT n.route_id, n.step, CAST(n.step + coalesce(m, 0) AS INT) AS new_step FROM nw n SEMI JOIN asked USING (route_id) LEFT JOIN (SELECT route_id, max(step) AS m FROM kask GROUP BY 1) USING (route_id)),
 par AS (SELECT o.route_id, o.step, CASE WHEN o.step = 1 THEN 0 ELSE p END AS parent FROM ord o LEFT JOIN
   (SELECT route_id, dep AS step, max(step) AS p FROM ed WHERE dep <> 1 GROUP BY 1, 2) USING (route_id, step)),
 tree AS (SELECT DISTINCT route_id, 0 AS step, 0 AS depth, [0] AS path FROM par WHERE parent = 0 UNION ALL

@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -10,7 +11,7 @@ from routegrid.plans.settings import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", "8", partitions=4)
+    session = local_session("tests", "8", partitions=4, folder=tempfile.mkdtemp(prefix="spark-"))
     yield session
     session.stop()
 
