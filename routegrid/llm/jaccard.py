@@ -183,4 +183,4 @@ def similar_texts(docs: DataFrame, k: int = 5, percent: int = 80, orders: int =
 def one_of_each(docs: DataFrame, **limits: int) -> DataFrame:
     """The rows of ``docs`` whose id is the least of its component; rows with a null id stay, ids stay once."""
     other = similar_texts(docs, **limits).where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(other, docs["doc_id"] == F.col("_other"), "left_anti")
+    return docs.join(other, docs["doc_id"] == other["_other"], "left_anti")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
-from .frames import KEY, batch_of, id_type, join_rows, texts
+from .frames import KEY, batch_of, id_type, row_key, texts
 from .hashing import U64, mix, randoms, signed, slices, text_buffer, window_min
 
 _CHUNK = 1 << 17  # windows hashed at once
@@ -412,12 +412,12 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or s is None else _cut(t, s)[0].decode("utf-8", "ignore") for t, s in zip(text, spans)], dtype=object)
 
-    spans = repeats(docs, length).withColumnsRenamed({KEY: "_span_key", "spans": "_spans"})
-    key = F.xxhash64(docs["doc_id"], docs["text"])
-    out = docs.join(spans, key == F.col("_span_key"), "left")
-    fresh = {"text": F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut(docs["text"], F.col("_spans")))}
-    out = out.withColumns(fresh)
+    spans = repeats(docs, length)
+    rows = docs.select(row_key("doc_id", "text").alias(KEY), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    out = rows.join(spans, KEY, "left").select("row", "spans", cut(F.col("row").getField("text"), F.col("spans")).alias("left"))
+    hit = F.col("spans").isNotNull()
+    fresh = {c: F.col("row").getField(c) for c in docs.columns}
+    fresh["text"] = F.when(hit, F.col("left")).otherwise(fresh["text"])
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return out.select(*docs.columns)
+        fresh["n_chars"] = F.when(hit, F.length("left").cast(docs.schema["n_chars"].dataType)).otherwise(fresh["n_chars"])
+    return out.select(*[column.alias(c) for c, column in fresh.items()])

@@ -89,7 +89,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, reject: f
     verdict of their template: with b blocked of l labelled urls of the same host and template,
     or, where a host has no labelled url, of the same template on all hosts, the smoothed purity is
     (b + prior_weight * share) / (l + prior_weight), with the share of blocked urls among all
-    labelled ones; a template is blocked from ``reject`` on.
+    labelled ones, a half at most; a template is blocked from ``reject`` on.
 
     A null url, or one without "://", has an empty host and path and no rule.  Rows are judged
     one by one, repeated rows alike; counts are summed per host and path before they meet.
@@ -101,7 +101,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, reject: f
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked"), F.count(F.when(F.col("ruled") == "allow", 1)).alias("allowed")))
     named = stage(paths.join(templates(paths), ["host", "path"]))
     total = named.agg(F.sum("blocked").alias("b"), F.sum(F.col("blocked") + F.col("allowed")).alias("l")).first()
-    share = (total["b"] or 0) / total["l"] if total["l"] else 0.0
+    share = min(0.5, (total["b"] or 0) / total["l"]) if total["l"] else 0.0  # a template without labels is never blocked
     sums = [F.sum("blocked").alias("b"), F.sum(F.col("blocked") + F.col("allowed")).alias("l")]
     own = named.groupBy("host", "template").agg(*sums)
     hosts = own.groupBy("host").agg(F.sum("l").alias("host_labels"))
