@@ -139,8 +139,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int
         .join(bench.select("item_key", "item_id", "item_words"), "item_key")
         .groupBy(KEY, "doc_id").agg(F.collect_list(F.struct("item_id", "item_words", "shifts")).alias("candidates"))
     )
-    judged = join_rows(candidates, texts(docs).dropDuplicates([KEY, "doc_id"])).mapInArrow(
+    judged = join_rows(candidates, texts(docs)).mapInArrow(
         lambda batches: _extended(batches, span), f"{KEY} long, doc_id {id_type(docs)}, n_hit long, items array<string>")
+    judged = judged.dropDuplicates([KEY, "doc_id"])  # repeated rows
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return join_rows(met.where("item_key IS NULL").select(KEY, "doc_id", "n_words"), judged, "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
