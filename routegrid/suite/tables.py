@@ -32,11 +32,19 @@ def _path(s) -> str:
 
 # --- memo -----------------------------------------------------------------------------
 WORK = f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {smiles_of('l_partkey', 'l_partkey')} AS smiles FROM lineitem"
-DONE = f"SELECT p_partkey, {PART_SMILES} AS smiles FROM part WHERE p_size > 25"
+PARTS = f"SELECT p_partkey, {PART_SMILES} AS smiles FROM part"
+DONE = f"{PARTS} WHERE p_size > 25"  # what is stored before the missing rest is computed
 
 
-def _memo(s, d):
-    return derive(s, d, DONE).select(
+def _cleared(s, d):
+    """Entries before and after."""
+    memo = _memo(s, d, PARTS)
+    both = memo.select(F.lit(True).alias("old")).unionByName(I.clear_all(memo).select(F.lit(False).alias("old")))
+    return both.agg(F.count_if("old").alias("n_before"), F.count_if(~F.col("old")).alias("n_after"))
+
+
+def _memo(s, d, rows=DONE):
+    return derive(s, d, rows).select(
         I.memo_args("smiles").alias("input_args"), F.lit("stored").alias("result")
     ).withColumn("key", I.memo_key("plain", F.col("input_args"))).select("key", "input_args", "result")
 
@@ -160,15 +168,16 @@ def _prints(s, d):
     return K.with_fingerprints(K.split_reaction(K.encode_class(_rxn(s, d))).where("n_parts = 2"))
 
 
-def _predictions(s, d):
+def _predictions(s, d, split="test"):
+    """Predictions for the rows of a split, or for all rows."""
     data = stage(_prints(s, d).select("id", "split", "label", "input_bits", "output_bits"))
     model = K.train(K.features(K.split_rows(data, "train")))
-    return K.predict(model, K.features(K.split_rows(data, "test"))).select("id", "label", "prediction")
+    return K.predict(model, K.features(K.split_rows(data, split) if split else data)).select("id", "label", "prediction")
 
 
 def _reaction_type(s, d):
     pairs = _rxn(s, d).select(F.col("id").alias("pair_id"))
-    p = _predictions(s, d).select(F.col("id").alias("pair_id"), "prediction")
+    p = _predictions(s, d, None).select(F.col("id").alias("pair_id"), "prediction")
     return R.reaction_type(pairs, p, dims.reaction_classes(s))
 
 
@@ -246,12 +255,12 @@ def _a10(s, d):
 
 
 QUERIES = {
-    "i1_memo_key": lambda s, d: _memo(s, d).select("key", "input_args"),
+    "i1_memo_key": lambda s, d: _memo(s, d, PARTS).select("key", "input_args"),
     "i2_compute_missing": lambda s, d: _compute(s, d)[0].select("l_orderkey", "l_linenumber", "l_partkey", "key", "result"),
     "i2_memo_additions": lambda s, d: _compute(s, d)[1],
-    "i3_clear_all": lambda s, d: I.clear_all(_memo(s, d)),
-    "i4_evict": lambda s, d: I.evict(_memo(s, d), "c1ccc"),
-    "i4_evict_all": lambda s, d: I.evict_all(_memo(s, d), derive(s, d, f"SELECT concat('C(F)', {pool_of('n_nationkey')}) AS smiles FROM nation")),
+    "i3_clear_all": _cleared,
+    "i4_evict": lambda s, d: I.evict(_memo(s, d, PARTS), "c1ccc"),
+    "i4_evict_all": lambda s, d: I.evict_all(_memo(s, d, PARTS), derive(s, d, f"SELECT concat('C(F)', {pool_of('n_nationkey')}) AS smiles FROM nation")),
     "j1_first_step": lambda s, d: J.first_step(*reversed(_flat(s, d)))[0],
     "j2_attach_results": lambda s, d: J.attach_results(
         load(s, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey"),
@@ -326,16 +335,17 @@ def _req(strict: bool) -> str:
 
 _CLASSES = ", ".join(f"({c}, '{n}', {v})" for c, _, n, v in dims.REACTION_CLASSES)
 _MEMO = f"SELECT {_KEY} AS key, '{{\"smiles\":\"' || smiles || '\"}}' AS input_args, 'stored' AS result FROM ({DONE})"
+_MEMO_ALL = _MEMO.replace(DONE, PARTS)
 _UNMASK = "replace(replace(replace(smiles, '$', 'OC'), '%', 'COCc1ccccc1'), '&', 'COC')"
 _VOTES = "SELECT l_returnflag AS label, CASE WHEN l_quantity > 30 THEN 'N' WHEN l_quantity > 15 THEN 'A' ELSE 'R' END AS prediction FROM lineitem"
 
 ORACLES = {
-    "i1_memo_key": f"SELECT key, input_args FROM ({_MEMO})",
+    "i1_memo_key": f"SELECT key, input_args FROM ({_MEMO_ALL})",
     "i2_compute_missing": f"WITH w AS ({WORK}), m AS ({_MEMO}) SELECT l_orderkey, l_linenumber, l_partkey, {_KEY} AS key, CASE WHEN {_KEY} IN (SELECT key FROM m) THEN 'stored' ELSE {_UNMASK} END AS result FROM w",
     "i2_memo_additions": f"WITH w AS (SELECT DISTINCT smiles FROM ({WORK})), m AS ({_MEMO}) SELECT {_KEY} AS key, '{{\"smiles\":\"' || smiles || '\"}}' AS input_args, {_UNMASK} AS result FROM w WHERE {_KEY} NOT IN (SELECT key FROM m)",
-    "i3_clear_all": f"SELECT * FROM ({_MEMO}) WHERE false",
-    "i4_evict": f"SELECT * FROM ({_MEMO}) WHERE NOT contains(input_args, 'c1ccc')",
-    "i4_evict_all": f"SELECT * FROM ({_MEMO}) m WHERE NOT EXISTS (SELECT 1 FROM nation WHERE contains(m.input_args, concat('C(F)', {pool_of('n_nationkey')})))",
+    "i3_clear_all": f"SELECT count(*) AS n_before, CAST(0 AS BIGINT) AS n_after FROM ({_MEMO_ALL})",
+    "i4_evict": f"SELECT * FROM ({_MEMO_ALL}) WHERE NOT contains(input_args, 'c1ccc')",
+    "i4_evict_all": f"SELECT * FROM ({_MEMO_ALL}) m WHERE NOT EXISTS (SELECT 1 FROM nation WHERE contains(m.input_args, concat('C(F)', {pool_of('n_nationkey')})))",
     "j1_first_step": _route("SELECT route_id, ord, smiles, role FROM used WHERE step = 1"),
     "j2_attach_results": "SELECT o_orderkey AS id, o_custkey, event_type FROM orders JOIN events ON event_id = o_orderkey WHERE value > 5 AND event_type IS NOT NULL AND o_custkey IS NOT NULL",
     "j3_product_mismatch": f"SELECT * FROM (SELECT p_partkey AS pair_id, {PART_SMILES} AS input, {smiles_of('p_partkey', '(p_partkey + p_size % 5)')} AS product FROM part) WHERE input <> product",
