@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import stage
+from .frames import settled
+
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,11 +15,11 @@ def components(links: DataFrame) -> DataFrame:
     shuffle, and a join that Spark may split for hot nodes) until nothing changes.  No component
     is ever gathered in one place.
     """
-    edges = stage(links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = settled(links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def small(df: DataFrame) -> DataFrame:
         """Few files for few edges: there are never more than at the start."""
-        return stage(df.coalesce(1 + edge_count // 250_000))
+        return settled(df.coalesce(1 + edge_count // 250_000))
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())

@@ -8,8 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import stage
-from .frames import KEY, batch_of, id_type, join_rows, list_of, row_key, texts
+from .frames import KEY, batch_of, id_type, join_rows, list_of, row_key, settled, texts
 from .hashing import LETTERED, U64, gram_hashes, gram_owners, mix, signed, slices, text_buffer, window_min, word_hashes
 
 
@@ -115,9 +114,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int
     A null or empty text has no words and is clean.  Null or empty items match nothing, items
     without an id are left out, repeated rows on either side change nothing but their own row.
     """
-    bench = stage(_benchmark_words(benchmark, span, k))
+    bench = settled(_benchmark_words(benchmark, span, k))
     short = sorted(r[0] for r in bench.where(F.size("item_words") < span).select(F.size("item_words")).distinct().collect())  # under span values
-    marks = stage(bench.select("item_key", F.inline(F.arrays_zip("gram", "item_pos"))))
+    marks = settled(bench.select("item_key", F.inline(F.arrays_zip("gram", "item_pos"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 4 << 20):
@@ -132,7 +131,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int
     # a first row per document carries its length through the join, whatever it matches
     rows = read.select(KEY, "doc_id", "n_words", F.inline(F.concat(
         F.array(F.struct(F.lit(None).cast("long").alias("gram"), F.lit(-1).alias("pos"))), F.arrays_zip("gram", "pos"))))
-    met = stage(rows.join(marks, "gram", "left").where("pos < 0 OR item_key IS NOT NULL").select(
+    met = settled(rows.join(marks, "gram", "left").where("pos < 0 OR item_key IS NOT NULL").select(
         KEY, "doc_id", "n_words", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift")))
     candidates = (
         met.where("item_key IS NOT NULL").groupBy(KEY, "doc_id", "item_key").agg(F.collect_set("shift").alias("shifts"))

@@ -5,6 +5,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import stage
+
 KEY = "_row_key"
 
 
@@ -25,6 +27,13 @@ def join_rows(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFram
     return left.join(right, same, how).drop("_right_key", "_right_id")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``stage``, then a hint to the driver's JVM, so that Spark's cleaner drops the shuffle files behind it."""
+    out = stage(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def id_type(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 

@@ -8,9 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import stage
 from .components import components
-from .frames import KEY, batch_of, id_type, list_of, texts
+from .frames import KEY, batch_of, id_type, list_of, settled, texts
 from .hashing import SPACED, U64, gram_hashes, gram_owners, mix, signed, slices, text_buffer, whole, word_hashes
 
 _SKETCH_BITS = 16
@@ -120,10 +119,10 @@ def similar_texts(docs: DataFrame, k: int = 5, percent: int = 80, orders: int =
 
     Texts with one word sequence are one node.  Nodes meet where they share a shingle of their
     prefixes under the first order; a pair is verified on its whole sets only if its prefixes
-    also meet under every other order.  Two passes keep hot buckets from emitting all their pairs:
+    also meet under every other order.  These passes keep hot buckets from emitting all their pairs:
 
-    1. every node of a bucket is paired with one centre, chosen by hash, so a node gets as many
-       centres as it has prefix shingles; links found make components;
+    1. every node of a bucket is paired with one centre, chosen by hash; of a node's centres first
+       three are tested, then those of other components; links found make components;
     2. in each bucket, nodes outside the bucket's largest component are paired with those of
        other components.  Pairs inside a component need no test, so no link that would join two
        components is missed.
@@ -144,23 +143,38 @@ def similar_texts(docs: DataFrame, k: int = 5, percent: int = 80, orders: int =
             yield batch_of(out)
 
     schema = f"{KEY} long, doc_id {id_type(docs)}, node long, n long, p0 array<long>" + "".join(f", p{o} array<int>" for o in range(1, orders))
-    base = stage(rows.mapInArrow(read, schema))
+    base = settled(rows.mapInArrow(read, schema))
 
     indexed = base.select("node", F.explode("p0").alias("token"))
-    buckets = indexed.groupBy("token").agg(
-        F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(F.struct(F.xxhash64("node", "token"), "node")).alias("c"),
-    ).where("lo < hi").select("token", F.col("c.node").alias("centre"))
-    members = stage(indexed.join(buckets, "token").select("token", "node", "centre").distinct())
+    # the node of a bucket with the least XOR with the token: another one in each bucket
+    turned = F.col("node").bitwiseXOR(F.col("token"))
+    buckets = indexed.groupBy("token").agg(F.min(turned).alias("lo"), F.max(turned).alias("hi")).where("lo < hi").select(
+        "token", F.col("lo").bitwiseXOR(F.col("token")).alias("centre"))
+    members = settled(indexed.join(buckets, "token").select("token", "node", "centre").distinct())
     nodes = members.select("node").distinct()
     known = base.join(nodes, "node")
-    prefixes = stage(known.groupBy("node").agg(F.min(KEY).alias(KEY), *[F.first(c).alias(c) for c in ("n", *[f"p{o}" for o in range(1, orders)])]))
-    contents = stage(rows.select(KEY, "text").join(prefixes.select(KEY, "node"), KEY).select("node", "text"))
-
-    starred = members.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    links = stage(_verified(_filtered(starred, prefixes, percent, orders), contents, k, percent))
-    labels = stage(components(links))
-
-    placed = stage(members.select("token", "node").join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label")))
+    prefixes = settled(known.groupBy("node").agg(F.min(KEY).alias(KEY), *[F.first(c).alias(c) for c in ("n", *[f"p{o}" for o in range(1, orders)])]))
+    contents = settled(rows.select(KEY, "text").join(prefixes.select(KEY, "node"), KEY).select("node", "text"))
+
+    # first a few centres of each node, then, where these left components apart, all of its centres
+    spokes = members.where("node <> centre").select("node", "centre").distinct()
+    nearest = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("node", "centre"), "centre"))), 1, 3)
+    few = spokes.groupBy("node").agg(nearest.alias("c")).select("node", F.explode("c.centre").alias("centre"))
+    few = settled(few.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
+    links = settled(_verified(_filtered(few, prefixes, percent, orders), contents, k, percent))
+    labels = settled(components(links))
+
+    def label_of(name: str) -> DataFrame:
+        return labels.select(F.col("node").alias(name), F.col("label").alias(f"label_{name}"))
+
+    apart = spokes.join(label_of("node"), "node", "left").join(label_of("centre"), "centre", "left").where(
+        F.coalesce("label_node", "node") != F.coalesce("label_centre", "centre"))
+    apart = settled(apart.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct().join(few, ["a", "b"], "left_anti"))
+    links = settled(links.unionByName(_verified(_filtered(apart, prefixes, percent, orders), contents, k, percent)))
+    labels = settled(components(links))
+    tested = few.unionByName(apart)
+
+    placed = settled(members.select("token", "node").join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label")))
     largest = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(
         F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     mixed = placed.join(largest, "token")
@@ -168,10 +182,10 @@ def similar_texts(docs: DataFrame, k: int = 5, percent: int = 80, orders: int =
     inner = mixed.select("token", F.col("node").alias("b"), F.col("label").alias("label_b"), "main")
     # a pair of two outer nodes comes up from both sides; it is kept from one
     rest = outer.join(inner, "token").where("label_a <> label_b AND (label_b = main OR a < b)").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(starred, ["a", "b"], "left_anti")
-    more = stage(_verified(_filtered(rest, prefixes, percent, orders), contents, k, percent))
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    more = settled(_verified(_filtered(rest, prefixes, percent, orders), contents, k, percent))
     if not more.isEmpty():
-        labels = stage(components(links.unionByName(more)))
+        labels = settled(components(links.unionByName(more)))
 
     labelled = base.join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
     least = labelled.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))

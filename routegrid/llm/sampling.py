@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.staging import stage
-from .frames import id_type
+from .frames import id_type, settled
 from .hashing import SPACED, U64, mix, randoms, text_buffer, word_hashes
 
 _BLOCK = 1 << 11  # weighted terms sampled at once
@@ -157,7 +156,7 @@ def fingerprints(docs: DataFrame, samples: int = 64, most: int = 3 << 20) -> Dat
         if ids:
             yield edge(part, "last", ids[0], texts[0])
 
-    walked = stage(docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(
+    walked = settled(docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(
         walk, f"{schema}, part int, role string, text string"))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
