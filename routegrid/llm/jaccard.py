@@ -150,6 +150,7 @@ def similar_texts(docs: DataFrame, k: int = 5, percent: int = 80, orders: int =
     turned = F.col("node").bitwiseXOR(F.col("token"))
     buckets = indexed.groupBy("token").agg(F.min(turned).alias("lo"), F.max(turned).alias("hi")).where("lo < hi").select(
         "token", F.col("lo").bitwiseXOR(F.col("token")).alias("centre"))
+    buckets = settled(buckets)  # a join right on top of an aggregate could not split a hot bucket
     members = settled(indexed.join(buckets, "token").select("token", "node", "centre").distinct())
     nodes = members.select("node").distinct()
     known = base.join(nodes, "node")

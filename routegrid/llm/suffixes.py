@@ -326,14 +326,15 @@ def repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     k = length * 4 // 5
     rows = texts(docs).select(KEY, "text")
     runs = rows.mapInArrow(lambda b: _scan(b, length, k), f"{KEY} long, anchor long, content long, start int, many int, place int")
-    common = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # written first: a join right on top of an aggregate could not split a hot anchor
+    common = settled(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
     shared = settled(runs.join(common, "anchor"))
     kinds = settled(shared.groupBy("anchor", "content").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(KEY, "start", "many", "place")).alias("one")))
     whole = shared.join(kinds.where("n > 1").select("anchor", "content"), ["anchor", "content"]).select(
         KEY, "start", (F.col("start") + F.col("many") + F.lit(length - 1)).alias("end"))
 
-    open_ = kinds.where("n = 1").select("anchor").distinct()
+    open_ = settled(kinds.where("n = 1").select("anchor").distinct())
     listed = kinds.join(open_, "anchor").select("anchor", (F.col("n") == 1).alias("alone"), "one.*")
     listed = listed.groupBy(KEY).agg(F.collect_list(F.struct("anchor", "start", "many", "place", "alone")).alias("listed"))
     contexts = settled(rows.join(listed, KEY).mapInArrow(
