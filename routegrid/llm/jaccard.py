@@ -12,7 +12,7 @@ from .components import components
 from .frames import KEY, batch_of, id_type, list_of, settled, texts
 from .hashing import SPACED, U64, gram_hashes, gram_owners, mix, signed, slices, text_buffer, whole, word_hashes
 
-_SKETCH_BITS = 16
+_SKETCH_BITS = 18
 
 
 def _sets(part: pa.RecordBatch, k: int, column: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -36,7 +36,7 @@ def _sets(part: pa.RecordBatch, k: int, column: str = "text") -> tuple[np.ndarra
 
 
 def _frequencies(rows: DataFrame, k: int) -> np.ndarray:
-    """How many shingles of all texts fall into each of 2**16 slots; 512 KB whatever the input."""
+    """How many shingles of all texts fall into each of 2**18 slots; 2 MB whatever the input."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << _SKETCH_BITS, np.int64)
         for part in slices(batches, "text", 4 << 20):
@@ -100,14 +100,20 @@ def _verified(pairs: DataFrame, contents: DataFrame, k: int, percent: int) -> Da
 
 
 def _filtered(pairs: DataFrame, prefixes: DataFrame, percent: int, orders: int) -> DataFrame:
-    """The pairs (a, b) whose sizes allow the similarity and that share a prefix shingle under every order."""
-    def side(name: str) -> DataFrame:
-        return prefixes.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", *[f"p{o}" for o in range(1, orders)])])
+    """The pairs (a, b) whose sizes allow the similarity and that share a prefix shingle under every order.
 
-    fits: Column = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    for o in range(1, orders):
-        fits = fits & F.arrays_overlap(f"p{o}_a", f"p{o}_b")
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b")
+    Sizes come first, so that only the pairs they leave carry prefixes through a shuffle.
+    """
+    def side(name: str, columns: list[str]) -> DataFrame:
+        return prefixes.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+    pairs = pairs.join(side("a", ["n"]), "a").join(side("b", ["n"]), "b").where(
+        F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b")
+    others = [f"p{o}" for o in range(1, orders)]
+    meet: Column = F.lit(True)
+    for c in others:
+        meet = meet & F.arrays_overlap(f"{c}_a", f"{c}_b")
+    return pairs.join(side("a", others), "a").join(side("b", others), "b").where(meet).select("a", "b")
 
 
 def similar_texts(docs: DataFrame, k: int = 5, percent: int = 80, orders: int = 3) -> DataFrame:
@@ -145,46 +151,52 @@ def similar_texts(docs: DataFrame, k: int = 5, percent: int = 80, orders: int =
     schema = f"{KEY} long, doc_id {id_type(docs)}, node long, n long, p0 array<long>" + "".join(f", p{o} array<int>" for o in range(1, orders))
     base = settled(rows.mapInArrow(read, schema))
 
-    indexed = base.select("node", F.explode("p0").alias("token"))
+    indexed = base.select("node", "n", F.explode("p0").alias("token"))
     # the node of a bucket with the least XOR with the token: another one in each bucket
     turned = F.col("node").bitwiseXOR(F.col("token"))
     buckets = indexed.groupBy("token").agg(F.min(turned).alias("lo"), F.max(turned).alias("hi")).where("lo < hi").select(
         "token", F.col("lo").bitwiseXOR(F.col("token")).alias("centre"))
     buckets = settled(buckets)  # a join right on top of an aggregate could not split a hot bucket
-    members = settled(indexed.join(buckets, "token").select("token", "node", "centre").distinct())
+    members = settled(indexed.join(buckets, "token").select("token", "node", "n", "centre").distinct())
     nodes = members.select("node").distinct()
     known = base.join(nodes, "node")
     prefixes = settled(known.groupBy("node").agg(F.min(KEY).alias(KEY), *[F.first(c).alias(c) for c in ("n", *[f"p{o}" for o in range(1, orders)])]))
-    contents = settled(rows.select(KEY, "text").join(prefixes.select(KEY, "node"), KEY).select("node", "text"))
 
+    def contents(pairs: DataFrame) -> DataFrame:
+        """The texts of the nodes of some pairs."""
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return settled(rows.select(KEY, "text").join(prefixes.select(KEY, "node").join(nodes, "node"), KEY).select("node", "text"))
+
+    spokes = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    likely = settled(_filtered(spokes, prefixes, percent, orders))
+    found = contents(likely)
     # first a few centres of each node, then, where these left components apart, all of its centres
-    spokes = members.where("node <> centre").select("node", "centre").distinct()
-    nearest = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("node", "centre"), "centre"))), 1, 3)
-    few = spokes.groupBy("node").agg(nearest.alias("c")).select("node", F.explode("c.centre").alias("centre"))
-    few = settled(few.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
-    links = settled(_verified(_filtered(few, prefixes, percent, orders), contents, k, percent))
+    nearest = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("a", "b"), "b"))), 1, 3)
+    few = settled(likely.groupBy("a").agg(nearest.alias("c")).select("a", F.explode("c.b").alias("b")))
+    links = settled(_verified(few, found, k, percent))
     labels = settled(components(links))
 
     def label_of(name: str) -> DataFrame:
         return labels.select(F.col("node").alias(name), F.col("label").alias(f"label_{name}"))
 
-    apart = spokes.join(label_of("node"), "node", "left").join(label_of("centre"), "centre", "left").where(
-        F.coalesce("label_node", "node") != F.coalesce("label_centre", "centre"))
-    apart = settled(apart.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct().join(few, ["a", "b"], "left_anti"))
-    links = settled(links.unionByName(_verified(_filtered(apart, prefixes, percent, orders), contents, k, percent)))
+    apart = likely.join(few, ["a", "b"], "left_anti").join(label_of("a"), "a", "left").join(label_of("b"), "b", "left").where(
+        F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+    links = settled(links.unionByName(_verified(apart, found, k, percent)))
     labels = settled(components(links))
-    tested = few.unionByName(apart)
+    tested = spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    placed = settled(members.select("token", "node").join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label")))
+    placed = settled(members.join(labels, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label")))
     largest = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(
         F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     mixed = placed.join(largest, "token")
-    outer = mixed.where("label <> main").select("token", F.col("node").alias("a"), F.col("label").alias("label_a"))
-    inner = mixed.select("token", F.col("node").alias("b"), F.col("label").alias("label_b"), "main")
+    outer = mixed.where("label <> main").select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
+    inner = mixed.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), "main")
     # a pair of two outer nodes comes up from both sides; it is kept from one
-    rest = outer.join(inner, "token").where("label_a <> label_b AND (label_b = main OR a < b)").select(
+    rest = outer.join(inner, "token").where(
+        f"label_a <> label_b AND (label_b = main OR a < b) AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = settled(_verified(_filtered(rest, prefixes, percent, orders), contents, k, percent))
+    rest = settled(_filtered(rest, prefixes, percent, orders))
+    more = settled(_verified(rest, contents(rest), k, percent)) if not rest.isEmpty() else rest
     if not more.isEmpty():
         labels = settled(components(links.unionByName(more)))
 
