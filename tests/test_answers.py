@@ -54,8 +54,10 @@ def test_first_good_attempt(spark):
         ("CCF", "m", 0, 200, text(["[CH2+]C"])), ("CCF", "m", 1, 200, text(["CC"])),
     ]
     df = spark.createDataFrame(rows, "target string, model string, attempt int, status_code int, text string")
-    got = {(r["target"], r["attempt"], r["rank"]) for r in R.first_good_attempt(df, dims.model_families(spark)).collect()}
+    got = {(r["target"], r["attempt"], r["rank"]) for r in R.first_good_attempt(df, dims.model_families(spark), attempts=6).collect()}
     assert got == {("CCOC(C)=O", 1, 1), ("CCCl", 3, 1), ("CCF", 0, 0)}
+    every = {(r["target"], r["attempt"], r["rank"]) for r in R.first_good_attempt(df, dims.model_families(spark)).collect()}
+    assert every == got | {("CCN", 6, 0)}
     checked = {(r["target"], r["attempt"]) for r in R.first_good_attempt(df, dims.model_families(spark), True, True).collect()}
     assert ("CCF", 1) in checked and ("CCN", 6) in checked and ("CCOC(C)=O", 1) in checked
 
@@ -70,3 +72,10 @@ def test_metadata_answers(spark):
     rows = {r["id"]: r for r in R.parse_reagents(reag).collect()}
     assert [rows[i]["status"] for i in range(3)] == [200, 404, 404]
     assert rows[0]["reagents"][0]["chemical_formula"] == "H2O"
+
+
+def test_validity_filter_tells_answers_apart(spark):
+    rows = [(1, "CCO", 0, ["CCCC"]), (2, "CCO", 0, ["Cx"]), (3, "CCN", 0, ["CCC"])]
+    df = spark.createDataFrame(rows, "id int, target string, rank int, reactants array<string>")
+    assert {r["id"] for r in R.validity_filter(df, ("id", "rank")).collect()} == {1, 3}
+    assert {r["id"] for r in R.validity_filter(df).collect()} == {3}
