@@ -75,11 +75,12 @@ def test_confidence(spark):
     (2, [(1, 2)], 2, 0, [], [1], []),
 ])
 def test_splice_goldens(spark, n, deps, start, new, new_deps, want_steps, want):
-    steps = spark.createDataFrame([(1, i + 1) for i in range(n)], "route_id int, step int")
+    # nobody asked to splice route 2
+    steps = spark.createDataFrame([(1, i + 1) for i in range(n)] + [(2, 1)], "route_id int, step int")
     edges = spark.createDataFrame([(1, a, b) for a, b in deps], "route_id int, step int, dep int")
     starts = spark.createDataFrame([(1, start)], "route_id int, step int")
-    new_steps = spark.createDataFrame([(1, i + 1) for i in range(new)], "route_id int, step int")
-    new_edges = spark.createDataFrame([(1, a, b) for a, b in new_deps], "route_id int, step int, dep int")
+    new_steps = spark.createDataFrame([(1, i + 1) for i in range(new)] + [(2, 1), (2, 2)], "route_id int, step int")
+    new_edges = spark.createDataFrame([(1, a, b) for a, b in new_deps] + [(2, 1, 2)], "route_id int, step int, dep int")
     merged, all_edges = H.splice(steps, edges, starts, new_steps, new_edges)
     assert sorted(r["step"] for r in merged.collect()) == want_steps
     assert sorted((r["step"], r["dep"]) for r in all_edges.collect()) == want
