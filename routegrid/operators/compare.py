@@ -6,6 +6,8 @@ rows: the feature side is unique per text, so AQE may split such a partition fre
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -225,15 +227,16 @@ def _joined_features(parts: Column) -> Column:
     )
 
 
-def pathway_table(pathways: DataFrame, features: DataFrame | None = None) -> DataFrame:
+def pathway_table(pathways: DataFrame, features: DataFrame | None = None, key: Sequence[str] = ("target", "rank")) -> DataFrame:
     """`compare_table` for ``pathways(target, rank, reactants)``: dot-joined reactants
     against the target.
 
     Molecules are analysed one by one and their features added up, so a molecule used by
     many pathways costs once.  Only where a reactant cannot be read alone (its ring digits
-    may close in another one) is the joined text analysed as a whole.
+    may close in another one) is the joined text analysed as a whole.  ``key`` names the
+    columns that tell pathways apart.
     """
-    key = ["target", "rank"]
+    key = [*key, *[c for c in ["target"] if c not in key]]
     parts = pathways.select(*key, F.posexplode("reactants").alias("place", "smiles"))
     if features is None:
         texts = parts.select("smiles").union(pathways.select("target"))
@@ -359,10 +362,10 @@ def consistency_scores(table: DataFrame) -> DataFrame:
     )
 
 
-def consistency_filter(pathways: DataFrame) -> DataFrame:
+def consistency_filter(pathways: DataFrame, key: Sequence[str] = ("target", "rank")) -> DataFrame:
     """``pathways(target, rank, reactants)``; keeps those scored low or medium risk."""
-    kept = consistency_scores(pathway_table(pathways)).where(F.col("severity").isin("low", "medium"))
-    return pathways.join(kept.select("target", "rank"), ["target", "rank"], "left_semi")
+    kept = consistency_scores(pathway_table(pathways, key=key)).where(F.col("severity").isin("low", "medium"))
+    return pathways.join(kept.select(*key), list(key), "left_semi")
 
 
 def position_pairs(table: DataFrame) -> DataFrame:
