@@ -152,7 +152,7 @@ def backoff_scores(docs: DataFrame, alpha: float = 0.4) -> DataFrame:
     size = rows.agg(F.sum("n_words").alias("words"), F.sum(F.octet_length("text")).alias("bytes")).first()
     all_words, buckets = int(size["words"] or 0), 1 + int(size["bytes"] or 0) // _BUCKET
     asked = rows.select("batch", "text").mapInArrow(lambda b: _ask(b, buckets), "bucket int, batch long, grams binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(_count, "batch long, bucket int, totals binary, wide boolean")
+    answers = settled(asked.groupBy("bucket").applyInArrow(_count, "batch long, bucket int, totals binary, wide boolean"))
     id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
