@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .frames import id_type, settled
 from .hashing import SPACED, U64, gram_hashes, mix, slices, text_buffer, word_hashes
 
-_BATCH = 8 << 20  # bytes of text whose n-grams are looked up together
+_BATCH = 12 << 20  # bytes of text whose n-grams are looked up together
 _BUCKET = 16 << 20  # bytes of text per bucket of the count table
 
 
