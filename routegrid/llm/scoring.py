@@ -52,7 +52,7 @@ def _ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordB
 
 
 def _by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array]]:
-    """Texts of each batch number; a batch's rows follow one another."""
+    """Texts of each batch number, as far as its rows follow one another here."""
     number, held = None, []
     for batch in batches:
         numbers = np.asarray(batch.column("batch"))
@@ -70,15 +70,22 @@ def _by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array
 
 
 def _count(group: pa.Table) -> pa.Table:
-    """One bucket of the count table, joined back to every batch that asked for its n-grams."""
+    """One bucket of the count table, joined back to every batch that asked for its n-grams.
+
+    A batch whose rows were read apart asks several times; it gets one answer for the union of what it asked.
+    """
+    group = group.sort_by("batch")
     asked = [np.frombuffer(x.as_py(), U64) for x in group.column("grams")]
     counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group.column("counts")])
     _, index = np.unique(np.concatenate(asked), return_inverse=True)
-    totals = np.bincount(index, weights=counts).astype(np.int64)[index].astype(np.uint64)
+    totals = np.bincount(index, weights=counts).astype(np.int64).astype(np.uint64)
     ends = np.cumsum([0, *map(len, asked)])
-    small = [totals[x:y] for x, y in zip(ends, ends[1:])]
+    batches, first = np.unique(np.asarray(group.column("batch")), return_index=True)
+    asks = np.diff(np.append(first, len(asked)))
+    # numbers follow the order of the hashes, and so do the answers
+    small = [totals[index[ends[f]:ends[f + 1]] if n == 1 else np.unique(index[ends[f]:ends[f + n]])] for f, n in zip(first, asks)]
     return pa.table({
-        "batch": group.column("batch"), "bucket": group.column("bucket"),
+        "batch": pa.array(batches, pa.int64()), "bucket": pa.array([group.column("bucket")[0].as_py()] * len(batches), pa.int32()),
         "totals": pa.array([(t.astype(np.uint32) if t.max() < 1 << 32 else t).tobytes() for t in small], pa.binary()),
         "wide": pa.array([bool(t.max() >= 1 << 32) for t in small], pa.bool_()),
     })
@@ -123,8 +130,9 @@ def backoff_scores(docs: DataFrame, alpha: float = 0.4) -> DataFrame:
     1. Texts are put into batches of bounded size; each batch asks for its distinct words and
        bigrams with its own numbers of them (counts combine before the shuffle).
     2. The count table is partitioned by hash range into buckets; a bucket adds up its n-grams
-       and answers each batch.  A bucket gets an n-gram once per batch, so a frequent one is no
-       hot key; the number of buckets follows the input.
+       and answers each batch once.  A bucket gets an n-gram once per batch (once more for each
+       further task that read rows of it), so a frequent one is no hot key; the number of buckets
+       follows the input.
     3. Each batch meets its answers and sums the scores of each text.
 
     A null or empty text has no words and scores 0.  Repeated rows are texts of their own and

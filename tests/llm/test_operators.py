@@ -231,6 +231,22 @@ def test_scores_match_sql(spark, texts):
     assert got == want and scoring.backoff_scores(documents(spark, [])).count() == 0
 
 
+def test_scores_of_a_batch_read_by_several_tasks(spark):
+    rng = random.Random(4)
+    docs = documents(spark, [words_of(rng, 30, 4000) for _ in range(3000)]).coalesce(1)
+    score = lambda: sorted(tuple(r) for r in scoring.backoff_scores(docs).withColumn("log_score", F.round("log_score", 6)).collect())
+    want = score()
+    hadoop, files = spark.sparkContext._jsc.hadoopConfiguration(), "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(files)
+    try:
+        hadoop.set("parquet.block.size", str(32 << 10))
+        spark.conf.set(files, str(48 << 10))
+        assert score() == want
+    finally:
+        hadoop.unset("parquet.block.size")
+        spark.conf.set(files, before)
+
+
 def test_chat(spark):
     hello = [("user", "hi"), ("assistant", "yo"), ("user", "more"), ("assistant", None)]
     logs = {1: hello[:1], 2: hello[:3], 3: hello, 4: hello, 5: [("user", "hi"), ("assistant", "other")], 6: [("system", "")], 7: hello[1:]}
