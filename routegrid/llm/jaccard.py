@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import KEY, batch_of, id_type, list_of, settled, texts
+from .frames import KEY, batch_of, id_type, join_rows, list_of, row_key, settled, texts
 from .hashing import SPACED, U64, gram_hashes, gram_owners, mix, signed, slices, text_buffer, whole, word_hashes
 
 _SKETCH_BITS = 18
@@ -116,26 +116,8 @@ def _filtered(pairs: DataFrame, prefixes: DataFrame, percent: int, orders: int)
     return pairs.join(side("a", others), "a").join(side("b", others), "b").where(meet).select("a", "b")
 
 
-def similar_texts(docs: DataFrame, k: int = 5, percent: int = 80, orders: int = 3) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id.
-
-    A text's set is its distinct shingles of k words (A-Z lower-cased; with fewer words the
-    whole sequence; none without words).  Texts link when 100 * intersection >= percent * union.
-    ``component_id`` is the least doc_id reachable over links, the row's own without any.
-
-    Texts with one word sequence are one node.  Nodes meet where they share a shingle of their
-    prefixes under the first order; a pair is verified on its whole sets only if its prefixes
-    also meet under every other order.  These passes keep hot buckets from emitting all their pairs:
-
-    1. every node of a bucket is paired with one centre, chosen by hash; of a node's centres first
-       three are tested, then those of other components; links found make components;
-    2. in each bucket, nodes outside the bucket's largest component are paired with those of
-       other components.  Pairs inside a component need no test, so no link that would join two
-       components is missed.
-
-    Null and empty texts have no shingles and stay alone; so do ids that are null, which join no
-    component id.  Repeated rows get equal results.
-    """
+def _linked(docs: DataFrame, k: int = 5, percent: int = 80, orders: int = 3) -> DataFrame:
+    """_row_key, doc_id, n (shingles) and label (one per component; of no use where n is 0) of every row, for ``similar_texts``."""
     rows = texts(docs)
     frequency = _frequencies(rows, k)
 
@@ -200,7 +182,30 @@ def similar_texts(docs: DataFrame, k: int = 5, percent: int = 80, orders: int =
     if not more.isEmpty():
         labels = settled(components(links.unionByName(more)))
 
-    labelled = base.join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
+    return base.join(labels, "node", "left").select(KEY, "doc_id", "n", F.coalesce("label", "node").alias("label"))
+
+
+def similar_texts(docs: DataFrame, k: int = 5, percent: int = 80, orders: int = 3) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+
+    A text's set is its distinct shingles of k words (A-Z lower-cased; with fewer words the
+    whole sequence; none without words).  Texts link when 100 * intersection >= percent * union.
+    ``component_id`` is the least doc_id reachable over links, the row's own without any.
+
+    Texts with one word sequence are one node.  Nodes meet where they share a shingle of their
+    prefixes under the first order; a pair is verified on its whole sets only if its prefixes
+    also meet under every other order.  These passes keep hot buckets from emitting all their pairs:
+
+    1. every node of a bucket is paired with one centre, chosen by hash; of a node's centres first
+       three are tested, then those of other components; links found make components;
+    2. in each bucket, nodes outside the bucket's largest component are paired with those of
+       other components.  Pairs inside a component need no test, so no link that would join two
+       components is missed.
+
+    Null and empty texts have no shingles and stay alone; so do ids that are null, which join no
+    component id.  Repeated rows get equal results.
+    """
+    labelled = _linked(docs, k, percent, orders)
     least = labelled.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     return labelled.join(least, "label", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
@@ -208,6 +213,21 @@ def similar_texts(docs: DataFrame, k: int = 5, percent: int = 80, orders: int =
 
 
 def one_of_each(docs: DataFrame, **limits: int) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its component; rows with a null id stay, ids stay once."""
-    other = similar_texts(docs, **limits).where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(other, docs["doc_id"] == other["_other"], "left_anti")
+    """Exactly one row of ``docs`` per component: that of the least id (a null id is the last), then of the least row key.
+
+    Rows are told apart by id and text: rows that share an id are judged one by one, and of
+    rows equal in both one stays.  A text without shingles is alone, so only its equal rows go.
+    """
+    # a label and a row key may be the same number, so "n > 0" is part of the group
+    each = settled(_linked(docs, **limits).groupBy(
+        KEY, "doc_id", (F.col("n") > 0).alias("some"), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col(KEY)).alias("part")
+    ).agg(F.count(F.lit(1)).alias("times")))
+    kept = each.groupBy("some", "part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", KEY)).alias("least")).select(
+        F.col("least")[KEY].alias(KEY), F.col("least")["doc_id"].alias("doc_id"))
+    repeated = settled(join_rows(each.where("times > 1"), kept, "left_semi").select(KEY, "doc_id"))
+    left = settled(join_rows(each, kept, "left_anti").select(KEY, "doc_id").unionByName(repeated))
+    rows = docs.select(row_key("doc_id", "text").alias(KEY), "doc_id", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    out = join_rows(rows, left, "left_anti")
+    if not repeated.isEmpty():
+        out = out.unionByName(join_rows(rows, repeated, "left_semi").dropDuplicates([KEY, "doc_id"]))
+    return out.select("row.*")

@@ -136,6 +136,19 @@ def test_jaccard(spark, texts, k, percent):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in twice.collect()} == got and twice.count() == 2 * len(texts)
 
 
+def test_one_of_each_row(spark):
+    rng = random.Random(8)
+    a, b, c, d = (words_of(rng, 60, 4000) for _ in range(4))
+    rows = [(1, a), (1, a), (2, a), (2, b), (3, b), (None, c), (None, c), (None, d), (4, d), (None, None), (5, ""), (5, ""), (6, ""), (7, c + " end")]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id bigint, text string, _row_key string")
+    got = jaccard.one_of_each(docs, k=5, percent=80)
+    assert got.columns == docs.columns
+    want = [(1, a), (2, b), (4, d), (7, c + " end"), (None, None), (5, ""), (6, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    alone = jaccard.one_of_each(docs.where("doc_id IS NULL"), k=5, percent=80)
+    assert sorted((r["text"] for r in alone.collect()), key=str) == sorted([c, d, None], key=str)
+
+
 @pytest.mark.parametrize("length", [20, 400])
 def test_suffixes(spark, texts, length):
     data = [(t or "").encode() for t in texts]
