@@ -5,6 +5,8 @@ is a projection over one row: no shuffle, whatever the number of molecules.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -273,8 +275,8 @@ def of_heavy(at: Column, values: Column) -> Column:
     return F.transform(heavy(at), lambda a: F.get(values, a["idx"]))
 
 
-def _environments(at: Column, rings: Column, radius: int) -> Column:
-    """Hash of every atom's surroundings for each radius 0..radius, as one flat list."""
+def _neighbour_hashes(at: Column, rings: Column) -> tuple[Column, Callable[[Column], Column]]:
+    """Every atom's first hash, and how a round of hashing its neighbours turns all hashes into the next ones."""
 
     def bond(a: Column, x: Column) -> Column:
         other = F.get(at, x["n"])
@@ -287,9 +289,8 @@ def _environments(at: Column, rings: Column, radius: int) -> Column:
             "|", a["el"], a["arom"].cast("int"), a["charge"], a["h"], F.size(a["nbrs"]))),
     )
 
-    def grow(state: Column, _: Column) -> Column:
-        now = state["now"]
-        nxt = F.transform(
+    def turn(now: Column) -> Column:
+        return F.transform(
             at,
             lambda a: F.md5(F.concat(
                 F.get(now, a["idx"]), F.lit("|"),
@@ -297,7 +298,16 @@ def _environments(at: Column, rings: Column, radius: int) -> Column:
                     a["nbrs"], lambda x: F.concat(bond(a, x), F.lit(":"), F.get(now, x["n"])))), ","),
             )),
         )
-        return let(nxt, lambda n: F.struct(
+
+    return start, turn
+
+
+def _environments(at: Column, rings: Column, radius: int) -> Column:
+    """Hash of every atom's surroundings for each radius 0..radius, as one flat list."""
+    start, turn = _neighbour_hashes(at, rings)
+
+    def grow(state: Column, _: Column) -> Column:
+        return let(turn(state["now"]), lambda n: F.struct(
             n.alias("now"), F.concat(state["seen"], of_heavy(at, n)).alias("seen")))
 
     first = let(start, lambda n: F.struct(n.alias("now"), of_heavy(at, n).alias("seen")))
@@ -313,14 +323,29 @@ def environment_hashes(s: DataFrame, radius: int) -> DataFrame:
     return s.where("valid").withColumn("envs", env)
 
 
+def _settled_hashes(at: Column, rings: Column, rounds: int) -> Column:
+    """Atom hashes after ``rounds`` rounds and as many more as tell further atoms apart (at most one per atom)."""
+    start, turn = _neighbour_hashes(at, rings)
+
+    def state(now: Column, before: Column) -> Column:
+        return let(now, lambda n: F.struct(
+            n.alias("now"), before.alias("before"), F.size(F.array_distinct(of_heavy(at, n))).alias("kinds")))
+
+    def grow(s: Column, i: Column) -> Column:
+        return F.when((i <= rounds) | (s["kinds"] > s["before"]), state(turn(s["now"]), s["kinds"])).otherwise(s)
+
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(rounds), F.size(at)))
+    return F.aggregate(steps, state(start, F.lit(0)), grow)["now"]
+
+
 def structure_key(s: DataFrame, rounds: int = 6) -> DataFrame:
     """One text per structure, equal for every way to write the molecule.
 
-    Iterated neighbour hashing; blind to stereo marks and to some regular graphs.
-    NULL for invalid texts.
+    Iterated neighbour hashing, until no round tells more atoms apart (``rounds`` rounds at
+    least); blind to stereo marks and to some regular graphs.  NULL for invalid texts.
     """
     key = let(F.col("atoms"), lambda at: let(
-        _environments(at, F.col("rings"), rounds)["now"],
+        _settled_hashes(at, F.col("rings"), rounds),
         lambda now: F.md5(F.array_join(F.array_sort(of_heavy(at, now)), ","))))
     return s.select("mol_id", F.when(F.col("valid"), key).alias("skey"))
 

@@ -50,6 +50,13 @@ def test_structure_key_ignores_writing(table):
     assert keys[len(same) * 2 + 1] is None
 
 
+def test_structure_key_of_long_chains(table):
+    """A methyl at 15 or at 18 of 40 carbons; the first one also written from the other end."""
+    texts = ["C" * 15 + "(C)" + "C" * 25, "C" * 18 + "(C)" + "C" * 22, "C" * 26 + "(C)" + "C" * 14]
+    keys = [r["skey"] for r in M.structure_key(G.structures(table(texts))).orderBy("mol_id").collect()]
+    assert keys[0] == keys[2] and keys[0] != keys[1] and None not in keys
+
+
 def test_linear_text_reversed_keeps_formula(table):
     texts = ["CCOC(C)N", "NC(C)OCC", "CC(=O)CCCl", "ClCCC(C)=O"]
     rows = {r["mol_id"]: r["chemical_formula"] for r in M.formula_and_mass(table(texts)).collect()}
