@@ -123,16 +123,33 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(x, weights, "same") / np.convolve(np.ones(len(x)), weights, "same") if len(x) > 4 else x
 
 
+def _upper(values: np.ndarray, weights: np.ndarray) -> float:
+    """The least value of the upper of two clusters, or of all values if there are no two.
+
+    Of the cuts that leave at least half of the sum above, the one with the least squares within
+    both sides (of logarithms) is taken; the sides' means must differ by a factor of 2.
+    """
+    order = np.argsort(values)
+    value, w = values[order], weights[order]
+    x, below, total = np.log(value), np.cumsum(w)[:-1], w.sum()
+    low = np.cumsum(w * x)[:-1] / below
+    high = ((w * x).sum() - below * low) / (total - below)
+    allowed = (2 * np.cumsum(w * value)[:-1] <= (w * value).sum()) & (high - low > np.log(2))
+    if not allowed.any():
+        return float(value[0])
+    return float(value[1 + np.argmax(np.where(allowed, below * (total - below) * (high - low) ** 2, -1))])
+
+
 def main_text(page: str | None) -> str:
     """The blocks of the article, in page order, joined by newlines; empty if there are none.
 
     Per tag path, the text length and the punctuation of its nodes are added up and divided by
     their number.  Every block takes its path's two ratios (a third of the length if its path
     is mostly links), both are smoothed over the blocks in page order and fused by their
-    product; a path is content if its blocks' mean is over half of the standard deviation, or is
-    the largest.  The article is the innermost element that holds all content blocks
-    (article or main elements around them, if there are any, else any element), and its
-    blocks are the text.
+    product; a path is content if its blocks' mean is in the upper of two clusters, or is the
+    largest.  The article is what lies in the article or main elements around content blocks, if
+    these hold most of the content's score, else the innermost element that holds all content
+    blocks.
     """
     found = blocks(page or "")
     if not found:
@@ -146,13 +163,13 @@ def main_text(page: str | None) -> str:
     by_marks = np.bincount(index, weights=marks) / nodes
     fused = _smooth(np.log1p(by_length[index])) * (1 + _smooth(by_marks[index]))
     score = np.bincount(index, weights=fused) / nodes
-    content = (score >= max(score.max() - 1e-9, 0)) | (score > 0.5 * fused.std())
+    content = (score >= max(score.max() - 1e-9, 0)) | (score >= _upper(score, nodes))
     content &= ~((linked > 0.5) & (score < score.max()))
-    chosen = [b for b, i in zip(found, index) if content[i]]
+    at = np.flatnonzero(content[index])
+    chosen = [found[i] for i in at]
     around = [{e for e, name in zip(elements, path.split("/")) if name in ("article", "main")} for elements, path, _, _ in chosen]
-    holders = [min(x) for x in around if x]
-    if holders:
-        inside = set(holders)
+    if 2 * sum(fused[i] for i, x in zip(at, around) if x) > fused[at].sum():
+        inside = {min(x) for x in around if x}
         return "\n".join(t for elements, _, t, _ in found if not inside.isdisjoint(elements))
     common = chosen[0][0]
     for elements, *_ in chosen[1:]:

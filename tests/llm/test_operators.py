@@ -101,6 +101,15 @@ def test_html():
     assert [html.main_text(x) for x in (None, "", "<script>a", "<!-- x", "plain\n text")] == ["", "", "", "", "plain text"]
 
 
+def test_html_article_among_teasers():
+    paragraph = "<p>" + "words of some length, " * 4 + "and " * 53 + "end.</p>"
+    teasers = "".join(f"<article><p>{'Read the news about the town and of all its people ' + str(i)}.</p></article>" for i in range(4))
+    got = html.main_text(f"<body><div><h1>T</h1>{paragraph * 8}</div><section>{teasers}</section></body>")
+    assert got.split("\n")[0] == "T" and got.count("end.") == 8 and "Read" not in got
+    both = html.main_text(f"<body><article><p>{'One, two, and more. ' * 9}</p></article><div>{paragraph * 8}</div></body>")
+    assert both.count("end.") == 8
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", 5), (1, "u", "<p>a</p>", 5), (2, None, None, 5)], "page_id bigint, url string, html string, text int")
     got = sorted(tuple(r) for r in html.extract(pages).select("page_id", "text", "n_chars").collect())
