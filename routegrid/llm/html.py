@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from .hashing import slices
 
-# Element names and the words of class, id and role that mark what is not the article.
+# Element names and the class, id and role tokens that mark what is hardly the article.
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "title", "object", "canvas", "audio", "video", "select", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 OUTSIDE = {"head", "nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "label", "fieldset", "option", "datalist", "map"}
@@ -35,34 +35,36 @@ READERS = {"comment", "comments", "reply", "replies", "respond", "discussion", "
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">]|['"](?=[^'"]*>))*)>""", re.S)
-_MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden|aria-label)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_TO_THE_END = {"script", "style", "title", "textarea"}  # without an end tag they take the rest of the page
+_MARKED_SHARE = 1 / 4  # what is left of the score of a path in a marked element
 
 
-def _outside(name: str, attributes: str) -> bool:
-    """Whether an element and all in it is no part of an article."""
+def _judged(name: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element and all in it is no part of an article, and whether it is marked as hardly one."""
     if name in OUTSIDE:
-        return True
+        return True, False
     if name in ("html", "body") or not attributes or attributes.isspace():
-        return False
-    marks = READERS if name in ("main", "article") else MARKED
-    for key, *values in _MARK.findall(attributes):
-        value = "".join(values).lower()
-        if key.lower() == "hidden" or key.lower() == "aria-hidden" and value == "true":
-            return True
-        if key.lower() in ("class", "id", "role") and not marks.isdisjoint(_WORD.findall(value)):
-            return True
-    return False
-
-
-def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, bool]]:
-    """(elements, tag path, text, in a link) of each block of text outside of what is marked as no article.
-
-    ``elements`` numbers the block elements from the root to the block.  Inline elements are
-    no part of a path; white space in a block becomes one space.
+        return False, False
+    marks, marked = READERS if name in ("main", "article") else MARKED, False
+    for key, *values in _ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), "".join(values).lower()
+        if key == "hidden" and value != "until-found" or key == "aria-hidden" and value == "true":
+            return True, False
+        if key in ("class", "id", "role") and not marks.isdisjoint(value.split()):
+            marked = True
+    return False, marked
+
+
+def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, bool, tuple[int, ...]]]:
+    """(elements, tag path, text, in a link, marked elements) of each block of text outside of what is no article.
+
+    ``elements`` numbers the block elements from the root to the block; those marked as hardly
+    an article have a star in the path.  Inline elements are no part of a path; white space in
+    a block becomes one space.
     """
-    out: list[tuple[tuple[int, ...], str, str, bool]] = []
-    stack: list[tuple[str, int, bool]] = []
+    out: list[tuple[tuple[int, ...], str, str, bool, tuple[int, ...]]] = []
+    stack: list[tuple[str, int, bool, bool]] = []
     pieces: list[str] = []
     counter = linked = at = links = total = 0
 
@@ -70,7 +72,8 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, bool]]:
         nonlocal links, total
         text = " ".join(html.unescape("".join(pieces)).split())
         if text and not (stack and stack[-1][2]):
-            out.append((tuple(e for _, e, _ in stack), "/".join(n for n, _, _ in stack), text, total > 0 and 2 * links > total))
+            path = "/".join(n + "*" * m for n, _, _, m in stack)
+            out.append((tuple(e for _, e, *_ in stack), path, text, total > 0 and 2 * links > total, tuple(e for _, e, _, m in stack if m)))
         pieces.clear()
         links = total = 0
 
@@ -94,7 +97,7 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, bool]]:
         closing, name = found[1], found[2].lower()
         if name in RAW and not closing and not found[3].endswith("/"):
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
+            at = close.end() if close else end if name in _TO_THE_END else at
             continue
         if name in INLINE:
             if name == "a":
@@ -112,7 +115,8 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, bool]]:
             while stack and name in CLOSED_BY.get(stack[-1][0], ()):
                 stack.pop()
             counter += 1
-            stack.append((name, counter, bool(stack and stack[-1][2]) or _outside(name, found[3])))
+            outside, marked = _judged(name, found[3])
+            stack.append((name, counter, bool(stack and stack[-1][2]) or outside, marked))
     flush()
     return out
 
@@ -146,36 +150,40 @@ def main_text(page: str | None) -> str:
     Per tag path, the text length and the punctuation of its nodes are added up and divided by
     their number.  Every block takes its path's two ratios (a third of the length if its path
     is mostly links), both are smoothed over the blocks in page order and fused by their
-    product; a path is content if its blocks' mean is in the upper of two clusters, or is the
-    largest.  The article is what lies in the article or main elements around content blocks, if
-    these hold most of the content's score, else the innermost element that holds all content
-    blocks.
+    product (a quarter of it in elements that class, id or role mark as hardly an article); a
+    path is content if its blocks' mean is in the upper of two clusters, or is the largest.
+
+    The article is what lies in the article or main elements around content blocks, if these
+    hold most of the content's score, else the innermost element that holds all content
+    blocks.  Blocks in a marked element are left out, unless it holds content.
     """
     found = blocks(page or "")
     if not found:
         return ""
-    paths, index = np.unique([p for _, p, _, _ in found], return_inverse=True)
+    paths, index = np.unique([b[1] for b in found], return_inverse=True)
     nodes = np.bincount(index)
-    length = np.array([len(t) for _, _, t, _ in found], float)
-    marks = np.array([len(PUNCTUATION.findall(t)) for _, _, t, _ in found], float)
-    linked = np.bincount(index, weights=[x for *_, x in found]) / nodes
+    length = np.array([len(b[2]) for b in found], float)
+    marks = np.array([len(PUNCTUATION.findall(b[2])) for b in found], float)
+    linked = np.bincount(index, weights=[b[3] for b in found]) / nodes
     by_length = np.bincount(index, weights=length) / nodes * np.where(linked > 0.5, 1 / 3, 1)
     by_marks = np.bincount(index, weights=marks) / nodes
-    fused = _smooth(np.log1p(by_length[index])) * (1 + _smooth(by_marks[index]))
+    fused = _smooth(np.log1p(by_length[index])) * (1 + _smooth(by_marks[index])) * np.where([bool(b[4]) for b in found], _MARKED_SHARE, 1)
     score = np.bincount(index, weights=fused) / nodes
     content = (score >= max(score.max() - 1e-9, 0)) | (score >= _upper(score, nodes))
     content &= ~((linked > 0.5) & (score < score.max()))
     at = np.flatnonzero(content[index])
     chosen = [found[i] for i in at]
-    around = [{e for e, name in zip(elements, path.split("/")) if name in ("article", "main")} for elements, path, _, _ in chosen]
+    holding = {e for b in chosen for e in b[0]}
+    found = [b for b in found if holding.issuperset(b[4])]
+    around = [{e for e, name in zip(b[0], b[1].split("/")) if name in ("article", "main")} for b in chosen]
     if 2 * sum(fused[i] for i, x in zip(at, around) if x) > fused[at].sum():
         inside = {min(x) for x in around if x}
-        return "\n".join(t for elements, _, t, _ in found if not inside.isdisjoint(elements))
+        return "\n".join(b[2] for b in found if not inside.isdisjoint(b[0]))
     common = chosen[0][0]
     for elements, *_ in chosen[1:]:
         n = next((i for i, (x, y) in enumerate(zip(common, elements)) if x != y), min(len(common), len(elements)))
         common = common[:n]
-    return "\n".join(t for elements, _, t, _ in found if elements[:len(common)] == common)
+    return "\n".join(b[2] for b in found if b[0][:len(common)] == common)
 
 
 def extract(pages: DataFrame) -> DataFrame:

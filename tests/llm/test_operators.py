@@ -110,6 +110,15 @@ def test_html_article_among_teasers():
     assert both.count("end.") == 8
 
 
+@pytest.mark.parametrize("wrapper", [
+    'div style="overflow:hidden"', "div data-hidden=false", 'div class="content no-sidebar"', 'div class="has-comments"', 'div class="elementor-widget-container"',
+    'div class="widget"', "svg", "object", "canvas", "select", "iframe", "math"])
+def test_html_article_in_wrapper(wrapper):
+    article = "<div><h1>T</h1><p>Long text, with commas, and more, over a line or two.</p><p>Again, more text here, and then some, of it, too.</p></div>"
+    page = f"<body><{wrapper}>{article}</div><div class='comments'><p>Nice</p></div><div hidden><p>Gone, all, of, it.</p></div></body>"
+    assert html.main_text(page) == "T\nLong text, with commas, and more, over a line or two.\nAgain, more text here, and then some, of it, too."
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", 5), (1, "u", "<p>a</p>", 5), (2, None, None, 5)], "page_id bigint, url string, html string, text int")
     got = sorted(tuple(r) for r in html.extract(pages).select("page_id", "text", "n_chars").collect())
