@@ -66,7 +66,7 @@ def _benchmark_words(benchmark: DataFrame, span: int, k: int) -> DataFrame:
                 "gram": pa.array(grams, pa.list_(pa.int64())), "item_pos": pa.array(pos, pa.list_(pa.int32())),
             })
 
-    items = benchmark.where(F.col("item_id").isNotNull()).select(
+    items = benchmark.select(
         row_key("item_id", "text").alias("item_key"), F.col("item_id").cast("string").alias("item_id"), "text").distinct()
     return items.mapInArrow(run, "item_key long, item_id string, item_words array<long>, gram array<long>, item_pos array<int>").where("size(item_words) > 0")
 
@@ -89,7 +89,7 @@ def _extended(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Recor
                         if b - a >= min(span, len(item)):
                             step[lo + a] += 1
                             step[lo + b] -= 1
-                            names.add(c["item_id"])
+                            names |= {c["item_id"]} - {None}
             n_hit.append(int((np.cumsum(step)[:-1] > 0).sum()))
             items.append(sorted(names))
         yield batch_of({
@@ -98,22 +98,8 @@ def _extended(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Recor
         })
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 7, one_in: int = 20) -> DataFrame:
-    """Words of each document that lie in a passage shared with a benchmark item.
-
-    A window is ``span`` consecutive words of an item (all words of a shorter, non-empty item).
-    A document word inside an occurrence of a window is hit; a document is contaminated when a
-    word is hit and at least one word in ``one_in`` is.  One row per row of ``docs``: doc_id,
-    n_words, n_hit, items (ids as strings, sorted), contaminated.
-
-    Winnowing keeps, on both sides, the least k-gram hash of every run of ``span`` words; kept
-    hashes are joined (Spark broadcasts the benchmark's side only if its written size allows)
-    and each alignment found is extended along its diagonal.  Every shared window contains a
-    shared fingerprint, so none is missed.
-
-    A null or empty text has no words and is clean.  Null or empty items match nothing, items
-    without an id are left out, repeated rows on either side change nothing but their own row.
-    """
+def _marked(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 7, one_in: int = 20) -> DataFrame:
+    """The rows of ``contamination`` with their _row_key."""
     bench = settled(_benchmark_words(benchmark, span, k))
     short = sorted(r[0] for r in bench.where(F.size("item_words") < span).select(F.size("item_words")).distinct().collect())  # under span values
     marks = settled(bench.select("item_key", F.inline(F.arrays_zip("gram", "item_pos"))))
@@ -143,12 +129,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int
     judged = judged.dropDuplicates([KEY, "doc_id"])  # repeated rows
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return join_rows(met.where("item_key IS NULL").select(KEY, "doc_id", "n_words"), judged, "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        KEY, "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         ((n_hit > 0) & (n_hit * one_in >= F.col("n_words"))).alias("contaminated"),
     )
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 7, one_in: int = 20) -> DataFrame:
+    """Words of each document that lie in a passage shared with a benchmark item.
+
+    A window is ``span`` consecutive words of an item (all words of a shorter, non-empty item).
+    A document word inside an occurrence of a window is hit; a document is contaminated when a
+    word is hit and at least one word in ``one_in`` is.  One row per row of ``docs``: doc_id,
+    n_words, n_hit, items (ids as strings, sorted), contaminated.
+
+    Winnowing keeps, on both sides, the least k-gram hash of every run of ``span`` words; kept
+    hashes are joined (Spark broadcasts the benchmark's side only if its written size allows)
+    and each alignment found is extended along its diagonal.  Every shared window contains a
+    shared fingerprint, so none is missed.
+
+    A null or empty text has no words and is clean.  Null or empty items match nothing, items
+    without an id hit words but have no name in ``items``, repeated rows on either side change
+    nothing but their own row.
+    """
+    return _marked(docs, benchmark, span, k, one_in).drop(KEY)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, **limits: int) -> DataFrame:
-    """The documents that are not contaminated, with all their columns; rows with a null id stay."""
-    bad = contamination(docs, benchmark, **limits).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    """The documents that are not contaminated, with all their columns; each row is judged by its own id, null or not, and text."""
+    bad = _marked(docs, benchmark, **limits).where("contaminated").select(KEY, "doc_id").distinct()
+    rows = docs.select(row_key("doc_id", "text").alias(KEY), "doc_id", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return join_rows(rows, bad, "left_anti").select("row.*")

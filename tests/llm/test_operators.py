@@ -233,6 +233,20 @@ def test_contamination(spark, texts):
     assert decontaminate.contamination(documents(spark, docs_in), bench.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_clean_by_row_and_items_without_id(spark):
+    rng = random.Random(6)
+    named, nameless, fine = (words_of(rng, 30, 4000) for _ in range(3))
+    bench = spark.createDataFrame([(1, named), (None, nameless)], "item_id bigint, text string")
+    rows = [(1, named), (1, fine), (None, named), (None, fine), (2, nameless), (3, None), (None, None), (1, fine)]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id bigint, text string, _row_key string")
+    got = decontaminate.clean(docs, bench)
+    assert got.columns == docs.columns
+    want = [(1, fine), (1, fine), (None, fine), (3, None), (None, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    hit = decontaminate.contamination(docs.where("doc_id = 2"), bench).first()
+    assert hit["n_hit"] == hit["n_words"] > 0 and hit["items"] == [] and hit["contaminated"]
+
+
 def test_fingerprints(spark, texts):
     got = {r["doc_id"]: r for r in sampling.fingerprints(documents(spark, texts)).collect()}
     likeness, truth = [], []
