@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import toxicity
 from .bpe import Vocabulary, decode, encode
 from .chat import chat_texts
 from .decontaminate import contamination
@@ -219,3 +220,11 @@ SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank,
        coalesce(w.a, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
 FROM (SELECT DISTINCT ck, conv_id FROM src) c LEFT JOIN summ USING (ck) LEFT JOIN fin USING (ck) LEFT JOIN rep USING (ck)
 """
+
+
+@query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.fit(toxicity.learned_from(docs, table(spark, sf_dir, "labels")))
+    found = toxicity.score_texts(docs, net)
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
