@@ -259,12 +259,12 @@ def tokenised(texts: list[str | None]) -> Words:
     return Words(*text_buffer(pa.array(texts, pa.string())))
 
 
-def train(texts: list[str], truth: np.ndarray, epochs: int = 8, batch: int = 64, seed: int = 11) -> Network:
+def train(texts: list[str], truth: np.ndarray, epochs: int = 8, least_steps: int = 800, batch: int = 64, seed: int = 11) -> Network:
     """A network from labelled texts, the same for the same input.
 
     All windows of label 0 count.  Of a text with label 1 those count that hold its strongest
-    evidence; in the second half of the passes, those within a half of its greatest score.  Both
-    labels weigh the same.  Each fifth text is kept from the network and calibrates the texts'
+    evidence; in the second half of the passes, those within a half of its greatest score.  There
+    are ``epochs`` passes, or more until ``least_steps`` batches.  Both labels weigh the same.  Each fifth text is kept from the network and calibrates the texts'
     logits.  With fewer than two texts of a label the score is the share of label 1.
     """
     net = Network(seed)
@@ -281,6 +281,7 @@ def train(texts: list[str], truth: np.ndarray, epochs: int = 8, batch: int = 64,
     rng, trainer = np.random.default_rng(seed), _Trainer(net, words, 1e-2, 0.02)
     strength = _evidence(net, words, truth[~held])
     chosen = np.flatnonzero((label == 0) | (strength >= 0.9 * np.maximum.reduceat(strength, words.first)[words.owner]))
+    epochs = max(epochs, -(-least_steps * batch // max(len(chosen), 1)))
     for epoch in range(epochs):
         if epoch >= epochs / 2:
             p = _sigmoid(net.logits(words, np.arange(len(label))))
