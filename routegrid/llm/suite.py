@@ -225,6 +225,6 @@ FROM (SELECT DISTINCT ck, conv_id FROM src) c LEFT JOIN summ USING (ck) LEFT JOI
 @query
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    net = toxicity.fit(toxicity.learned_from(docs, table(spark, sf_dir, "labels")))
+    net = toxicity.fit(docs.where(~toxicity.held_out()), table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")))
     found = toxicity.score_texts(docs, net)
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

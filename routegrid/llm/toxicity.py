@@ -311,21 +311,23 @@ def _calibrate(net: Network, logit: np.ndarray, truth: np.ndarray) -> None:
     net.scale, net.shift = float(scale), float(-scale * cut)
 
 
-def _bounded(rows: DataFrame, fit_chars: int) -> DataFrame:
-    """Different texts of each label, in the order of a content hash, until ``fit_chars`` characters are reached.
+def _bounded(docs: DataFrame, labels: DataFrame, fit_chars: int, longest: int) -> DataFrame:
+    """(label, at, text): different texts of each label, in the order of a content hash ``at``, until ``fit_chars`` characters.
 
-    The bound on the hash comes from histograms of ever narrower ranges, so that never more than
-    twice ``fit_chars`` a label is chosen, however many rows there are.
+    Keys and lengths alone meet the labels.  The bound on the hash comes from histograms of ever
+    narrower ranges, so that at most twice ``fit_chars`` a label is chosen, however many rows
+    there are.  A chosen text has a character, so the broadcast keys are no more than that.
     """
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
-    rows = rows.select("label", "text", place.alias("at"))
-    sizes = stage(rows.groupBy("label", "at").agg(F.max(F.length("text")).alias("n")))
+    texts = docs.where(F.length("text").between(1, longest)).select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("at"))
+    known = labels.select("doc_id", F.col("label").cast("int").alias("label")).where("label IN (0, 1)").distinct()
+    keys = stage(texts.select("doc_id", "at", F.length("text").alias("n")).join(known, "doc_id").groupBy("label", "at").agg(
+        F.max("n").alias("n"), F.min("doc_id").alias("doc_id")))
     bounds: dict[int, int] = {}
     for label in (0, 1):
         low, high, have = 0, 1 << 40, 0
         while True:
             width = max(1, (high - low) // 1024)
-            found = sizes.where((F.col("label") == label) & (F.col("at") >= low) & (F.col("at") < high)).groupBy(
+            found = keys.where((F.col("label") == label) & (F.col("at") >= low) & (F.col("at") < high)).groupBy(
                 F.expr(f"(at - {low}) div {width}").alias("bin")).agg(F.sum("n").alias("n")).toPandas().sort_values("bin")
             total = have + found["n"].cumsum().to_numpy()
             over = int(np.searchsorted(total, fit_chars))
@@ -337,25 +339,23 @@ def _bounded(rows: DataFrame, fit_chars: int) -> DataFrame:
             if size <= fit_chars or width == 1:
                 bounds[label] = high
                 break
-    within = F.col("at") < F.when(F.col("label") == 1, bounds[1]).otherwise(bounds[0])
-    return rows.where(within).dropDuplicates(["label", "at"])
+    chosen = keys.where(F.col("at") < F.when(F.col("label") == 1, bounds[1]).otherwise(bounds[0])).select("label", "at", "doc_id")
+    return texts.join(F.broadcast(chosen), ["doc_id", "at"]).select("label", "at", "text").dropDuplicates(["label", "at"])
 
 
-def fit(labelled: DataFrame, fit_chars: int = 1_500_000, longest: int = 100_000) -> Network:
-    """A network from ``labelled(text, label)`` with labels 0 and 1.
+def fit(docs: DataFrame, labels: DataFrame, fit_chars: int = 1_500_000, longest: int = 100_000) -> Network:
+    """A network from ``docs(doc_id, text)`` and ``labels(doc_id, label)`` with labels 0 and 1.
 
     ``fit_chars`` bounds the characters of each label that are learned from, ``longest`` those of
     one text; longer texts, texts without a character and rows without a label are not learned from.
     Repeated texts count once; a text with both labels is learned with both.  The sample, bounded
     as it is, is trained on in one task; no row gives a network that scores every text the same.
     """
-    rows = labelled.where("label IN (0, 1)").where(F.length("text").between(1, longest)).select("text", F.col("label").cast("int").alias("label"))
-
     def learn(sample: pd.DataFrame) -> pd.DataFrame:
         sample = sample.sort_values(["at", "label"])
         return pd.DataFrame({"network": [pickle.dumps(train(sample["text"].tolist(), sample["label"].to_numpy()))]})
 
-    found = _bounded(rows, fit_chars).groupBy().applyInPandas(learn, "network binary").first()
+    found = _bounded(docs, labels, fit_chars, longest).groupBy().applyInPandas(learn, "network binary").first()
     return pickle.loads(found["network"]) if found else train([], np.zeros(0))
 
 
@@ -364,12 +364,6 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def learned_from(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, label) of the rows that may be learned from."""
-    known = labels.select("doc_id", F.col("toxic").alias("label")).where("label IS NOT NULL").distinct()
-    return docs.where(~held_out()).select("doc_id", "text").join(known, "doc_id").select("text", "label")
-
-
 def score_texts(docs: DataFrame, net: Network) -> DataFrame:
     """(doc_id, score) of every row of ``docs``, all windows of whole texts; a null text is empty.
 

@@ -200,23 +200,23 @@ def test_toxicity_on_held_out_texts(spark):
     docs = spark.createDataFrame([(i, t, "clash", 2.0) for i, t, _ in rows] + [(1000, None, "x", 0.0), (1001, "", "x", 0.0), (None, "fine words", "x", 0.0), (1002, rows[1][1] * 2000, "x", 0.0)],
                                "doc_id bigint, text string, label string, score double")
     labels = spark.createDataFrame([(i, y, 0) for i, _, y in rows] + [(5, None, 0), (7777, 1, 0)], "doc_id bigint, toxic int, quality int")
-    learned = toxicity.learned_from(docs, labels)
-    net = toxicity.fit(learned, fit_chars=90_000)
+    learned, named = docs.where(~toxicity.held_out()), labels.select("doc_id", F.col("toxic").alias("label"))
+    net = toxicity.fit(learned, named, fit_chars=90_000)
     got = {r["doc_id"]: r for r in toxicity.score_texts(docs, net).withColumn("held", toxicity.held_out()).collect()}
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got.values())
     held = [(y, got[i]["score"] >= 0.5) for i, _, y in rows if got[i]["held"]]
     assert len(held) > 50 and sum(y == p for y, p in held) / len(held) > 0.95
     assert got[1002]["score"] >= 0.5 and got[1000]["score"] == got[1001]["score"] < 0.5
-    again = toxicity.fit(learned.repartition(7), fit_chars=90_000)
+    again = toxicity.fit(learned.repartition(7), named.unionByName(named), fit_chars=90_000)
     assert {r["doc_id"]: r["score"] for r in toxicity.score_texts(docs, again).collect()} == {k: r["score"] for k, r in got.items()}
     assert toxicity.score_texts(docs.where("false"), net).count() == 0
-    for few in (learned.where("false"), learned.where("label = 0"), learned.limit(1)):
-        scores = {r["score"] for r in toxicity.score_texts(docs, toxicity.fit(few)).collect()}
+    for few in (named.where("false"), named.where("label = 0"), named.where("doc_id = 1")):
+        scores = {r["score"] for r in toxicity.score_texts(docs, toxicity.fit(docs, few)).collect()}
         assert len(scores) == 1 and 0 <= scores.pop() <= 1
 
 
 def test_the_sample_is_bounded(spark):
-    rows = spark.range(3000).selectExpr("concat('text ', id % 2000) text", "cast(id % 3 = 0 as int) label")
-    got = toxicity._bounded(rows, 2000).groupBy("label").agg(F.sum(F.length("text")).alias("n"), F.count_distinct("text").alias("d"), F.count("text").alias("c")).collect()
+    rows = spark.range(3000).selectExpr("id doc_id", "concat('text ', id % 2000) text", "cast(id % 3 = 0 as int) label")
+    got = toxicity._bounded(rows.select("doc_id", "text"), rows.select("doc_id", "label"), 2000, 100).groupBy("label").agg(F.sum(F.length("text")).alias("n"), F.count_distinct("text").alias("d"), F.count("text").alias("c")).collect()
     assert len(got) == 2 and all(2000 <= r["n"] <= 4000 and r["d"] == r["c"] for r in got)
     assert "op13_toxicity" in QUERIES
