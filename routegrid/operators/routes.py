@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.frontier import grow, union_all
+from ..plans.graphs import long_walkers, strong_components
 from ..plans.ranking import numbered
 from ..plans.staging import stage
 
@@ -44,6 +45,55 @@ def solvable_pathways(candidates: DataFrame, stock: DataFrame) -> DataFrame:
     return parts.limit(0) if chosen is None else parts.join(chosen, ["target", "rank"], "left_semi")
 
 
+def _shared_graph(targets: DataFrame, best: DataFrame, stock: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(molecules, edges, cyclic): every distinct molecule once, whatever number of routes needs it.
+
+    ``molecules(id, smiles, status, confidence)``; ``edges(src, ord, dst, status)`` of molecules
+    that are expanded; ``cyclic(id, label)``: those on a cycle and the strong component they are in.
+    """
+    heads = best.groupBy(F.col("target").alias("smiles")).agg(F.max("confidence").alias("confidence"), F.lit(True).alias("_has"))
+    known = stock.select("smiles").distinct().withColumn("_stock", F.lit(True))
+    texts = targets.select("smiles").unionByName(best.select("smiles")).unionByName(best.select(F.col("target").alias("smiles"))).distinct()
+    status = F.when(F.col("_stock"), "stock").when(F.col("_has").isNull(), "dead_end").otherwise("expanded")
+    molecules = stage(texts.join(known, "smiles", "left").join(heads, "smiles", "left").select(
+        F.monotonically_increasing_id().alias("id"), "smiles", status.alias("status"), "confidence"))
+    source = molecules.where("status = 'expanded'").select(F.col("id").alias("src"), F.col("smiles").alias("target"))
+    edges = stage(best.select("target", "ord", "smiles").join(source, "target").join(molecules.select("smiles", F.col("id").alias("dst"), "status"), "smiles")
+                  .select("src", "ord", "dst", "status"))
+    live = edges.where("status = 'expanded'").select("src", "dst")
+    looping = stage(long_walkers(live))
+    if looping.isEmpty():
+        cyclic = looping.select(F.col("node").alias("id"), F.col("node").alias("label"))
+    else:
+        among = live.join(looping.withColumnRenamed("node", "src"), "src", "left_semi").join(looping.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        cyclic = strong_components(among).withColumnRenamed("node", "id")
+    return molecules, edges, cyclic
+
+
+def _below(edges: DataFrame, growth: int = 8) -> DataFrame:
+    """What stands below each source within some levels: ``src, steps, dst, status, loop, n, more``.
+
+    Levels double (1, 2, 4, ...) while something goes deeper and the table stays under ``growth``
+    times the edges; every molecule's part is made once and shared by all routes.  A walk does not
+    go on through a molecule on a cycle (``loop``).  ``more``: what is below is not in the table.
+    """
+    most, first = 1, edges.count()
+    size = first
+    table = edges.select("src", F.array(F.col("ord").cast("bigint")).alias("steps"), "dst", "status", "loop", F.lit(1).alias("n"))
+    on = "status = 'expanded' AND loop IS NULL AND n = {}"
+    while size <= growth * first:
+        ahead = table.where(on.format(most))
+        deeper = ahead.select("src", F.col("steps").alias("_steps"), F.col("n").alias("_n"), F.col("dst").alias("_via")).join(
+            table.withColumnRenamed("src", "_via"), "_via").select(
+            "src", F.concat("_steps", "steps").alias("steps"), "dst", "status", "loop", (F.col("_n") + F.col("n")).alias("n"))
+        deeper = stage(deeper)
+        more = deeper.count()
+        if not more:
+            break
+        table, most, size = table.unionByName(deeper), most * 2, size + more
+    return stage(table.withColumn("more", F.expr(on.format(most) + " OR (status = 'expanded' AND loop IS NOT NULL)")))
+
+
 def expand_routes(
     targets: DataFrame, candidates: DataFrame, stock: DataFrame, max_depth: int | None = None, strict: bool = False
 ) -> DataFrame:
@@ -52,39 +102,52 @@ def expand_routes(
     ``path`` holds the child places from the root, so sorting by it is pre-order.  Statuses:
     stock, expanded, cycle (an ancestor has the same text), depth, dead_end.  A node of the
     last three is not solved and is left out when the route is flattened.
+
+    Routes are unfolded from keys of a graph in which every molecule stands once, several levels
+    at a time.  Only molecules inside a strong component remember their ancestors in it, as
+    keys; texts join at the end.
     """
+    candidates = stage(candidates.select("target", "rank", "ord", "smiles", "confidence"))
     best = stage(solvable_pathways(candidates, stock) if strict else best_pathways(candidates))
-    heads = stage(best.groupBy("target").agg(F.max("confidence").alias("confidence")))
-    known = stage(stock.select("smiles").distinct().withColumn("_stock", F.lit(True)))
-
-    def judge(rows: DataFrame) -> DataFrame:
-        status = (
-            F.when(F.col("_stock"), "stock")
-            .when(F.array_contains("line", F.col("smiles")), "cycle")
-            .when(F.col("_has").isNull(), "dead_end")
-            .when(F.lit(False) if max_depth is None else F.col("depth") >= max_depth, "depth")
-            .otherwise("expanded")
-        )
-        return (
-            rows.join(known, "smiles", "left")
-            .join(heads.select(F.col("target").alias("smiles"), F.lit(True).alias("_has"), "confidence"), "smiles", "left")
-            .withColumn("status", status)
-            .withColumn("confidence", F.when(F.col("status") == "expanded", F.col("confidence")))
-            .drop("_stock", "_has")
-        )
-
-    def children(level: DataFrame) -> DataFrame:
-        parents = level.where("status = 'expanded'").select(
-            "route_id", F.col("path").alias("parent"), (F.col("depth") + 1).alias("depth"),
-            F.array_append("line", F.col("smiles")).alias("line"), F.col("smiles").alias("target"))
-        rows = parents.join(best.select("target", "ord", "smiles"), "target").select(
-            "route_id", F.array_append("parent", F.col("ord").cast("bigint")).alias("path"), "parent", "depth", "line", "smiles")
-        return judge(rows)
-
-    root = targets.select(
-        "route_id", F.array().cast("array<bigint>").alias("path"), F.lit(None).cast("array<bigint>").alias("parent"),
-        F.lit(0).alias("depth"), F.array().cast("array<string>").alias("line"), "smiles")
-    return union_all(grow(judge(root), children)).drop("line")
+    molecules, edges, cyclic = _shared_graph(targets, best, stock)
+    cyclic = stage(cyclic)
+    edges = edges.join(cyclic.select(F.col("id").alias("dst"), F.col("label").alias("loop")), "dst", "left").select("src", "ord", "dst", "status", "loop")
+    edges = stage(edges)
+    circling = cyclic.select(F.col("id").alias("src"), F.col("label").alias("_loop"))
+    below = _below(edges.join(circling, "src", "left_anti"))
+    one = stage(edges.join(circling, "src"))
+    shallow = F.lit(True) if max_depth is None else F.col("depth") <= max_depth
+    node = ["route_id", "path", "depth", "id", "status", "loop", "line", "more"]
+    no_line = F.array().cast("array<bigint>")
+
+    def cut(rows: DataFrame) -> DataFrame:
+        if max_depth is None:
+            return rows.select(*node)
+        too_deep = (F.col("status") == "expanded") & (F.col("depth") >= max_depth)
+        return rows.where(shallow).withColumn("more", F.col("more") & ~too_deep).withColumn("status", F.when(too_deep, "depth").otherwise(F.col("status"))).select(*node)
+
+    def onward(level: DataFrame) -> DataFrame:
+        ahead = level.where("more").select("route_id", F.col("path").alias("_path"), F.col("depth").alias("_depth"), F.col("id").alias("src"), F.col("line").alias("_line"))
+        plain = ahead.drop("_line").join(below, "src").select(
+            "route_id", F.concat("_path", "steps").alias("path"), (F.col("_depth") + F.col("n")).alias("depth"), F.col("dst").alias("id"),
+            "status", "loop", no_line.alias("line"), "more")
+        if cyclic.isEmpty():
+            return cut(plain)
+        line = F.when(F.col("loop") == F.col("_loop"), F.array_append("_line", F.col("src"))).otherwise(no_line)
+        again = F.coalesce(F.array_contains("line", F.col("dst")), F.lit(False))
+        circle = ahead.join(one, "src").withColumn("line", line).withColumn("status", F.when(again, "cycle").otherwise(F.col("status"))).select(
+            "route_id", F.array_append("_path", F.col("ord").cast("bigint")).alias("path"), (F.col("_depth") + 1).alias("depth"), F.col("dst").alias("id"),
+            "status", "loop", "line", (F.col("status") == "expanded").alias("more"))
+        return cut(plain.unionByName(circle))
+
+    root = targets.select("route_id", "smiles").join(molecules.select("smiles", "id", "status"), "smiles").join(
+        cyclic.withColumnRenamed("label", "loop"), "id", "left").select(
+        "route_id", F.array().cast("array<bigint>").alias("path"), F.lit(0).alias("depth"), "id", "status", "loop", no_line.alias("line"),
+        (F.col("status") == "expanded").alias("more"))
+    nodes = union_all(grow(cut(root), onward))
+    return nodes.join(molecules.select("id", "smiles", "confidence"), "id").select(
+        "route_id", "path", F.when(F.col("depth") > 0, F.slice("path", F.lit(1), F.size("path") - 1)).alias("parent"), "smiles", "depth", "status",
+        F.when(F.col("status") == "expanded", F.col("confidence")).alias("confidence"))
 
 
 def expand_once(targets: DataFrame, candidates: DataFrame) -> DataFrame:
