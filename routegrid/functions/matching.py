@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import sys
+from collections import Counter
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -21,17 +22,29 @@ def _links(flat) -> dict[int, dict[int, str]]:
     return near
 
 
+def _rarest_first(kinds: dict[int, str], near: dict[int, dict[int, str]], count: Counter) -> list[tuple[int, str]]:
+    order: list[tuple[int, str]] = []
+    rest, beside = set(kinds), set()
+    while rest:
+        n = min(beside or rest, key=lambda n: (count[kinds[n]], n))
+        order.append((n, kinds[n]))
+        rest.discard(n)
+        beside = (beside | set(near.get(n, ()))) & rest
+    return order
+
+
 def embeds(target_atoms, target_bonds, query_atoms, query_bonds) -> bool:
     """Whether every query atom maps to its own target atom with equal bonds in between.
 
-    Atoms are texts ``number kind``; query atoms are placed in number order, so each one but
-    the first of a fragment has an earlier neighbour.
+    Atoms are texts ``number kind``.  Of each fragment the query atom whose kind is rarest in the
+    target is placed first, then always the rarest one next to those placed.
     """
     t_near, q_near = _links(target_bonds), _links(query_bonds)
     t_kind = {int(n): k for n, k in (t.split(" ") for t in target_atoms)}
-    order = sorted((int(n), k) for n, k in (t.split(" ") for t in query_atoms))
-    if len(order) > len(t_kind):
+    q_kind_of = {int(n): k for n, k in (t.split(" ") for t in query_atoms)}
+    if len(q_kind_of) > len(t_kind):
         return False
+    order = _rarest_first(q_kind_of, q_near, Counter(t_kind.values()))
     placed: dict[int, int] = {}
     used: set[int] = set()
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.frontier import closure, grow, union_all
+from ..plans.frontier import closure
 from ..plans.ranking import numbered
 from ..plans.staging import stage
 
@@ -122,21 +122,29 @@ def parent_of_step(steps: DataFrame, edges: DataFrame) -> DataFrame:
         "route_id", "step", F.when(F.col("step") == 1, 0).otherwise(F.col("p")).cast("int").alias("parent"))
 
 
-def route_tree(parents: DataFrame) -> DataFrame:
-    """H9: depth and path of every step below a root (a step without parent, or step 0)."""
-    nodes = stage(parents)
-    root = nodes.where("parent IS NULL").select(
-        "route_id", "step", F.lit(0).alias("depth"), F.array(F.col("step").cast("int")).alias("path"))
-    zero = nodes.where("parent = 0").select("route_id").distinct().select(
-        "route_id", F.lit(0).alias("step"), F.lit(0).alias("depth"), F.array(F.lit(0)).alias("path"))
+def route_tree(parents: DataFrame, paths: bool = True) -> DataFrame:
+    """H9: ``route_id, step, root, depth`` (and ``path``) of every step below a root (a step without parent, or step 0).
 
-    def below(level: DataFrame) -> DataFrame:
-        up = level.select("route_id", F.col("step").alias("parent"), "depth", "path")
-        return nodes.join(up, ["route_id", "parent"]).select(
-            "route_id", "step", (F.col("depth") + 1).alias("depth"),
-            F.array_append("path", F.col("step").cast("int")).alias("path"))
-
-    return union_all(grow(root.unionByName(zero), below))
+    Pointer doubling: every step knows an ancestor and how far up it is, and takes over that
+    ancestor's own pointer.  A chain of n steps is done after log2(n) rounds.  Steps below a cycle
+    or a missing parent belong to no root and are left out.
+    """
+    step = F.col("step").cast("int")
+    zero = parents.where("parent = 0").select("route_id").distinct().select("route_id", F.lit(0).alias("step"), F.lit(None).cast("int").alias("parent"))
+    nodes = parents.select("route_id", step.alias("step"), F.col("parent").cast("int").alias("parent")).unionByName(zero)
+    line = [F.array("step").alias("path")] if paths else []
+    state = stage(nodes.select("route_id", "step", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.col("step")).alias("root"),
+                               F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"), *line))
+    left, before = state.where("up IS NOT NULL").count(), None
+    while left and left != before:  # without progress only cycles are left
+        above = state.select("route_id", F.col("step").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("depth").alias("_depth"),
+                             *([F.col("path").alias("_path")] if paths else []))
+        moved = state.where("up IS NOT NULL").join(above, ["route_id", "up"]).select(
+            "route_id", "step", F.col("_up").alias("up"), F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"),
+            *([F.concat("_path", "path").alias("path")] if paths else []))
+        state = stage(state.where("up IS NULL").unionByName(moved))
+        left, before = state.where("up IS NOT NULL").count(), left
+    return state.where("up IS NULL").drop("up")
 
 
 def dependency_edges(edges: DataFrame) -> DataFrame:

@@ -3,9 +3,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import stage
+
 
 def memo_args(*names: str) -> Column:
     """Arguments as JSON text with sorted names."""
@@ -44,25 +47,40 @@ def evict(memo: DataFrame, molecule: str) -> DataFrame:
     return memo.where(~F.contains("input_args", F.lit(molecule)))
 
 
-def evict_all(memo: DataFrame, molecules: DataFrame) -> DataFrame:
-    """I4 for a table of molecules, as an equi-join.
+def evict_all(memo: DataFrame, molecules: DataFrame, automaton_chars: int = 2_000_000, task_chars: int = 16_000_000) -> DataFrame:
+    """I4 for a table of molecules, by a multi-pattern automaton.
 
-    A text holds a molecule of length L iff one of its L-character pieces equals it, so each
-    entry is cut into pieces of the lengths that occur (at most the longest text) and joined
-    on the piece; no pairs of entries and molecules are formed.
+    Molecules are dealt to shards of about ``automaton_chars`` characters, argument texts to
+    slices of about ``task_chars``; each (slice, shard) builds one Aho-Corasick automaton and
+    reads every text once, up to its first hit.  A single shard sends every text once.  Only two
+    sums reach the driver.
     """
-    wanted = molecules.select("smiles").where("smiles <> ''").distinct()
-    lengths = wanted.select(F.length("smiles").alias("n")).distinct()
-    sizes = sorted(r["n"] for r in lengths.collect())  # one small number per text length
-    if not sizes:
-        return memo
-
-    def pieces(n: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.length("input_args") - n + 1)
-        cut = F.transform(starts, lambda i: F.substr(F.col("input_args"), i, n))
-        return F.when(F.length("input_args") >= n, cut).otherwise(F.array().cast("array<string>"))
-
-    cut = memo.select("key", F.explode(F.array_distinct(F.flatten(F.transform(
-        F.array(*[F.lit(n) for n in sizes]), pieces)))).alias("smiles"))
-    hit = cut.join(wanted, "smiles", "left_semi").select("key").distinct()
+    wanted = stage(molecules.select("smiles").where("smiles <> ''").distinct())
+    texts = memo.select("key", "input_args").where("input_args IS NOT NULL")
+    shards = 1 + (wanted.agg(F.sum(F.length("smiles"))).first()[0] or 0) // automaton_chars
+    parts = 1 + (texts.agg(F.sum(F.length("input_args"))).first()[0] or 0) // task_chars
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
+    left = texts.select(F.pmod(F.xxhash64("key", "input_args"), F.lit(parts)).alias("_part"), every(shards).alias("_shard"), "key", "input_args")
+    right = wanted.select(every(parts).alias("_part"), F.pmod(F.xxhash64("smiles"), F.lit(shards)).alias("_shard"), "smiles")
+    by = ["_part", "_shard"]
+    hit = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_holding, "key string").distinct()
     return memo.join(hit, "key", "left_anti")
+
+
+def _holding(texts: pa.Table, molecules: pa.Table) -> pa.Table:
+    """Keys of the texts that hold one of the molecules."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for molecule in molecules.column("smiles").to_pylist():
+        automaton.add_word(molecule)
+    keys: list[str] = []
+    if len(automaton):
+        automaton.make_automaton()
+        for key, text in zip(texts.column("key").to_pylist(), texts.column("input_args").to_pylist()):
+            if next(automaton.iter(text), None) is not None:
+                keys.append(key)
+    return pa.table({"key": pa.array(keys, pa.string())})

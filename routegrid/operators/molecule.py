@@ -14,6 +14,7 @@ from ..dims import ELEMENTS
 from ..functions.matching import embeds_udf
 from ..functions.rows import count_if, let, total
 from ..functions.text import is_masked_text, mask_groups, unmask_groups
+from ..plans.staging import stage
 from .graph import graph, n_bonds, ring_count, structures
 
 
@@ -432,13 +433,19 @@ def contains(pairs: DataFrame, forms: DataFrame) -> DataFrame:
     Pairs whose query needs more atoms of some kind than the target has are settled in the
     JVM; only the rest is matched.
     """
-    def side(prefix: str) -> DataFrame:
-        return forms.select(*[F.col(c).alias(f"{prefix}_{c}") for c in forms.columns])
-
     joined = (
-        pairs.join(side("t"), F.col("target") == F.col("t_mol_id"), "left")
-        .join(side("q"), F.col("query") == F.col("q_mol_id"), "left")
+        pairs.join(_side("t", forms), F.col("target") == F.col("t_mol_id"), "left")
+        .join(_side("q", forms), F.col("query") == F.col("q_mol_id"), "left")
     )
+    return _matched(joined, "pair_id")
+
+
+def _side(prefix: str, forms: DataFrame) -> DataFrame:
+    return forms.select(*[F.col(c).alias(f"{prefix}_{c}") for c in forms.columns])
+
+
+def _matched(joined: DataFrame, *keys: str) -> DataFrame:
+    """keys and ``found`` of rows that hold both sides' match forms."""
     enough = F.forall(
         F.map_entries("q_m_counts"),
         lambda e: F.coalesce(F.col("t_m_counts")[e["key"]], F.lit(0)) >= e["value"],
@@ -446,6 +453,60 @@ def contains(pairs: DataFrame, forms: DataFrame) -> DataFrame:
     test = F.coalesce(enough, F.lit(False))
     sides = [f"{t}_m_{c}" for t in ("t", "q") for c in ("atoms", "bonds")]
     # pairs that are settled send NULLs to Python and come back as "no"
-    ready = joined.withColumn("_try", test).select(
-        "pair_id", *[F.when(F.col("_try"), F.col(c)).alias(c) for c in sides])
-    return ready.withColumn("found", embeds_udf(*sides).cast("int")).select("pair_id", "found")
+    ready = joined.withColumn("_try", test).select(*keys, *[F.when(F.col("_try"), F.col(c)).alias(c) for c in sides])
+    return ready.withColumn("found", embeds_udf(*sides).cast("int")).select(*keys, "found")
+
+
+def path_features(s: DataFrame) -> DataFrame:
+    """C11 index input: ``m_paths``, the distinct labelled paths of one, two and three atoms of a valid molecule.
+
+    A molecule that holds another holds all its paths, as atoms and bonds map to equal ones.
+    """
+    at, rings = F.col("atoms"), F.col("rings")
+
+    def kind(a: Column) -> Column:
+        return F.concat(F.when(a["arom"], F.lower(a["el"])).otherwise(a["el"]), a["charge"].cast("string"))
+
+    def paths(all_: Column) -> Column:
+        def bond(a: Column, x: Column) -> Column:
+            both = a["arom"] & F.get(all_, x["n"])["arom"] & _in_one_ring(rings, a["idx"], x["n"])
+            return F.when(both, "a").otherwise(x["ord"].cast("string"))
+
+        def around(a: Column) -> Column:
+            near = F.filter(a["nbrs"], lambda x: F.get(all_, x["n"])["el"] != "")
+            arms = F.transform(near, lambda x: F.struct(x["n"].alias("n"), F.concat(bond(a, x), kind(F.get(all_, x["n"]))).alias("arm")))
+            return let(arms, lambda ends: F.concat(
+                F.array(kind(a)), F.transform(ends, lambda e: F.concat_ws("-", kind(a), e["arm"])),
+                F.flatten(F.transform(ends, lambda e: F.transform(
+                    F.filter(ends, lambda o: (o["n"] != e["n"]) & (o["arm"] >= e["arm"])), lambda o: F.concat_ws("-", e["arm"], kind(a), o["arm"]))))))
+
+        return F.array_distinct(F.flatten(F.transform(heavy(all_), around)))
+
+    return s.where("valid").select("mol_id", let(at, paths).alias("m_paths"))
+
+
+def search(queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """C11 over an index: ``query, target`` of every molecule of ``targets`` that holds one of ``queries``.
+
+    Targets are listed under each of their paths.  A query looks up only its rarest path; what it
+    finds there must hold all its paths before the matcher sees it.  No pair is formed otherwise.
+    """
+    rows = stage(path_features(targets))
+    listed = rows.select("mol_id", F.explode("m_paths").alias("path"))
+    count = listed.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    asked = stage(path_features(queries))
+    rarest = (
+        asked.select("mol_id", F.size("m_paths").alias("_size"), F.explode("m_paths").alias("path")).join(count, "path")
+        .groupBy("mol_id", "_size").agg(F.count(F.lit(1)).alias("_known"), F.min(F.struct("n", "path")).alias("_least"))
+        .where("_known = _size")
+    )
+    pairs = rarest.select(F.col("mol_id").alias("query"), F.col("_least.path").alias("path")).join(
+        listed.withColumnRenamed("mol_id", "target"), "path").select("query", "target")
+    held = (
+        pairs.join(rows.select(F.col("mol_id").alias("target"), F.col("m_paths").alias("_t")), "target")
+        .join(asked.select(F.col("mol_id").alias("query"), F.col("m_paths").alias("_q")), "query")
+        .where(F.size(F.array_except("_q", "_t")) == 0).select("query", "target")
+    )
+    joined = held.join(_side("t", match_form(targets)), F.col("target") == F.col("t_mol_id")).join(
+        _side("q", match_form(queries)), F.col("query") == F.col("q_mol_id"))
+    return _matched(joined, "query", "target").where("found = 1").select("query", "target")

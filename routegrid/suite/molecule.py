@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..bridge import PART_SMILES, VIEWS, derive, load, view
+from ..bridge import PART_SMILES, VIEWS, derive, load, smiles_of, view
 from ..dims import ELEMENTS
 from ..functions import text as T
 from ..operators import graph as G
@@ -42,6 +42,11 @@ def _contains(s, d):
     return M.contains(derive(s, d, WITHIN), M.match_form(_s(s, d)))
 
 
+def _search(s, d):
+    asked = derive(s, d, f"SELECT n_nationkey AS mol_id, {smiles_of('n_nationkey', 'n_nationkey')} AS smiles FROM nation WHERE n_nationkey > 0")
+    return M.search(G.structures(asked), _s(s, d))
+
+
 def _formulas(s, d):
     return M.formula_and_mass(_m(s, d)).withColumn(
         "formula", F.when(F.col("chemical_formula") != "N/A", F.col("chemical_formula")))
@@ -92,6 +97,7 @@ QUERIES = {
     "c9_same_molecule": _same,
     "c10_fingerprint": lambda s, d: M.fingerprint(_s(s, d)),
     "c11_contains": _contains,
+    "c11_search": _search,
     "c12_is_basic": lambda s, d: M.is_basic(_s(s, d), _m(s, d), dims.stock(s)),
     "c13_has_seven_ring": lambda s, d: M.has_ring_of_size(_s(s, d), 7),
     "c13_has_eight_ring": lambda s, d: M.has_ring_of_size(_s(s, d), 8),

@@ -134,7 +134,8 @@ QUERIES = {
     "h6_splice_status": _splice_status,
     "h7_add_root_step": lambda s, d: H.add_root_step(_products(s, d)),
     "h8_parent_of_step": _h(lambda st, ed, start, new, ne: H.parent_of_step(st, ed)),
-    "h9_route_tree": _h(lambda st, ed, start, new, ne: H.route_tree(H.parent_of_step(st, ed))),
+    "h9_route_tree": _h(lambda st, ed, start, new, ne: H.route_tree(H.parent_of_step(st, ed)).drop("root")),
+    "h9_route_roots": _h(lambda st, ed, start, new, ne: H.route_tree(H.parent_of_step(st, ed), paths=False)),
     "h10_dependency_edges": _h(lambda st, ed, start, new, ne: H.dependency_edges(ed)),
 }
 
@@ -237,5 +238,6 @@ ORACLES = {
                               "l_partkey::VARCHAR AS smiles FROM lineitem JOIN ord ON l_orderkey = o_orderkey"),
     "h8_parent_of_step": _edit("SELECT * FROM par"),
     "h9_route_tree": _edit("SELECT * FROM tree"),
+    "h9_route_roots": _edit("SELECT route_id, step, depth, path[1] AS root FROM tree"),
     "h10_dependency_edges": _edit("SELECT route_id, dep AS source, step AS target FROM ed"),
 }
