@@ -45,8 +45,7 @@ def text_of(key: str) -> str:
 def pool_of(number: str, pool: list[str] | None = None) -> str:
     """SQL text: a pool entry chosen by ``number`` (non-negative)."""
     pool = pool or POOL
-    arms = " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(pool))
-    return f"(CASE {number} % {len(pool)} {arms} END)"
+    return f"split_part('{'~'.join(pool)}', '~', cast({number} % {len(pool)} + 1 AS int))"
 
 
 def smiles_of(key: str, number: str) -> str:

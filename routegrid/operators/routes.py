@@ -91,7 +91,7 @@ def _below(edges: DataFrame, growth: int = 8) -> DataFrame:
         if not more:
             break
         table, most, size = table.unionByName(deeper), most * 2, size + more
-    return stage(table.withColumn("more", F.expr(on.format(most) + " OR (status = 'expanded' AND loop IS NOT NULL)")))
+    return table.withColumn("more", F.expr(on.format(most) + " OR (status = 'expanded' AND loop IS NOT NULL)"))
 
 
 def expand_routes(
