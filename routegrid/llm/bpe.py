@@ -107,14 +107,14 @@ def merge(symbols: list[int], merges: dict[int, int]) -> list[int]:
 
 
 class _Encoder(dict):
-    """Packed 32-bit ids of stretches of text; short stretches are kept, up to a bound.
+    """Packed 32-bit ids of stretches of text; short stretches are kept, up to ``most`` bytes of memory.
 
     A blank before a character that is no white space always starts a piece, so a text is cut
     there first; only stretches not seen before are split into pieces and merged.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 800_000):
-        self.vocabulary, self.most = vocabulary, most
+    def __init__(self, vocabulary: Vocabulary, most: int = 24 << 20):
+        self.vocabulary, self.most, self.held = vocabulary, most, 0
         self.cut = re.compile(r" (?=[^\s\x85])").split
         self.split = regex.compile(PATTERN).findall
         names = sorted(vocabulary.added, key=len, reverse=True)
@@ -122,8 +122,10 @@ class _Encoder(dict):
 
     def _keep(self, stretch: str, packed: bytes) -> bytes:
         if len(stretch) <= 48:
-            if len(self) >= self.most:
+            self.held += 170 + len(stretch) + len(packed)  # with what the table and the objects take
+            if self.held > self.most:
                 self.clear()
+                self.held = 0
             self[stretch] = packed
         return packed
 
