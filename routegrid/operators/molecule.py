@@ -324,9 +324,8 @@ def environment_hashes(s: DataFrame, radius: int) -> DataFrame:
     return s.where("valid").withColumn("envs", env)
 
 
-def _settled_hashes(at: Column, rings: Column, rounds: int) -> Column:
+def _settled_hashes(at: Column, start: Column, turn: Callable[[Column], Column], rounds: int) -> Column:
     """Atom hashes after ``rounds`` rounds and as many more as tell further atoms apart (at most one per atom)."""
-    start, turn = _neighbour_hashes(at, rings)
 
     def state(now: Column, before: Column) -> Column:
         return let(now, lambda n: F.struct(
@@ -343,12 +342,34 @@ def structure_key(s: DataFrame, rounds: int = 6) -> DataFrame:
     """One text per structure, equal for every way to write the molecule.
 
     Iterated neighbour hashing, until no round tells more atoms apart (``rounds`` rounds at
-    least); blind to stereo marks and to some regular graphs.  NULL for invalid texts.
+    least).  Of a molecule with rings that leaves atoms alike, the smallest class of such atoms
+    (of equal ones the least hash) is individualised: each of its atoms in turn gets a hash of
+    its own, the hashes settle again, and all outcomes, sorted, go into the key.  That tells
+    regular graphs apart, such as two fused from two joined rings; atoms that are alike by
+    symmetry give equal outcomes.  Blind to stereo marks.  NULL for invalid texts.
     """
-    key = let(F.col("atoms"), lambda at: let(
-        _settled_hashes(at, F.col("rings"), rounds),
-        lambda now: F.md5(F.array_join(F.array_sort(of_heavy(at, now)), ","))))
-    return s.select("mol_id", F.when(F.col("valid"), key).alias("skey"))
+    def listed(at: Column, now: Column) -> Column:
+        return F.array_join(F.array_sort(of_heavy(at, now)), ",")
+
+    def key(at: Column) -> Column:
+        start, turn = _neighbour_hashes(at, F.col("rings"))
+
+        def outcomes(now: Column) -> Column:
+            hashes = of_heavy(at, now)
+            alike = let(hashes, lambda h: F.array_min(F.filter(F.transform(
+                F.array_distinct(h), lambda x: F.struct(count_if(h, lambda o: o == x).alias("n"), x.alias("h"))), lambda c: c["n"] > 1)))
+            return let(alike, lambda cell: F.array_sort(F.transform(
+                F.filter(heavy(at), lambda a: F.get(now, a["idx"]) == cell["h"]),
+                lambda a: F.md5(listed(at, _settled_hashes(at, F.transform(
+                    now, lambda h, i: F.when(i == a["idx"], F.md5(F.concat(h, F.lit("*")))).otherwise(h)), turn, 0))))))
+
+        def whole(now: Column) -> Column:
+            tied = (F.size("rings") > 0) & (F.size(F.array_distinct(of_heavy(at, now))) < F.size(heavy(at)))
+            return F.md5(F.when(tied, F.concat(listed(at, now), F.lit("|"), F.array_join(outcomes(now), ","))).otherwise(listed(at, now)))
+
+        return let(_settled_hashes(at, start, turn, rounds), whole)
+
+    return s.select("mol_id", F.when(F.col("valid"), let(F.col("atoms"), key)).alias("skey"))
 
 
 def fingerprint(s: DataFrame, radius: int = 2, n_bits: int = 2048) -> DataFrame:

@@ -151,8 +151,30 @@ w0 AS (SELECT mol_id, idx, md5(concat_ws('|', el, arom::INT, charge, h, deg)) AS
 w{k} AS (SELECT w.mol_id, w.idx, md5(any_value(w.l) || '|' || coalesce(string_agg(b.lab || ':' || n.l, ',' ORDER BY b.lab || ':' || n.l), '')) AS l
   FROM w{k-1} w LEFT JOIN w_bond b ON b.mol_id = w.mol_id AND b.a = w.idx LEFT JOIN w{k-1} n ON n.mol_id = b.mol_id AND n.idx = b.b
   GROUP BY 1, 2)""" for k in range(1, 7))
-KEYS = ("k_key AS (SELECT mol_id, CASE WHEN valid THEN skey END AS skey FROM g_valid LEFT JOIN "
-        "(SELECT mol_id, md5(string_agg(l, ',' ORDER BY l)) AS skey FROM w6 GROUP BY 1) USING (mol_id))")
+def _settling(name: str, base: str, own: str, least: int) -> str:
+    """Recursive rounds over ``base(mol_id, <own>, idx, l)`` until a molecule's number of different hashes stops growing."""
+    mine, same = f"mol_id, {own}" if own else "mol_id", "".join(f" AND n.{c} = w.{c}" for c in [own] if c)
+    w_mine = ", ".join(f"w.{c}" for c in mine.split(", "))
+    return f"""
+{name} AS (
+  SELECT {mine}, idx, 0 AS r, l, count(DISTINCT l) OVER (PARTITION BY {mine}) AS kinds, CAST(0 AS BIGINT) AS before FROM {base}
+  UNION ALL
+  SELECT {mine}, idx, r + 1, l2, count(DISTINCT l2) OVER (PARTITION BY {mine}), kinds FROM (
+    SELECT {w_mine}, w.idx, w.r, w.kinds, md5(w.l || '|' || coalesce(string_agg(b.lab || ':' || n.l, ',' ORDER BY b.lab || ':' || n.l), '')) AS l2
+    FROM {name} w LEFT JOIN w_bond b ON b.mol_id = w.mol_id AND b.a = w.idx LEFT JOIN {name} n ON n.mol_id = b.mol_id AND n.idx = b.b{same}
+    WHERE w.r < {least} OR w.kinds > w.before GROUP BY {w_mine}, w.idx, w.r, w.kinds, w.l)),
+{name}_end AS (SELECT * FROM {name} QUALIFY r = max(r) OVER (PARTITION BY {mine}))"""
+
+
+KEYS = _settling("ws", "w0", "", 6) + """,
+t_mol AS (SELECT mol_id FROM ws_end SEMI JOIN g_ring USING (mol_id) GROUP BY 1 HAVING count(DISTINCT l) < count(*)),
+t_cell AS (SELECT mol_id, min({'n': n, 'l': l}) AS c FROM (SELECT mol_id, l, count(*) AS n FROM ws_end SEMI JOIN t_mol USING (mol_id) GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1),
+t_start AS (SELECT w.mol_id, p.idx AS v, w.idx, CASE WHEN w.idx = p.idx THEN md5(w.l || '*') ELSE w.l END AS l
+  FROM t_cell c JOIN ws_end p ON p.mol_id = c.mol_id AND p.l = c.c.l JOIN ws_end w ON w.mol_id = c.mol_id),""" + _settling("ti", "t_start", "v", 0) + """,
+t_out AS (SELECT mol_id, string_agg(o, ',' ORDER BY o) AS o FROM (SELECT mol_id, v, md5(string_agg(l, ',' ORDER BY l)) AS o FROM ti_end GROUP BY 1, 2) GROUP BY 1),
+k_key AS (SELECT mol_id, CASE WHEN valid THEN skey END AS skey FROM g_valid LEFT JOIN (
+  SELECT mol_id, md5(any_value(a) || coalesce('|' || any_value(o), '')) AS skey FROM (SELECT mol_id, string_agg(l, ',' ORDER BY l) AS a FROM ws_end GROUP BY 1)
+  LEFT JOIN t_out USING (mol_id) GROUP BY 1) USING (mol_id))"""
 
 DESC = """
 d_ring AS (SELECT g.mol_id, g.ring_id, any_value(g.size) AS size, bool_and(t.arom) AS arom, bool_and(t.el = 'C') AS carbo

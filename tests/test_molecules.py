@@ -50,6 +50,25 @@ def test_structure_key_ignores_writing(table):
     assert keys[len(same) * 2 + 1] is None
 
 
+def test_structure_key_of_regular_graphs(table):
+    """Graphs that neighbour hashing alone cannot tell apart, and other ways to write each."""
+    groups = [
+        ["C1CCC2CCCCC2C1", "C12CCCCC1CCCC2", "C1CCCC2C1CCCC2"], ["C1CCCC1C1CCCC1", "C1(CCCC1)C1CCCC1", "C1CCC(C1)C2CCCC2"],
+        ["C1CCCCC1.C1CCCCC1", "C1CCCCC1.C2CCCCC2"], ["C1CCCCCCCCCCC1"], ["C12C3C1C1C2C31", "C12C3C4C1C4C32"], ["C12C3C1C2C3"],
+    ]
+    texts = [t for g in groups for t in g]
+    keys = {r["mol_id"]: r["skey"] for r in M.structure_key(G.structures(table(texts))).collect()}
+    found = [keys[i] for i in range(len(texts))]
+    assert None not in found
+    at = 0
+    seen = []
+    for g in groups[:4]:
+        assert len(set(found[at:at + len(g)])) == 1, g
+        seen.append(found[at])
+        at += len(g)
+    assert len(set(seen)) == len(seen)
+
+
 def test_structure_key_of_long_chains(table):
     """A methyl at 15 or at 18 of 40 carbons; the first one also written from the other end."""
     texts = ["C" * 15 + "(C)" + "C" * 25, "C" * 18 + "(C)" + "C" * 22, "C" * 26 + "(C)" + "C" * 14]
