@@ -362,7 +362,7 @@ def consistency_scores(table: DataFrame) -> DataFrame:
     )
 
 
-def consistency_filter(pathways: DataFrame, key: Sequence[str] = ("target", "rank")) -> DataFrame:
+def consistency_filter(pathways: DataFrame, key: Sequence[str]) -> DataFrame:
     """``pathways(target, rank, reactants)``; keeps those scored low or medium risk."""
     kept = consistency_scores(pathway_table(pathways, key=key)).where(F.col("severity").isin("low", "medium"))
     return pathways.join(kept.select(*key), list(key), "left_semi")

@@ -47,7 +47,7 @@ def candidate_rows(parsed: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
-def validity_filter(candidates: DataFrame, key: Sequence[str] = ("target", "rank")) -> DataFrame:
+def validity_filter(candidates: DataFrame, key: Sequence[str]) -> DataFrame:
     """``candidates(target, rank, reactants, ...)`` whose molecules are all readable, not
     the target itself and do not contain it.
 
@@ -89,13 +89,14 @@ def first_good_attempt(
     if attempts is not None:
         tried = tried.where(F.col("attempt") < attempts)
     answers = split_answers(tried, families).where("status = 200")
-    rows = candidate_rows(parse_candidates(answers), ["target", "attempt"])
-    rows = stage(rows.withColumn("rank", F.struct("attempt", "rank")).drop("attempt"))
-    kept = validity_filter(rows)
+    rows = candidate_rows(parse_candidates(answers), ["target", "model", "attempt"])
+    rows = stage(rows.withColumn("rank", F.struct("attempt", "model", "rank")).drop("attempt", "model"))
+    key = ["target", "rank"]  # two models may answer for one target
+    kept = validity_filter(rows, key)
     if check_stability:
-        kept = stability_filter(kept)
+        kept = stability_filter(kept, key)
     if check_consistency:
-        kept = consistency_filter(stage(kept))
+        kept = consistency_filter(stage(kept), key)
     kept = stage(kept)
     first = kept.groupBy("target").agg(F.min("rank.attempt").alias("attempt"))
     return (

@@ -285,7 +285,7 @@ def issue_rows(st: DataFrame) -> DataFrame:
     return st.select("mol_id", F.explode("issues").alias("i")).select("mol_id", "i.*")
 
 
-def stability_filter(pathways: DataFrame, scores: DataFrame | None = None, key: Sequence[str] = ("target", "rank")) -> DataFrame:
+def stability_filter(pathways: DataFrame, key: Sequence[str], scores: DataFrame | None = None) -> DataFrame:
     """``pathways(target, rank, reactants)`` whose molecules are all stable enough.
 
     ``key`` names the columns that tell pathways apart.  Counts per pathway combine before the shuffle; the reactant lists themselves stay put.

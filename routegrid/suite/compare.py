@@ -65,7 +65,7 @@ QUERIES = {
         "pair_id", F.explode(D.moves()).alias("x")).select("pair_id", "x.*"),
     "d12_consistency_score": lambda s, d: _scores(s, d).select("pair_id", "score"),
     "d13_severity": lambda s, d: _scores(s, d).select("pair_id", "severity", "message"),
-    "d14_consistency_filter": lambda s, d: D.consistency_filter(pathways(s, d)).select("rank", "target"),
+    "d14_consistency_filter": lambda s, d: D.consistency_filter(pathways(s, d), ("target", "rank")).select("rank", "target"),
     "d15_ring_position_pairs": lambda s, d: D.position_pairs(_table(s, d)),
     "d16_changed_atoms": lambda s, d: D.changed_atoms(_pairs(s, d)),
     "d17_structure_consistency": lambda s, d: D.structure_consistency(_table(s, d)),

@@ -18,10 +18,18 @@ NL = "chr(10)"
 _TAIL = ["CCO", "CC(=O)O", "Cc1ccccc1", "C1CCCCC1", "CCN", "C1CN1", "CC#N", "Cc1cnccn1", "CBr", "Cx", "C(C"]
 
 
-def _json(key: str) -> str:
+def _escaped(text: str) -> str:
+    """SQL text: ``text`` as the inside of a JSON string."""
+    out = f"replace(coalesce({text}, ''), chr(92), concat(chr(92), chr(92)))"
+    for code, mark in ((34, "chr(34)"), (10, "'n'"), (13, "'r'"), (9, "'t'")):
+        out = f"replace({out}, chr({code}), concat(chr(92), {mark}))"
+    return out
+
+
+def _json(key: str, note: str = "'first'") -> str:
     a, b, c = smiles_of(key, key), smiles_of(key, f"({key} + 7)"), pool_of(key, _TAIL)
     full = (f"concat('{{\"data\": [[\"', {a}, '\", \"', {c}, '\"], [\"', {b}, '\"], \"', {pool_of(f'({key} + 3)', _TAIL)}, '\"], "
-            f"\"explanation\": [\"first\", \"second\", \"third\"], \"confidence_scores\": [0.', cast({key} % 10 AS string), "
+            f"\"explanation\": [\"', {note}, '\", \"second\", \"third\"], \"confidence_scores\": [0.', cast({key} % 10 AS string), "
             f"', 0.5, 0.25]}}')")
     return f"CASE WHEN {key} % 17 = 0 THEN replace({full}, '\"explanation\"', '\"notes\"') ELSE {full} END"
 
@@ -40,9 +48,9 @@ RESP = (f"SELECT doc_id AS id, {smiles_of('doc_id', '(doc_id + 1)')} AS target,
 ATTEMPTS = (f"SELECT {smiles_of('conv_id', '(conv_id + 1)')} AS target, {MODEL.format('conv_id')} AS model, "
             f"cast(floor(turn / 2) AS int) AS attempt, CASE WHEN (conv_id + turn) % 6 = 0 THEN 400 ELSE 200 END AS status_code, "
             f"{_answer('(conv_id + turn)', 'text')} AS text FROM conversations WHERE role = 'assistant'")
-CANDS = f"SELECT doc_id AS id, {smiles_of('doc_id', '(doc_id + 1)')} AS target, {_json('doc_id')} AS json FROM documents"
+CANDS = f"SELECT doc_id AS id, {smiles_of('doc_id', '(doc_id + 1)')} AS target, {_json('doc_id', _escaped('text'))} AS json FROM documents"
 META = (f"SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'no json here' WHEN 1 THEN concat('{{\"data\": [\"', {pool_of('doc_id', _TAIL)}, '\"]}}') "
-        f"ELSE concat('{{\"data\": [\"', {pool_of('doc_id', _TAIL)}, '\", \"', {smiles_of('doc_id', 'doc_id')}, '\"], \"explanation\": \"why\", "
+        f"ELSE concat('{{\"data\": [\"', {pool_of('doc_id', _TAIL)}, '\", \"', {smiles_of('doc_id', 'doc_id')}, '\"], \"explanation\": \"', {_escaped('text')}, '\", "
         f"\"temperature\": \"', cast(doc_id AS string), '\", \"pressure\": \"1 atm\", \"solvent\": \"', lang, '\"', CASE doc_id % 3 WHEN 0 THEN '' ELSE ', \"time\": \"2 h\"' END, "
         f"CASE doc_id % 2 WHEN 0 THEN concat(', \"literature_reaction\": \"', source, '\"') ELSE '' END, '}}') END AS text FROM documents")
 TEMPLATES = [

@@ -29,7 +29,7 @@ QUERIES = {f"e{k}_{name}": _rule(f"E{k}") for k, name in [
 QUERIES |= {
     "e10_score": lambda s, d: _st(s, d).select("mol_id", "score"),
     "e11_assessment": lambda s, d: _st(s, d).select("mol_id", "valid", F.size("issues").alias("n_issues"), "assessment"),
-    "e12_stability_filter": lambda s, d: E.stability_filter(pathways(s, d)).select("rank", "target"),
+    "e12_stability_filter": lambda s, d: E.stability_filter(pathways(s, d), ("target", "rank")).select("rank", "target"),
 }
 
 RULES = """

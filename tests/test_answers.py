@@ -78,4 +78,4 @@ def test_validity_filter_tells_answers_apart(spark):
     rows = [(1, "CCO", 0, ["CCCC"]), (2, "CCO", 0, ["Cx"]), (3, "CCN", 0, ["CCC"])]
     df = spark.createDataFrame(rows, "id int, target string, rank int, reactants array<string>")
     assert {r["id"] for r in R.validity_filter(df, ("id", "rank")).collect()} == {1, 3}
-    assert {r["id"] for r in R.validity_filter(df).collect()} == {3}
+    assert {r["id"] for r in R.validity_filter(df, ("target", "rank")).collect()} == {3}

@@ -57,7 +57,7 @@ def test_pathway_features_add_up(spark):
     joined = df.select("target", "rank", F.array_join("reactants", ".").alias("reactant"), F.col("target").alias("product"))
     two = {(r["target"], r["rank"]): r for r in D.consistency_scores(D.compare_table(joined)).select("target", "rank", *cols).collect()}
     assert one == two and len(one) == len(paths)
-    kept = {(r["target"], r["rank"]) for r in D.consistency_filter(df).collect()}
+    kept = {(r["target"], r["rank"]) for r in D.consistency_filter(df, ("target", "rank")).collect()}
     assert kept == {k for k, r in one.items() if r["severity"] in ("low", "medium")}
 
 
