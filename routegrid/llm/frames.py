@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
@@ -34,6 +34,13 @@ def settled(df: DataFrame) -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Arrow batches of a few megabytes, unless the session has a size of its own: buffers on both sides follow it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, size)
+
+
 def id_type(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 
