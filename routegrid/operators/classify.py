@@ -1,11 +1,15 @@
 """Reaction classification with Spark ML."""
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import CountVectorizerModel, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.staging import stage
 from .compare import text_structures
@@ -107,6 +111,34 @@ def class_scalability(names: DataFrame, classes: DataFrame) -> tuple[DataFrame,
     return keyed.join(known, "_n").drop("_n"), keyed.join(known, "_n", "left_anti").drop("_n")
 
 
-def describe(df: DataFrame) -> DataFrame:
-    """K11."""
-    return df.summary()
+def describe(df: DataFrame, quantiles: Sequence[float] = (0.25, 0.5, 0.75), bins: int = 1024) -> DataFrame:
+    """``column, count, mean, stddev, min, p25, p50, p75, max`` of every numeric column, as doubles.
+
+    Quantiles are exact: the value of rank ceil(q * count).  Each round counts the values of what
+    is left of every range in ``bins`` equal bins and goes on with the bin that holds the rank,
+    narrowed to the values that occur in it, until that is one value.  The driver sees no more
+    than ``bins`` counts a column and quantile; nulls and NaN don't count.
+    """
+    spark = df.sparkSession
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in names])).alias("x")).select("x.*")
+    values = values.where("v IS NOT NULL AND NOT isnan(v)")
+    whole = values.groupBy("column").agg(
+        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("stddev"), F.min("v").alias("min"), F.max("v").alias("max"))
+    rows = {r["column"]: r.asDict() for r in whole.collect()}
+    ranges = {(c, q): (r["min"], r["max"], max(1, math.ceil(q * r["count"]))) for c, r in rows.items() for q in quantiles}
+    while open_ := [(c, q, low, high) for (c, q), (low, high, _) in ranges.items() if low < high]:
+        wanted = F.broadcast(spark.createDataFrame(open_, "column string, q double, low double, high double"))  # a row a column and quantile
+        place = F.least(F.floor((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * bins), F.lit(bins - 1))
+        found = values.join(wanted, "column").where("v BETWEEN low AND high").groupBy("column", "q", place.alias("bin")).agg(
+            F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("column", "q", "bin").collect()
+        for key in [(c, q) for c, q, *_ in open_]:
+            rank = ranges[key][2]
+            for r in (r for r in found if (r["column"], r["q"]) == key):
+                if rank <= r["n"]:
+                    ranges[key] = (r["low"], r["high"], rank)
+                    break
+                rank -= r["n"]
+    out = [(c, r["count"], r["mean"], r["stddev"], r["min"], *[ranges[c, q][0] for q in quantiles], r["max"]) for c, r in sorted(rows.items())]
+    at = ", ".join(f"p{q * 100:g} double" for q in quantiles)
+    return spark.createDataFrame(out, f"column string, count long, mean double, stddev double, min double, {at}, max double")

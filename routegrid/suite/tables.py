@@ -175,6 +175,11 @@ def _predictions(s, d, split="test"):
     return K.predict(model, K.features(K.split_rows(data, split) if split else data)).select("id", "label", "prediction")
 
 
+def _describe(s, d):
+    found = K.describe(load(s, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_partkey"))
+    return found.withColumns({c: F.round(c, 4) for c in ("mean", "stddev")})
+
+
 def _reaction_type(s, d):
     pairs = _rxn(s, d).select(F.col("id").alias("pair_id"))
     p = _predictions(s, d, None).select(F.col("id").alias("pair_id"), "prediction")
@@ -288,7 +293,7 @@ QUERIES = {
     "k8_accuracy": lambda s, d: K.accuracy(_votes(s, d)),
     "k10_class_scalability": _names(0),
     "k10_unmatched": _names(1),
-    "k11_describe": lambda s, d: K.describe(load(s, d, "lineitem").select("l_quantity", "l_extendedprice")),
+    "k11_describe": _describe,
     "g9_reaction_type": _reaction_type,
     "l1_sweep": lambda s, d: L.sweep(view(s, d, "molecules").select("mol_id"), FOLDERS, 2, _models(s).select("model_key", "internal_name")),
     "l2_isolate_errors": _isolated,
@@ -373,6 +378,10 @@ ORACLES = {
     "l1_sweep": "SELECT p_partkey AS mol_id, folder, run, split_part(folder, ':', 1) AS model_key, split_part(folder, ':', 2) AS version, internal_name FROM part, (VALUES ('base:v1'), ('base:v2'), ('large:v1'), ('unknown:v9')) f(folder), "
                 "(VALUES (1), (2)) r(run) LEFT JOIN (VALUES ('base', 'vendor/base-1'), ('large', 'vendor/large-2'), ('tiny', 'vendor/tiny')) m(k, internal_name) ON k = split_part(folder, ':', 1)",
     "l2_isolate_errors": graph_sql("SELECT mol_id, CASE WHEN valid THEN 'ok' ELSE 'error' END AS status, CASE WHEN NOT valid THEN 'unreadable text' END AS error FROM g_valid"),
+    "k11_describe": " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(x) AS count, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS stddev, min(x) AS min, quantile_disc(x, 0.25) AS p25, "
+        f"quantile_disc(x, 0.5) AS p50, quantile_disc(x, 0.75) AS p75, max(x) AS max FROM (SELECT CAST({c} AS DOUBLE) AS x FROM lineitem)"
+        for c in ("l_quantity", "l_extendedprice", "l_discount", "l_partkey")),
     "l3_run_report": "SELECT event_type AS status, count(*) AS n, round(count(*) / (SELECT count(*) FROM events), 6) AS share, round(avg(value), 6) AS mean_elapsed FROM events GROUP BY 1",
     "l4_resolve_requests": _req(False),
     "l4_resolve_strict": _req(True),
