@@ -12,6 +12,7 @@ from ..plans.frontier import grow, union_all
 from ..plans.graphs import long_walkers, strong_components
 from ..plans.ranking import numbered
 from ..plans.staging import stage
+from .molecule import formula_and_mass
 
 
 def short_circuit(targets: DataFrame, stock: DataFrame) -> DataFrame:
@@ -206,6 +207,30 @@ def format_route(nodes: DataFrame, basic: DataFrame) -> tuple[DataFrame, DataFra
     return steps, molecules, resolve_dependencies(steps, molecules)
 
 
+def last_pairs(steps: DataFrame, molecules: DataFrame) -> DataFrame:
+    """``route_id, step, smiles, product``: what a step consumes last, and what it makes."""
+    last = molecules.groupBy("route_id", "step").agg(F.max_by("smiles", "ord").alias("smiles"))
+    return steps.select("route_id", "step", "product").join(last, ["route_id", "step"])
+
+
+def describe_steps(steps: DataFrame, molecules: DataFrame, types: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """G4 and G6, complete: (steps, molecules) with formula and mass; steps also with a scalability.
+
+    ``types(smiles, product, code)`` holds the predicted class of pairs.  A step takes the
+    scalability of its last molecule's pair; ``N/A`` without a known class.  Each distinct text
+    is analysed once and joins back by a digest.
+    """
+    texts = stage(molecules.select("smiles").unionByName(steps.select(F.col("product").alias("smiles"))).distinct().select(F.md5("smiles").alias("mol_id"), "smiles"))
+    facts = stage(formula_and_mass(texts))
+    pairs = last_pairs(steps, molecules).join(types.select("smiles", "product", "code").distinct(), ["smiles", "product"], "left")
+    rated = scalability_index(pairs.select("route_id", "step", "code"), classes).select("route_id", "step", "scalability")
+    full = (
+        steps.withColumn("mol_id", F.md5("product")).join(facts, "mol_id").drop("mol_id")
+        .join(rated, ["route_id", "step"], "left").withColumn("scalability", F.coalesce("scalability", F.lit("N/A")))
+    )
+    return full, molecules.withColumn("mol_id", F.md5("smiles")).join(facts, "mol_id").drop("mol_id")
+
+
 def enrich_steps(
     steps: DataFrame, molecules: DataFrame, reagents: DataFrame, conditions: DataFrame, literature: DataFrame
 ) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,9 @@ from ..bridge import PART_SMILES, derive, load, smiles_of, view
 from ..operators import edit as H
 from ..operators import routes as G
 from ..plans.ranking import numbered
+from ..plans.staging import stage
+from .molecule import FORMULA
+from .sqlgraph import graph_sql
 
 CUST = smiles_of("{0}", "{0}")
 TARGETS = f"SELECT c_custkey AS route_id, {CUST.format('c_custkey')} AS smiles FROM customer"
@@ -63,8 +66,6 @@ def _edges(steps):
 
 
 def _route_tables(s, d):
-    from ..plans.staging import stage
-
     steps = stage(_steps(s, d).select("route_id", "step"))
     edges = _edges(steps)
     cust = load(s, d, "customer")
@@ -106,6 +107,14 @@ def _enriched(s, d):
     return G.enrich_steps(steps, used, reagents, conditions, literature)
 
 
+def _described(s, d):
+    """Formatted routes with formulas, masses and scalability; classes follow from the lengths of a pair's texts."""
+    steps, used = (stage(t) for t in _flat(s, d))
+    types = G.last_pairs(steps, used).select("smiles", "product", ((F.length("smiles") + 2 * F.length("product")) % 40).cast("int").alias("code"))
+    full, molecules = G.describe_steps(steps, used, types, dims.reaction_classes(s))
+    return full.withColumn("mass", F.round("mass", 4)), molecules.withColumn("mass", F.round("mass", 4))
+
+
 QUERIES = {
     "g1_short_circuit": lambda s, d: G.short_circuit(_targets(s, d), _stock(s, d)),
     "g2_expand_routes": lambda s, d: _nodes(s, d).select("route_id", "path", "depth", "smiles", "status"),
@@ -115,6 +124,8 @@ QUERIES = {
     "g4_flatten_molecules": lambda s, d: _flat(s, d)[1],
     "g5_resolve_dependencies": lambda s, d: _format(s, d)[2],
     "g6_format_route": lambda s, d: _counted(*_format(s, d)),
+    "g6_step_metrics": lambda s, d: _described(s, d)[0],
+    "g6_molecule_metadata": lambda s, d: _described(s, d)[1],
     "g7_enrich_steps": lambda s, d: _enriched(s, d)[0],
     "g7_enrich_molecules": lambda s, d: _enriched(s, d)[1],
     "g8_confidence_estimate": lambda s, d: load(s, d, "lineitem").select(
@@ -177,6 +188,12 @@ def _route(select: str) -> str:
     return f"WITH RECURSIVE {BASE}, {_tree()}, {FLAT} {select}"
 
 
+def _facts(select: str) -> str:
+    """Over the flattened routes and ``f_all``, the formulas and masses of their ``texts``."""
+    texts = "texts AS (SELECT row_number() OVER (ORDER BY smiles) AS mol_id, smiles FROM (SELECT product AS smiles FROM steps UNION SELECT smiles FROM used))"
+    return graph_sql(select, extra=FORMULA, source="texts", pre=f"{BASE}, {_tree()}, {FLAT}, {texts}")
+
+
 EDIT = """ord AS (SELECT o_custkey AS route_id, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS step FROM orders),
 ed AS (SELECT route_id, step // 2 AS step, step AS dep FROM ord WHERE step > 1 UNION SELECT route_id, step - 3, step FROM ord WHERE step > 3 AND route_id % 3 = 0),
 start AS (SELECT c_custkey AS route_id, CAST(1 + c_custkey % 7 AS INT) AS step FROM customer SEMI JOIN ord ON route_id = c_custkey AND step = 1 + c_custkey % 7),
@@ -211,6 +228,11 @@ ORACLES = {
     "g4_flatten_molecules": _route("SELECT * FROM used"),
     "g5_resolve_dependencies": _route("SELECT * FROM deps"),
     "g6_format_route": _route("SELECT s.*, n_deps FROM steps s JOIN (SELECT route_id, step, count(dep) AS n_deps FROM deps GROUP BY 1, 2) USING (route_id, step)"),
+    "g6_step_metrics": _facts(
+        "SELECT s.*, f.chemical_formula, round(f.mass, 4) AS mass, coalesce(CASE (length(l.smiles) + 2 * length(product)) % 40 " + " ".join(
+            f"WHEN {c} THEN '{v}'" for c, _, _, v in dims.REACTION_CLASSES) + " END, 'N/A') AS scalability FROM steps s JOIN texts t ON t.smiles = s.product "
+        "JOIN f_all f USING (mol_id) LEFT JOIN (SELECT route_id, step, max_by(smiles, ord) AS smiles FROM used GROUP BY 1, 2) l USING (route_id, step)"),
+    "g6_molecule_metadata": _facts("SELECT u.*, f.chemical_formula, round(f.mass, 4) AS mass FROM used u JOIN texts t ON t.smiles = u.smiles JOIN f_all f USING (mol_id)"),
     "g7_enrich_steps": _route("SELECT *, CASE WHEN step % 3 > 0 THEN step || ' C' END AS temperature, CASE WHEN step % 4 > 0 THEN 'ref ' || product END AS literature FROM steps"),
     "g7_enrich_molecules": _route("SELECT * FROM used UNION ALL SELECT s.route_id, s.step, coalesce(m, -1) + 1, 'CCO', 'reagent' FROM steps s LEFT JOIN "
                                   "(SELECT route_id, step, max(ord) AS m FROM used GROUP BY 1, 2) USING (route_id, step) WHERE s.step % 2 = 1"),
