@@ -41,6 +41,38 @@ def small_batches(spark: SparkSession, size: str = "4m") -> None:
         spark.conf.set(key, size)
 
 
+HASHES = 1 << 40
+
+
+def hash_bounds(keys: DataFrame, group: str, most: int, bins: int = 1024) -> dict:
+    """For each group of ``keys(group, at, n)``, with ``at`` under 2**40, a bound: ``n`` of the hashes below it reaches ``most``.
+
+    Histograms of ever narrower ranges, all groups in one pass, so that ``n`` below the bound is
+    less than twice ``most`` (or one hash more), however many rows there are; a group with less
+    is taken whole.  The driver sees ``bins`` sums a group.
+    """
+    spark, kind = keys.sparkSession, keys.schema[group].dataType.simpleString()
+    bounds: dict = {}
+    open_ = {r[0]: (0, HASHES, 0) for r in keys.select(group).distinct().collect()}
+    while open_:
+        ranges = [(g, low, high, max(1, (high - low) // bins)) for g, (low, high, _) in open_.items()]
+        wanted = spark.createDataFrame(ranges, f"{group} {kind}, low long, high long, width long")
+        found = keys.join(F.broadcast(wanted), group).where("at >= low AND at < high").groupBy(
+            group, F.expr("(at - low) div width").alias("bin")).agg(F.sum("n").alias("n")).orderBy(group, "bin").collect()
+        for g, low, high, width in ranges:
+            have = open_.pop(g)[2]
+            bounds[g] = high
+            for r in (r for r in found if r[group] == g):
+                if have + r["n"] >= most:
+                    start = low + r["bin"] * width
+                    bounds[g] = min(high, start + width)
+                    if r["n"] > most and width > 1:
+                        open_[g] = (start, bounds[g], have)
+                    break
+                have += r["n"]
+    return bounds
+
+
 def id_type(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
-from .frames import batch_of
+from .frames import HASHES, batch_of, hash_bounds
 from .hashing import U64, mix, randoms, signed, slices
 
 UNKNOWN = "und"
@@ -183,27 +183,25 @@ def _kneser_ney(grams: pd.DataFrame, languages: list[str], order: int, discount:
 def fit(labelled: DataFrame, order: int = 4, discount: float = 0.75, fit_chars: int = 2_000_000, reject_z: float = 6.0, slack: float = 0.6) -> LanguageModels:
     """Models of every language in ``labelled(lang, text)``.
 
-    ``fit_chars`` bounds what is learned from: of each language, texts in the order of a content
-    hash until so many characters are reached (all of a smaller table).  A fifth of these texts
-    is kept from the models and calibrates them: the temperature of the score (least log loss)
-    and each language's usual cross-entropy, robustly, for the rejection.
+    ``fit_chars`` bounds what is learned from: of each language, different texts in the order of a
+    content hash until so many characters are reached (all of a smaller table; no more than twice
+    as many, or one text).  Each fifth of these texts is kept from the models and calibrates them:
+    the temperature of the score (least log loss) and each language's usual cross-entropy,
+    robustly, for the rejection; a language with fewer texts rejects none.
 
     Rows without a language or text are not used.  No usable row gives models of no language.
     """
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0").select("lang", "text", F.length("text").alias("_n"))
-    totals = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum("_n")).collect()}
-    languages = sorted(totals)
+    rows = labelled.where("lang IS NOT NULL AND length(text) > 0").select("lang", "text", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(HASHES)).alias("at"))
+    keys = stage(rows.groupBy("lang", "at").agg(F.max(F.length("text")).alias("n")))
+    bounds = hash_bounds(keys, "lang", fit_chars)
+    languages = sorted(bounds)
     if not languages:
         return LanguageModels([], order, [], [], [], np.zeros(0))
-    share = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, 1.5 * fit_chars / totals[name]))])
+    place = F.create_map(*[F.lit(x) for name in languages for x in (name, bounds[name])])
     number = F.create_map(*[F.lit(x) for i, name in enumerate(languages) for x in (name, i)])
-    place = F.xxhash64("text", F.lit(1))
-    before = Window.partitionBy("lang").orderBy("_at", "text").rowsBetween(Window.unboundedPreceding, -1)
-    sample = (
-        rows.withColumn("_at", place).where((F.pmod("_at", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < fit_chars)
-        .select(number[F.col("lang")].alias("language"), "text", (F.pmod(F.xxhash64("text", F.lit(2)), F.lit(5)) == 0).alias("held"))
-    )
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
+    sample = rows.where(F.col("at") < place[F.col("lang")]).dropDuplicates(["lang", "at"]).select(
+        number[F.col("lang")].alias("language"), "text", (turn % 5 == 0).alias("held"))
     sample = stage(sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +296,8 @@ def identify(models: LanguageModels, text: Column) -> Column:
             texts = batch.tolist()
             texts = [t if isinstance(t, str) else None for t in texts]
             if not models.languages:
-                yield pd.DataFrame({"lang": UNKNOWN, "score": 0.0, "cross_entropy": 0.0, "rejected": True}, index=range(len(texts)))
+                lettered = [any(map(str.isalpha, t or "")) for t in texts]  # nothing learned: nothing else to reject by
+                yield pd.DataFrame({"lang": UNKNOWN, "score": 0.0, "cross_entropy": 0.0, "rejected": [not x for x in lettered]}, index=range(len(texts)))
                 continue
             parts = []
             for at, end in _runs(texts, 1_000_000):

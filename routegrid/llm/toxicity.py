@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.staging import stage
+from .frames import HASHES, hash_bounds
 from .hashing import FOLD, SPACED, mix, randoms, slices, text_buffer
 
 WINDOW, STRIDE = 32, 24
@@ -314,32 +315,15 @@ def _calibrate(net: Network, logit: np.ndarray, truth: np.ndarray) -> None:
 def _bounded(docs: DataFrame, labels: DataFrame, fit_chars: int, longest: int) -> DataFrame:
     """(label, at, text): different texts of each label, in the order of a content hash ``at``, until ``fit_chars`` characters.
 
-    Keys and lengths alone meet the labels.  The bound on the hash comes from histograms of ever
-    narrower ranges, so that at most twice ``fit_chars`` a label is chosen, however many rows
-    there are.  A chosen text has a character, so the broadcast keys are no more than that.
+    Keys and lengths alone meet the labels.  At most twice ``fit_chars`` a label is chosen, and
+    a chosen text has a character, so the broadcast keys are no more than that.
     """
-    texts = docs.where(F.length("text").between(1, longest)).select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("at"))
+    texts = docs.where(F.length("text").between(1, longest)).select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(HASHES)).alias("at"))
     known = labels.select("doc_id", F.col("label").cast("int").alias("label")).where("label IN (0, 1)").distinct()
     keys = stage(texts.select("doc_id", "at", F.length("text").alias("n")).join(known, "doc_id").groupBy("label", "at").agg(
         F.max("n").alias("n"), F.min("doc_id").alias("doc_id")))
-    bounds: dict[int, int] = {}
-    for label in (0, 1):
-        low, high, have = 0, 1 << 40, 0
-        while True:
-            width = max(1, (high - low) // 1024)
-            found = keys.where((F.col("label") == label) & (F.col("at") >= low) & (F.col("at") < high)).groupBy(
-                F.expr(f"(at - {low}) div {width}").alias("bin")).agg(F.sum("n").alias("n")).toPandas().sort_values("bin")
-            total = have + found["n"].cumsum().to_numpy()
-            over = int(np.searchsorted(total, fit_chars))
-            if over == len(found):
-                bounds[label] = high
-                break
-            low, size = low + int(found["bin"].iloc[over]) * width, int(found["n"].iloc[over])
-            high, have = min(high, low + width), int(total[over]) - size
-            if size <= fit_chars or width == 1:
-                bounds[label] = high
-                break
-    chosen = keys.where(F.col("at") < F.when(F.col("label") == 1, bounds[1]).otherwise(bounds[0])).select("label", "at", "doc_id")
+    bounds = hash_bounds(keys, "label", fit_chars)
+    chosen = keys.where(F.col("at") < F.when(F.col("label") == 1, bounds.get(1, 0)).otherwise(bounds.get(0, 0))).select("label", "at", "doc_id")
     return texts.join(F.broadcast(chosen), ["doc_id", "at"]).select("label", "at", "text").dropDuplicates(["label", "at"])
 
 

@@ -80,15 +80,30 @@ def test_kneser_ney_sums_to_one(spark):
     docs = spark.createDataFrame([("a", "abab abba baab abc " * 3), ("b", "cccb bcbc cab " * 3)], "lang string, text string")
     models = language.fit(docs.unionByName(docs.selectExpr("lang", "concat(text, ' ab') AS text")), order=3, fit_chars=10_000)
     chars = sorted({*"abc "})
-    if len(models.languages) == 2:
-        for context in ("ab", "zz", "c"):
-            total = [0.0] * 2
-            for c in chars:
-                entropy, lengths, _ = models.cross_entropy([context + c])
-                before, short, _ = models.cross_entropy([context])
-                for i in range(2):
-                    total[i] += math.exp(-(entropy[0, i] * lengths[0] - before[0, i] * short[0]))
-            assert all(0 < t <= 1.0001 for t in total)
+    assert models.languages == ["a", "b"]
+    for context in ("ab", "zz", "c"):
+        total = [0.0] * 2
+        for c in chars:
+            entropy, lengths, _ = models.cross_entropy([context + c])
+            before, short, _ = models.cross_entropy([context])
+            for i in range(2):
+                total[i] += math.exp(-(entropy[0, i] * lengths[0] - before[0, i] * short[0]))
+        assert all(0 < t <= 1.0001 for t in total)
+
+
+def test_every_labelled_language_is_learned(spark):
+    rng = random.Random(9)
+    long = ["".join(rng.choice(" aeioulmnr") for _ in range(60_000)) for _ in range(3)]
+    labelled = spark.createDataFrame([("one", "zyx wvz zyx"), ("long", long[0]), ("long", long[1]), ("long", long[2]), (None, "free"), ("none", None), ("none", "")], "lang string, text string")
+    models = language.fit(labelled, fit_chars=20_000)
+    assert models.languages == ["long", "one"]
+    asked = documents(spark, ["zyx zyx", long[2][:4000], "free words", "12", None, "zyx zyx"])
+    got = [r["l"] for r in asked.select("doc_id", language.identify(models, F.col("text"))["lang"].alias("l")).orderBy("doc_id").collect()]
+    assert got[:2] == ["one", "long"] and got[2] in models.languages and got[3:5] == ["und", "und"] and got[5] == "one"
+    entropy, _, _ = models.cross_entropy([long[0][:5000]])
+    assert entropy[0][0] < entropy[0][1] - 0.5  # learned, though each text is longer than the bound
+    bare = language.fit(labelled.where("lang IS NULL"))
+    assert {r["doc_id"] for r in language.keep_known(asked, bare).collect()} == {0, 1, 2, 5}
 
 
 def test_html():
