@@ -14,7 +14,7 @@ from .hashing import slices
 # Element names and the class, id and role tokens that mark what is hardly the article.
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "title", "object", "canvas", "audio", "video", "select", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-OUTSIDE = {"head", "nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "label", "fieldset", "option", "datalist", "map"}
+OUTSIDE = {"head", "nav", "header", "footer", "aside", "button", "menu", "dialog", "label", "fieldset", "option", "datalist", "map"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q",
     "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
@@ -30,14 +30,27 @@ MARKED = {
     "copyright", "disclaimer", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "menus", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices",
     "notification", "pagination", "popup", "promo", "promotion", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor",
     "sponsored", "subscribe", "subscription", "toolbar", "widget", "widgets", "alert", "complementary", "contentinfo", "form", "recommended", "discussion", "feedback", "legal",
+    "commentlist", "commentform",
 }
+WHOLE_ONLY = {"header", "banner", "form", "search", "alert", "legal", "widget", "widgets", "login", "masthead", "toolbar", "copyright"}  # not as a part: these stand at titles and bodies too
+STATES = {"no", "has", "with", "without", "is", "not", "hide", "show"}  # a token that begins so tells a state of the page
+SKELETON = {"nav", "header", "footer", "article", "main", "section", "h1"}  # a form around one of these is a page, not a form
 READERS = {"comment", "comments", "reply", "replies", "respond", "discussion", "disqus"}  # also on article elements
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">]|['"](?=[^'"]*>))*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _TO_THE_END = {"script", "style", "title", "textarea"}  # without an end tag they take the rest of the page
-_MARKED_SHARE = 1 / 4  # what is left of the score of a path in a marked element
+_PART = re.compile(r"[-_:]+")
+_MARKED_SHARE = 1 / 4  # what a marked element leaves of the scores in it
+
+
+def _is_marked(token: str, marks: set[str]) -> bool:
+    """Whether a class, id or role is one of the marks, or begins or ends with one of them as a part."""
+    if token in marks:
+        return True
+    parts = _PART.split(token)
+    return len(parts) > 1 and parts[0] not in STATES and any(x in marks and x not in WHOLE_ONLY for x in (parts[0], parts[-1]))
 
 
 def _judged(name: str, attributes: str) -> tuple[bool, bool]:
@@ -51,7 +64,7 @@ def _judged(name: str, attributes: str) -> tuple[bool, bool]:
         key, value = key.lower(), "".join(values).lower()
         if key == "hidden" and value != "until-found" or key == "aria-hidden" and value == "true":
             return True, False
-        if key in ("class", "id", "role") and not marks.isdisjoint(value.split()):
+        if key in ("class", "id", "role") and any(_is_marked(x, marks) for x in value.split()):
             marked = True
     return False, marked
 
@@ -67,6 +80,7 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, bool, tuple[int,
     stack: list[tuple[str, int, bool, bool]] = []
     pieces: list[str] = []
     counter = linked = at = links = total = 0
+    forms: set[int] = set()
 
     def flush() -> None:
         nonlocal links, total
@@ -116,9 +130,13 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, bool, tuple[int,
                 stack.pop()
             counter += 1
             outside, marked = _judged(name, found[3])
+            if name == "form":
+                forms.add(counter)
+            elif name in SKELETON and forms:
+                forms.difference_update(e for n, e, *_ in stack if n == "form")
             stack.append((name, counter, bool(stack and stack[-1][2]) or outside, marked))
     flush()
-    return out
+    return [b for b in out if forms.isdisjoint(b[0])] if forms else out
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -150,8 +168,8 @@ def main_text(page: str | None) -> str:
     Per tag path, the text length and the punctuation of its nodes are added up and divided by
     their number.  Every block takes its path's two ratios (a third of the length if its path
     is mostly links), both are smoothed over the blocks in page order and fused by their
-    product (a quarter of it in elements that class, id or role mark as hardly an article); a
-    path is content if its blocks' mean is in the upper of two clusters, or is the largest.
+    product (a quarter of it for every element around that class, id or role mark as hardly an
+    article, so that a mark on a wrapper of all changes nothing); a path is content if its blocks' mean is in the upper of two clusters, or is the largest.
 
     The article is what lies in the article or main elements around content blocks, if these
     hold most of the content's score, else the innermost element that holds all content
@@ -167,7 +185,7 @@ def main_text(page: str | None) -> str:
     linked = np.bincount(index, weights=[b[3] for b in found]) / nodes
     by_length = np.bincount(index, weights=length) / nodes * np.where(linked > 0.5, 1 / 3, 1)
     by_marks = np.bincount(index, weights=marks) / nodes
-    fused = _smooth(np.log1p(by_length[index])) * (1 + _smooth(by_marks[index])) * np.where([bool(b[4]) for b in found], _MARKED_SHARE, 1)
+    fused = _smooth(np.log1p(by_length[index])) * (1 + _smooth(by_marks[index])) * _MARKED_SHARE ** np.array([len(b[4]) for b in found], float)
     score = np.bincount(index, weights=fused) / nodes
     content = (score >= max(score.max() - 1e-9, 0)) | (score >= _upper(score, nodes))
     content &= ~((linked > 0.5) & (score < score.max()))

@@ -134,6 +134,17 @@ def test_html_article_in_wrapper(wrapper):
     assert html.main_text(page) == "T\nLong text, with commas, and more, over a line or two.\nAgain, more text here, and then some, of it, too."
 
 
+@pytest.mark.parametrize("mark", [
+    "class=comments-area", "class=comment-list", "class=user-comments", "class=commentlist", "id=disqus_thread", "class='x reader-comments'", "id=comments-section",
+    "class=sidebar-left", "class=cookie-notice", "class=site-notice", "class=ad-slot", "class=advert-box", "class=promo-box", "id=respond"])
+@pytest.mark.parametrize("wrapper", ["div", "div class='no-sidebar has-comments'", "div class=has-comments id=content", "form id=aspnetForm"])
+def test_html_marked_parts(mark, wrapper):
+    paragraphs = [f"Long text, with commas, and more, over a line or two, and so on, number {i}." for i in range(6)]
+    inner = "".join(f"<div><p>Nice read, thanks, I like it, {i}.</p></div>" for i in range(8))
+    page = f"<body><{wrapper}><nav>n</nav><article class='post-body'><div class='entry-header'><h1>T</h1></div>{''.join(f'<p>{x}</p>' for x in paragraphs)}<section {mark}>{inner}</section></article></div></form></body>"
+    assert html.main_text(page) == "\n".join(["T", *paragraphs])
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", 5), (1, "u", "<p>a</p>", 5), (2, None, None, 5)], "page_id bigint, url string, html string, text int")
     got = sorted(tuple(r) for r in html.extract(pages).select("page_id", "text", "n_chars").collect())
