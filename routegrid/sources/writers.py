@@ -1,7 +1,7 @@
 """Output files."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -16,9 +16,26 @@ def save_result(df: DataFrame, path: str) -> None:
     latest.write.mode("overwrite").json(path)
 
 
-def write_csv(df: DataFrame, path: str, lists: list[str]) -> None:
-    """A10: list columns as JSON text."""
-    out = df
+def write_csv(df: DataFrame, path: str, lists: list[str], keep: Column | None = None) -> None:
+    """A10: the rows with ``keep`` (all without one), list columns as JSON text."""
+    out = df if keep is None else df.where(keep)
     for c in lists:
         out = out.withColumn(c, F.to_json(c))
     out.write.mode("overwrite").csv(path, header=True, escape='"')
+
+
+def write_judged(results: DataFrame, root: str) -> DataFrame:
+    """L2 and L3 in one job: rows of ``results(status, elapsed, ...)`` go to ``root/status=ok`` and, the others, to ``root/status=error``.
+
+    Returns the report (``status, n, share, mean_elapsed``), whose figures are observed while the
+    rows are written; nothing is read a second time.  A null status is an error.
+    """
+    judged = results.withColumn("status", F.when(F.col("status") == "ok", "ok").otherwise("error"))
+    seen = Observation()
+    figures = [m for x in ("ok", "error") for m in (
+        F.count_if(F.col("status") == x).alias(f"{x}_n"), F.avg(F.when(F.col("status") == x, F.col("elapsed"))).alias(f"{x}_elapsed"))]
+    judged.observe(seen, *figures).write.partitionBy("status").parquet(root)
+    got = seen.get
+    whole = got["ok_n"] + got["error_n"]
+    rows = [(x, got[f"{x}_n"], round(got[f"{x}_n"] / whole, 6), None if got[f"{x}_elapsed"] is None else round(got[f"{x}_elapsed"], 6)) for x in ("ok", "error") if got[f"{x}_n"]]
+    return results.sparkSession.createDataFrame(rows, "status string, n long, share double, mean_elapsed double")

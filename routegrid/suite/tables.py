@@ -253,10 +253,20 @@ def _a9(s, d):
 
 def _a10(s, d):
     p = _path(s)
-    li = load(s, d, "lineitem").where("l_quantity > 25").select(
-        "l_orderkey", "l_linenumber", "l_partkey", F.array("l_returnflag", F.col("l_shipdate").cast("date").cast("string")).alias("marks"))
-    writers.write_csv(li, p, ["marks"])
-    return readers.read_csv_lists(s, p, "l_orderkey bigint, l_linenumber int, l_partkey bigint, marks string", ["marks"])
+    li = load(s, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.array("l_returnflag", F.col("l_shipdate").cast("date").cast("string")).alias("marks"), "l_quantity")
+    writers.write_csv(li, p, ["marks"], keep=F.col("l_quantity") > 25)
+    return readers.read_csv_lists(s, p, "l_orderkey bigint, l_linenumber int, l_partkey bigint, marks string, l_quantity double", ["marks"])
+
+
+def _judged(s, d):
+    """Events judged and stored: the report next to what each sink holds."""
+    p = _path(s)
+    events = L.isolate_errors(load(s, d, "events").select("event_id", "event_type", F.col("value").alias("elapsed")),
+                              (F.col("elapsed") < 100) & (F.col("event_type") != "error"), F.concat(F.lit("failed: "), "event_type"))
+    report = writers.write_judged(events, p)
+    stored = s.read.parquet(p).groupBy("status").agg(F.count("event_id").alias("n_stored"), F.count("error").alias("n_reasons"))
+    return report.join(stored, "status")
 
 
 QUERIES = {
@@ -297,6 +307,7 @@ QUERIES = {
     "g9_reaction_type": _reaction_type,
     "l1_sweep": lambda s, d: L.sweep(view(s, d, "molecules").select("mol_id"), FOLDERS, 2, _models(s).select("model_key", "internal_name")),
     "l2_isolate_errors": _isolated,
+    "l3_judged_run": _judged,
     "l3_run_report": lambda s, d: L.run_report(load(s, d, "events").select(F.col("event_type").alias("status"), F.col("value").alias("elapsed"))),
     "l4_resolve_requests": _requests(False),
     "l4_resolve_strict": _requests(True),
@@ -382,6 +393,8 @@ ORACLES = {
         f"SELECT '{c}' AS \"column\", count(x) AS count, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS stddev, min(x) AS min, quantile_disc(x, 0.25) AS p25, "
         f"quantile_disc(x, 0.5) AS p50, quantile_disc(x, 0.75) AS p75, max(x) AS max FROM (SELECT CAST({c} AS DOUBLE) AS x FROM lineitem)"
         for c in ("l_quantity", "l_extendedprice", "l_discount", "l_partkey")),
+    "l3_judged_run": "SELECT status, count(*) AS n, round(count(*) / (SELECT count(*) FROM events), 6) AS share, round(avg(value), 6) AS mean_elapsed, count(*) AS n_stored, "
+                     "count(*) FILTER (WHERE status = 'error') AS n_reasons FROM (SELECT *, CASE WHEN value < 100 AND event_type <> 'error' THEN 'ok' ELSE 'error' END AS status FROM events) GROUP BY 1",
     "l3_run_report": "SELECT event_type AS status, count(*) AS n, round(count(*) / (SELECT count(*) FROM events), 6) AS share, round(avg(value), 6) AS mean_elapsed FROM events GROUP BY 1",
     "l4_resolve_requests": _req(False),
     "l4_resolve_strict": _req(True),
@@ -399,5 +412,5 @@ ORACLES = {
     "a7_extract_xml_property": f"SELECT p_partkey::VARCHAR AS name, {PART_SMILES} AS value FROM part WHERE p_size <= 45",
     "a8_write_routes": "SELECT c_custkey, c_name, c_mktsegment AS folder, c_nationkey % 3 AS run FROM customer",
     "a9_save_result": "SELECT o_custkey::VARCHAR AS target, max_by(o_orderpriority, o_orderkey) AS result FROM orders GROUP BY 1",
-    "a10_write_csv": "SELECT l_orderkey, l_linenumber, l_partkey, [l_returnflag, l_shipdate::DATE::VARCHAR] AS marks FROM lineitem WHERE l_quantity > 25",
+    "a10_write_csv": "SELECT l_orderkey, l_linenumber, l_partkey, [l_returnflag, l_shipdate::DATE::VARCHAR] AS marks, CAST(l_quantity AS DOUBLE) AS l_quantity FROM lineitem WHERE l_quantity > 25",
 }
