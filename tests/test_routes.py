@@ -169,3 +169,18 @@ def test_model_round_trip(spark, tmp_path):
     assert a == b and all(a[i] == i % 2 for i in a)
     named = R.reaction_type(spark.createDataFrame([(1,), (2,)], "pair_id int"), spark.createDataFrame([(1, 2.0)], "pair_id int, prediction double"), dims.reaction_classes(spark))
     assert {r["pair_id"]: r["code"] for r in named.collect()} == {1: 2, 2: -1}
+
+
+def test_judged_runs_are_written_and_reported_at_once(spark, tmp_path):
+    from routegrid.sources import writers
+
+    rows = [(i, "ok" if i % 3 else ("error" if i % 2 else None), float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "id int, status string, elapsed double")
+    report = {r["status"]: (r["n"], r["share"], r["mean_elapsed"]) for r in writers.write_judged(df, f"{tmp_path}/a").collect()}
+    good = [e for _, s, e in rows if s == "ok"]
+    bad = [e for _, s, e in rows if s != "ok"]
+    assert report == {"ok": (20, round(20 / 30, 6), round(sum(good) / 20, 6)), "error": (10, round(10 / 30, 6), round(sum(bad) / 10, 6))}
+    assert sorted(r["elapsed"] for r in spark.read.parquet(f"{tmp_path}/a/status=error").collect()) == bad
+    assert writers.write_judged(df.where("false"), f"{tmp_path}/b").count() == 0
+    only = writers.write_judged(df.where("status = 'ok'"), f"{tmp_path}/c").collect()
+    assert [(r["status"], r["n"], r["share"]) for r in only] == [("ok", 20, 1.0)]
