@@ -113,7 +113,7 @@ class _Encoder(dict):
     there first; only stretches not seen before are split into pieces and merged.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 24 << 20):
+    def __init__(self, vocabulary: Vocabulary, most: int = 128 << 20):
         self.vocabulary, self.most, self.held = vocabulary, most, 0
         self.cut = re.compile(r" (?=[^\s\x85])").split
         self.split = regex.compile(PATTERN).findall
