@@ -5,8 +5,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.staging import stage
-
 KEY = "_row_key"
 
 
@@ -27,13 +25,6 @@ def join_rows(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFram
     return left.join(right, same, how).drop("_right_key", "_right_id")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``stage``, then a hint to the driver's JVM, so that Spark's cleaner drops the shuffle files behind it."""
-    out = stage(df)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def small_batches(spark: SparkSession, size: str = "4m") -> None:
     """Arrow batches of a few megabytes, unless the session has a size of its own: buffers on both sides follow it."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

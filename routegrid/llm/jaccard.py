@@ -8,8 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import stage
 from .components import components
-from .frames import KEY, batch_of, id_type, join_rows, list_of, row_key, settled, texts
+from .frames import KEY, batch_of, id_type, join_rows, list_of, row_key, texts
 from .hashing import SPACED, U64, gram_hashes, gram_owners, mix, signed, slices, text_buffer, whole, word_hashes
 
 _SKETCH_BITS = 18
@@ -131,43 +132,43 @@ def _linked(docs: DataFrame, k: int = 5, percent: int = 80, orders: int = 3) ->
             yield batch_of(out)
 
     schema = f"{KEY} long, doc_id {id_type(docs)}, node long, n long, p0 array<long>" + "".join(f", p{o} array<int>" for o in range(1, orders))
-    base = settled(rows.mapInArrow(read, schema))
+    base = stage(rows.mapInArrow(read, schema))
 
     indexed = base.select("node", "n", F.explode("p0").alias("token"))
     # the node of a bucket with the least XOR with the token: another one in each bucket
     turned = F.col("node").bitwiseXOR(F.col("token"))
     buckets = indexed.groupBy("token").agg(F.min(turned).alias("lo"), F.max(turned).alias("hi")).where("lo < hi").select(
         "token", F.col("lo").bitwiseXOR(F.col("token")).alias("centre"))
-    buckets = settled(buckets)  # a join right on top of an aggregate could not split a hot bucket
-    members = settled(indexed.join(buckets, "token").select("token", "node", "n", "centre").distinct())
+    buckets = stage(buckets)  # a join right on top of an aggregate could not split a hot bucket
+    members = stage(indexed.join(buckets, "token").select("token", "node", "n", "centre").distinct())
     nodes = members.select("node").distinct()
     known = base.join(nodes, "node")
-    prefixes = settled(known.groupBy("node").agg(F.min(KEY).alias(KEY), *[F.first(c).alias(c) for c in ("n", *[f"p{o}" for o in range(1, orders)])]))
+    prefixes = stage(known.groupBy("node").agg(F.min(KEY).alias(KEY), *[F.first(c).alias(c) for c in ("n", *[f"p{o}" for o in range(1, orders)])]))
 
     def contents(pairs: DataFrame) -> DataFrame:
         """The texts of the nodes of some pairs."""
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return settled(rows.select(KEY, "text").join(prefixes.select(KEY, "node").join(nodes, "node"), KEY).select("node", "text"))
+        return stage(rows.select(KEY, "text").join(prefixes.select(KEY, "node").join(nodes, "node"), KEY).select("node", "text"))
 
     spokes = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    likely = settled(_filtered(spokes, prefixes, percent, orders))
+    likely = stage(_filtered(spokes, prefixes, percent, orders))
     found = contents(likely)
     # first a few centres of each node, then, where these left components apart, all of its centres
     nearest = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("a", "b"), "b"))), 1, 3)
-    few = settled(likely.groupBy("a").agg(nearest.alias("c")).select("a", F.explode("c.b").alias("b")))
-    links = settled(_verified(few, found, k, percent))
-    labels = settled(components(links))
+    few = stage(likely.groupBy("a").agg(nearest.alias("c")).select("a", F.explode("c.b").alias("b")))
+    links = stage(_verified(few, found, k, percent))
+    labels = stage(components(links))
 
     def label_of(name: str) -> DataFrame:
         return labels.select(F.col("node").alias(name), F.col("label").alias(f"label_{name}"))
 
     apart = likely.join(few, ["a", "b"], "left_anti").join(label_of("a"), "a", "left").join(label_of("b"), "b", "left").where(
         F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
-    links = settled(links.unionByName(_verified(apart, found, k, percent)))
-    labels = settled(components(links))
+    links = stage(links.unionByName(_verified(apart, found, k, percent)))
+    labels = stage(components(links))
     tested = spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    placed = settled(members.join(labels, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label")))
+    placed = stage(members.join(labels, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label")))
     largest = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(
         F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     mixed = placed.join(largest, "token")
@@ -177,10 +178,10 @@ def _linked(docs: DataFrame, k: int = 5, percent: int = 80, orders: int = 3) ->
     rest = outer.join(inner, "token").where(
         f"label_a <> label_b AND (label_b = main OR a < b) AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    rest = settled(_filtered(rest, prefixes, percent, orders))
-    more = settled(_verified(rest, contents(rest), k, percent)) if not rest.isEmpty() else rest
+    rest = stage(_filtered(rest, prefixes, percent, orders))
+    more = stage(_verified(rest, contents(rest), k, percent)) if not rest.isEmpty() else rest
     if not more.isEmpty():
-        labels = settled(components(links.unionByName(more)))
+        labels = stage(components(links.unionByName(more)))
 
     return base.join(labels, "node", "left").select(KEY, "doc_id", "n", F.coalesce("label", "node").alias("label"))
 
@@ -219,13 +220,13 @@ def one_of_each(docs: DataFrame, **limits: int) -> DataFrame:
     rows equal in both one stays.  A text without shingles is alone, so only its equal rows go.
     """
     # a label and a row key may be the same number, so "n > 0" is part of the group
-    each = settled(_linked(docs, **limits).groupBy(
+    each = stage(_linked(docs, **limits).groupBy(
         KEY, "doc_id", (F.col("n") > 0).alias("some"), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col(KEY)).alias("part")
     ).agg(F.count(F.lit(1)).alias("times")))
     kept = each.groupBy("some", "part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", KEY)).alias("least")).select(
         F.col("least")[KEY].alias(KEY), F.col("least")["doc_id"].alias("doc_id"))
-    repeated = settled(join_rows(each.where("times > 1"), kept, "left_semi").select(KEY, "doc_id"))
-    left = settled(join_rows(each, kept, "left_anti").select(KEY, "doc_id").unionByName(repeated))
+    repeated = stage(join_rows(each.where("times > 1"), kept, "left_semi").select(KEY, "doc_id"))
+    left = stage(join_rows(each, kept, "left_anti").select(KEY, "doc_id").unionByName(repeated))
     rows = docs.select(row_key("doc_id", "text").alias(KEY), "doc_id", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     out = join_rows(rows, left, "left_anti")
     if not repeated.isEmpty():

@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import id_type, settled
+from ..plans.staging import stage
+from .frames import id_type
 from .hashing import SPACED, U64, gram_hashes, mix, slices, text_buffer, word_hashes
 
 _BATCH = 12 << 20  # bytes of text whose n-grams are looked up together
@@ -156,11 +157,11 @@ def backoff_scores(docs: DataFrame, alpha: float = 0.4) -> DataFrame:
                 "n_words": pa.array(np.diff(word_offs), pa.int64()),
             })
 
-    rows = settled(docs.select("doc_id", "text").mapInArrow(assign, f"batch long, doc_id {kind}, text string, n_words long"))
+    rows = stage(docs.select("doc_id", "text").mapInArrow(assign, f"batch long, doc_id {kind}, text string, n_words long"))
     size = rows.agg(F.sum("n_words").alias("words"), F.sum(F.octet_length("text")).alias("bytes")).first()
     all_words, buckets = int(size["words"] or 0), 1 + int(size["bytes"] or 0) // _BUCKET
     asked = rows.select("batch", "text").mapInArrow(lambda b: _ask(b, buckets), "bucket int, batch long, grams binary, counts binary")
-    answers = settled(asked.groupBy("bucket").applyInArrow(_count, "batch long, bucket int, totals binary, wide boolean"))
+    answers = stage(asked.groupBy("bucket").applyInArrow(_count, "batch long, bucket int, totals binary, wide boolean"))
     id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:

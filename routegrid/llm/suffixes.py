@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import KEY, batch_of, id_type, row_key, settled, texts
+from ..plans.staging import stage
+from .frames import KEY, batch_of, id_type, row_key, texts
 from .hashing import U64, mix, randoms, signed, slices, text_buffer, window_min
 
 _CHUNK = 1 << 17  # windows hashed at once
@@ -327,17 +328,17 @@ def repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     rows = texts(docs).select(KEY, "text")
     runs = rows.mapInArrow(lambda b: _scan(b, length, k), f"{KEY} long, anchor long, content long, start int, many int, place int")
     # written first: a join right on top of an aggregate could not split a hot anchor
-    common = settled(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
-    shared = settled(runs.join(common, "anchor"))
-    kinds = settled(shared.groupBy("anchor", "content").agg(
+    common = stage(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+    shared = stage(runs.join(common, "anchor"))
+    kinds = stage(shared.groupBy("anchor", "content").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(KEY, "start", "many", "place")).alias("one")))
     whole = shared.join(kinds.where("n > 1").select("anchor", "content"), ["anchor", "content"]).select(
         KEY, "start", (F.col("start") + F.col("many") + F.lit(length - 1)).alias("end"))
 
-    open_ = settled(kinds.where("n = 1").select("anchor").distinct())
+    open_ = stage(kinds.where("n = 1").select("anchor").distinct())
     listed = kinds.join(open_, "anchor").select("anchor", (F.col("n") == 1).alias("alone"), "one.*")
     listed = listed.groupBy(KEY).agg(F.collect_list(F.struct("anchor", "start", "many", "place", "alone")).alias("listed"))
-    contexts = settled(rows.join(listed, KEY).mapInArrow(
+    contexts = stage(rows.join(listed, KEY).mapInArrow(
         lambda b: _contexts(b, length), f"{KEY} long, anchor long, start int, many int, place int, alone boolean, bytes binary"))
 
     windows = contexts.agg(F.sum("many")).first()[0] or 0
@@ -357,7 +358,7 @@ def repeats(docs: DataFrame, length: int = 400) -> DataFrame:
         F.pmod(F.xxhash64(KEY, "start"), F.lit(total)) < 50 * ranges).mapInArrow(some, "string binary").collect()) if ranges > 1 else []
     splits = [picked[len(picked) * i // ranges] for i in range(1, ranges)] if picked else []
 
-    coded = settled(contexts.mapInArrow(
+    coded = stage(contexts.mapInArrow(
         lambda b: _sorted_runs(b, length, k, splits, 50_000),
         "part int, run long, lcps binary, rest binary, entry binary, keys binary, starts binary, spots binary, alone binary"))
     merged = coded.select("part", "run", "lcps", "rest").groupBy("part").applyInArrow(lambda t: _merged(t, width), "part int, run long, again binary")
