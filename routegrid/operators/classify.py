@@ -19,6 +19,8 @@ from .molecule import fingerprint
 BITS = 2048
 TREES = 100
 SEED = 42
+DEPTH = 20  # levels of a tree; Spark allows 30
+FITTED = 200_000  # rows a forest is fitted on, at most about
 
 
 def split_rows(df: DataFrame, part: str) -> DataFrame:
@@ -65,10 +67,30 @@ def features(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=["input_vec", "output_vec"], outputCol="features").transform(out).drop("input_vec", "output_vec")
 
 
-def train(df: DataFrame, trees: int = TREES) -> PipelineModel:
-    """K6."""
-    forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, seed=SEED)
-    return Pipeline(stages=[forest]).fit(df)
+def bounded(df: DataFrame, most: int = FITTED, label: str = "label") -> DataFrame:
+    """About ``most`` rows at most, an equal share of each class first given to the small ones; all rows if there are no more.
+
+    A row's features decide whether it is in, so the choice is the same in every run.  The
+    driver sees one count per class.
+    """
+    counts = sorted(df.groupBy(label).count().collect(), key=lambda r: r["count"])
+    left, shares = most, []
+    for i, r in enumerate(counts):
+        take = min(r["count"], left // (len(counts) - i))
+        left -= take
+        shares.append((r[label], take / r["count"]))
+    if all(s == 1.0 for _, s in shares):
+        return df
+    wanted = df.sparkSession.createDataFrame(shares, f"{label} {df.schema[label].dataType.simpleString()}, _share double")
+    drawn = F.pmod(F.xxhash64(*[c for c in df.columns if c != "features"]), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return df.withColumn("_drawn", drawn).join(wanted, label).where("_drawn < _share").drop("_drawn", "_share")
+
+
+def train(df: DataFrame, trees: int = TREES, depth: int = DEPTH, most: int = FITTED) -> PipelineModel:
+    """K6: deep trees on ``bounded`` rows; node ids are kept with the rows, their lineage cut in the checkpoint folder."""
+    forest = RandomForestClassifier(
+        featuresCol="features", labelCol="label", numTrees=trees, seed=SEED, maxDepth=depth, cacheNodeIds=True, checkpointInterval=10)
+    return Pipeline(stages=[forest]).fit(bounded(df, most))
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import stage
 from .compare import text_structures
 from .molecule import structure_key
 
@@ -52,8 +51,13 @@ def match_counts(truth: DataFrame, predicted: DataFrame) -> DataFrame:
 def correctness(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """``any_correct`` / ``all_correct`` (1/0): sizes agree and some / every predicted
     molecule is in the truth."""
+    return scored(match_counts(truth, predicted))
+
+
+def scored(counts: DataFrame) -> DataFrame:
+    """The two flags of J4 from ``id, n_truth, n_predicted, n_common``."""
     same = F.col("n_truth") == F.col("n_predicted")
-    return match_counts(truth, predicted).select(
+    return counts.select(
         "id",
         (same & (F.col("n_common") > 0)).cast("int").alias("any_correct"),
         (same & (F.col("n_common") == F.col("n_predicted"))).cast("int").alias("all_correct"),
@@ -125,8 +129,14 @@ def restrict_to(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 
 
 def score_predictions(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """J4 from texts: keys for the distinct molecules of both sides, then the counts."""
+    """J4 from texts in grouped passes: texts become keys and numbers per id before they meet their structure keys."""
     tagged = truth.select("id", "smiles", F.lit(True).alias("is_truth")).unionByName(
         predicted.select("id", "smiles", F.lit(False).alias("is_truth")))
-    keyed = stage(with_keys(tagged))
-    return correctness(keyed.where("is_truth"), keyed.where("NOT is_truth"))
+    keys = structure_key(text_structures(tagged))
+    per_text = tagged.groupBy("id", F.md5("smiles").alias("mol_id")).agg(
+        F.count_if("is_truth").alias("t"), F.count_if(~F.col("is_truth")).alias("p"))
+    per_mol = per_text.join(keys, "mol_id", "left").groupBy("id", F.coalesce("skey", "mol_id").alias("mol")).agg(
+        F.sum("t").alias("t"), F.sum("p").alias("p"))
+    common = F.when(F.col("mol").isNotNull() & (F.col("t") > 0), F.col("p")).otherwise(0)
+    return scored(per_mol.groupBy("id").agg(
+        F.sum("t").alias("n_truth"), F.sum("p").alias("n_predicted"), F.sum(common).alias("n_common")).where("n_truth > 0"))

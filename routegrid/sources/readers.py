@@ -31,10 +31,20 @@ def read_labelled_reactions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, sep="\t").drop("original_rxn", "source")
 
 
-def read_routes(spark: SparkSession, path: str) -> DataFrame:
-    """A4: one JSON document per file; ``route_id`` is the number in the file name."""
-    docs = spark.read.json(path, multiLine=True).withColumn("_file", F.col("_metadata.file_name"))
-    return docs.withColumn("route_id", F.regexp_extract("_file", r"(\d+)[^0-9]*$", 1).cast("bigint")).drop("_file")
+def read_routes(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A4: one JSON document per file; ``route_id`` is the last number in the file name, or that of a ``route_id=`` folder.
+
+    A file that is no JSON document gives a row of NULLs whose ``_broken`` holds its text; the
+    column is there if ``schema`` is given or Spark meets such a file while it infers one.
+    """
+    reader = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken")
+    if schema is not None:
+        reader = reader.schema(f"{schema}, _broken string")
+    docs = reader.json(path)
+    if "route_id" in docs.columns:
+        return docs.withColumn("route_id", F.col("route_id").cast("bigint"))
+    named = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)[^0-9]*$", 1)
+    return docs.select("*", named.cast("bigint").alias("route_id"))
 
 
 def read_route_trees(trees: DataFrame) -> DataFrame:
@@ -65,11 +75,23 @@ def read_route_trees(trees: DataFrame) -> DataFrame:
 
 def read_config(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(one row per model, the defaults) of one settings document."""
+    return read_configs(spark, path)[:2]
+
+
+def read_configs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A6 for a folder of settings documents: (models, defaults, texts that are no settings).
+
+    Partition columns of the folder, such as a configuration's id, lead each row.
+    """
     text = spark.read.text(path, wholetext=True)
+    ids = [c for c in text.columns if c != "value"]
     model = "struct<internal_name:string,display_name:string,supports_advanced_prompt:boolean,supports_stability_check:boolean,supports_hallucination_check:boolean>"
-    c = text.select(F.from_json("value", f"llm_models map<string,{model}>, defaults map<string,string>").alias("c"))
-    models = c.select(F.explode("c.llm_models").alias("model_key", "m")).select("model_key", "m.*")
-    return models, c.select(F.explode("c.defaults").alias("name", "value"))
+    schema = f"llm_models map<string,{model}>, defaults map<string,string>, _broken string"
+    c = text.select(*ids, "value", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_broken"}).alias("c"))
+    good = c.where("c._broken IS NULL")
+    models = good.select(*ids, F.explode("c.llm_models").alias("model_key", "m")).select(*ids, "model_key", "m.*")
+    defaults = good.select(*ids, F.explode("c.defaults").alias("name", "value"))
+    return models, defaults, c.where("c._broken IS NOT NULL").select(*ids, F.rtrim("value", F.lit("\n")).alias("value"))
 
 
 def extract_xml_property(spark: SparkSession, path: str, kind: str = "SMILES", row_tag: str = "drug") -> DataFrame:

@@ -10,6 +10,11 @@ def write_routes(df: DataFrame, root: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder", "run").json(root)
 
 
+def write_documents(df: DataFrame, root: str, key: str, text: str) -> None:
+    """One file per row: the text under ``key=<value>/``."""
+    df.select(key, F.col(text).alias("value")).write.partitionBy(key).text(root)
+
+
 def save_result(df: DataFrame, path: str) -> None:
     """``target, saved_at, result``: the latest result per target replaces the stored set."""
     latest = df.groupBy("target").agg(F.max_by("result", "saved_at").alias("result"))

@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..bridge import PART_SMILES, derive, load, pool_of, smiles_of, view
+from ..bridge import PART_SMILES, derive, load, pool_of, smiles_of, text_of, view
 from ..functions.text import unmask_groups
 from ..operators import batch as L
 from ..operators import classify as K
@@ -175,6 +175,26 @@ def _predictions(s, d, split="test"):
     return K.predict(model, K.features(K.split_rows(data, split) if split else data)).select("id", "label", "prediction")
 
 
+# A label that the molecules show: the tail of the input tells the class.
+TAILS = ["c1ccncc1", "S(=O)(=O)C", "CC#N"]
+SHOWN = (f"SELECT p_partkey AS id, concat({text_of('p_partkey')}, {pool_of('p_partkey', TAILS)}, '>>', {PART_SMILES}) AS rxn, "
+         "cast(p_partkey % 3 AS int) AS code, CASE WHEN p_size > 30 THEN 'test' ELSE 'train' END AS split FROM part")
+
+
+def _saved_model(s, d):
+    """Fitted on one split, saved, loaded and asked about the rows of the other whose output can be read."""
+    p = _path(s)
+    rows = K.with_fingerprints(K.split_reaction(derive(s, d, SHOWN))).withColumn("label", F.col("code").cast("double"))
+    data = stage(rows.select("id", "split", "label", "input_bits", "output_bits"))
+    K.save_model(K.train(K.features(K.split_rows(data, "train"))), p)
+    return K.predict(K.load_model(p), K.features(K.split_rows(data, "test"))).select("id", "label", "prediction")
+
+
+def _saved_model_types(s, d):
+    pairs = derive(s, d, SHOWN).where("split = 'test'").select(F.col("id").alias("pair_id"))
+    return R.reaction_type(pairs, _saved_model(s, d).select(F.col("id").alias("pair_id"), "prediction"), dims.reaction_classes(s))
+
+
 def _describe(s, d):
     found = K.describe(load(s, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_partkey"))
     return found.withColumns({c: F.round(c, 4) for c in ("mean", "stddev")})
@@ -224,6 +244,30 @@ TREE = ("SELECT o_orderkey AS route_id, concat('{\"smiles\": \"', o_orderpriorit
         "cast(o_orderkey % 9 AS string), '}, \"children\": [{\"smiles\": \"', o_orderstatus, '\", \"in_stock\": true}, {\"smiles\": \"S', cast(o_custkey AS string), '\", \"in_stock\": false}]}]}') AS text FROM orders")
 
 
+ROUTE_FILES = ("SELECT s_suppkey AS route_id, CASE WHEN s_suppkey % 7 = 3 THEN concat('{\"name\": \"', s_name) "
+               "ELSE concat('{\"name\": \"', s_name, '\", \"steps\": [{\"step\": ', cast(s_nationkey AS string), '}, {\"step\": 2}]}') END AS text FROM supplier")
+CONF_FILES = ("SELECT s_suppkey AS config_id, CASE WHEN s_suppkey % 7 = 3 THEN 'no settings' ELSE concat('{\"llm_models\": {\"m', cast(s_nationkey AS string), "
+              "'\": {\"internal_name\": \"', s_name, '\", \"supports_advanced_prompt\": true}}, \"defaults\": {\"model_type\": \"m', cast(s_nationkey AS string), '\", \"advanced_prompt\": false}}') END AS text FROM supplier")
+
+
+def _a4(s, d):
+    p = _path(s)
+    writers.write_documents(derive(s, d, ROUTE_FILES), p, "route_id", "text")
+    found = readers.read_routes(s, p, "name string, steps array<struct<step: bigint>>")
+    return found.select("route_id", "name", F.col("steps.step").alias("steps"), F.col("_broken").isNotNull().alias("broken"))
+
+
+def _a6(s, d):
+    p = _path(s)
+    writers.write_documents(derive(s, d, CONF_FILES), p, "config_id", "text")
+    models, defaults, broken = readers.read_configs(s, p)
+    at = F.col("config_id").cast("bigint").alias("config_id")
+    return (
+        models.select(at, F.lit("model").alias("kind"), F.col("model_key").alias("name"), F.col("internal_name").alias("value"))
+        .unionByName(defaults.select(at, F.lit("default").alias("kind"), "name", "value"))
+        .unionByName(broken.select(at, F.lit("broken").alias("kind"), F.lit(None).cast("string").alias("name"), "value")))
+
+
 def _a5(s, d):
     return readers.read_route_trees(derive(s, d, TREE))
 
@@ -299,12 +343,14 @@ QUERIES = {
     "k4_fingerprints": lambda s, d: _prints(s, d).select("id", F.size("input_bits").alias("n_input"), F.size("output_bits").alias("n_output")),
     "k5_features": lambda s, d: K.features(_prints(s, d)).select("id", F.size(F.filter(vector_to_array("features"), lambda x: x > 0)).alias("n_set")),
     "k7_predict": _predictions,
+    "k9_saved_model": _saved_model,
     "k8_class_report": lambda s, d: K.class_report(_votes(s, d)),
     "k8_accuracy": lambda s, d: K.accuracy(_votes(s, d)),
     "k10_class_scalability": _names(0),
     "k10_unmatched": _names(1),
     "k11_describe": _describe,
     "g9_reaction_type": _reaction_type,
+    "g9_saved_model_types": _saved_model_types,
     "l1_sweep": lambda s, d: L.sweep(view(s, d, "molecules").select("mol_id"), FOLDERS, 2, _models(s).select("model_key", "internal_name")),
     "l2_isolate_errors": _isolated,
     "l3_judged_run": _judged,
@@ -315,6 +361,8 @@ QUERIES = {
     "a1_read_molecules": _a1,
     "a2_read_reactions": _a2,
     "a3_read_labelled_reactions": _a3,
+    "a4_read_routes": _a4,
+    "a6_read_configs": _a6,
     "a5_read_route_trees": lambda s, d: _a5(s, d).select("route_id", "path", "kind", "smiles", "in_stock", "prob"),
     "a7_extract_xml_property": _a7,
     "a8_write_routes": _a8,
@@ -406,6 +454,14 @@ ORACLES = {
     "a1_read_molecules": f"SELECT {PART_SMILES} AS smiles, p_partkey::VARCHAR AS common_name FROM part",
     "a2_read_reactions": REACT,
     "a3_read_labelled_reactions": f"SELECT id::VARCHAR AS id, rxn, rxn_class, split FROM ({RXN})",
+    "a4_read_routes": "SELECT s_suppkey AS route_id, CASE WHEN s_suppkey % 7 <> 3 THEN s_name END AS name, CASE WHEN s_suppkey % 7 <> 3 THEN [s_nationkey::BIGINT, 2] END AS steps, "
+                      "s_suppkey % 7 = 3 AS broken FROM supplier",
+    "a6_read_configs": "SELECT s_suppkey AS config_id, 'broken' AS kind, NULL::VARCHAR AS name, 'no settings' AS value FROM supplier WHERE s_suppkey % 7 = 3 "
+                       "UNION ALL SELECT s_suppkey, 'model', 'm' || s_nationkey, s_name FROM supplier WHERE s_suppkey % 7 <> 3 UNION ALL SELECT s_suppkey, 'default', 'model_type', 'm' || s_nationkey FROM supplier "
+                       "WHERE s_suppkey % 7 <> 3 UNION ALL SELECT s_suppkey, 'default', 'advanced_prompt', 'false' FROM supplier WHERE s_suppkey % 7 <> 3",
+    "k9_saved_model": graph_sql("SELECT id, CAST(id % 3 AS DOUBLE) AS label, CAST(id % 3 AS DOUBLE) AS prediction FROM (SELECT p_partkey AS id FROM part WHERE p_size > 30) JOIN g_valid ON mol_id = id WHERE valid"),
+    "g9_saved_model_types": graph_sql(f"SELECT id AS pair_id, CASE WHEN valid THEN nm ELSE 'Unknown Reaction' END AS name, CAST(CASE WHEN valid THEN code ELSE -1 END AS INT) AS code "
+                                      f"FROM (SELECT p_partkey AS id FROM part WHERE p_size > 30) JOIN g_valid ON mol_id = id JOIN (VALUES {_CLASSES}) c(code, nm, scalability) ON code = id % 3"),
     "a5_read_route_trees":
         "SELECT o_orderkey AS route_id, CAST([] AS INT[]) AS path, 'mol' AS kind, o_orderpriority AS smiles, false AS in_stock, NULL::DOUBLE AS prob FROM orders UNION ALL SELECT o_orderkey, [0], 'reaction', NULL, NULL, (o_orderkey % 9) / 10.0 FROM orders "
         "UNION ALL SELECT o_orderkey, [0, 0], 'mol', o_orderstatus, true, NULL FROM orders UNION ALL SELECT o_orderkey, [0, 1], 'mol', 'S' || o_custkey, false, NULL FROM orders",
