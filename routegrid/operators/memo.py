@@ -26,14 +26,15 @@ def compute_missing(
     """(results for every input row, rows to append to the memo).
 
     ``compute`` gets each missing argument set once and returns it with a ``result`` column.
+    A key that the memo holds several times still answers each input row once, with its least result.
     """
     args = memo_args(*arg_names)
     keyed = inputs.withColumn("input_args", args).withColumn("key", memo_key(fn, F.col("input_args")))
     wanted = keyed.select("key", "input_args", *arg_names).dropDuplicates(["key"])
     missing = wanted.join(memo.select("key"), "key", "left_anti")
     added = compute(missing).select("key", "input_args", "result")
-    known = memo.select("key", "input_args", "result").unionByName(added)
-    out = keyed.join(known.select("key", "result"), "key")
+    stored = memo.groupBy("key").agg(F.min("result").alias("result"))
+    out = keyed.join(stored.unionByName(added.select("key", "result")), "key")
     return out, added
 
 

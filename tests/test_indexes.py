@@ -1,6 +1,8 @@
 """Containment index, automaton eviction, pointer doubling and closures against brute force."""
 import itertools
 
+from pyspark.sql import functions as F
+
 from routegrid.bridge import POOL
 from routegrid.functions.matching import embeds
 from routegrid.operators import edit as H
@@ -62,3 +64,13 @@ def test_closure_whole_and_by_rounds(spark):
     for growth in (0, 1, 100):
         got = [tuple(r) for r in frontier.closure(start, edges, ["route_id"], growth=growth).collect()]
         assert len(got) == len(set(got)) and set(got) == want, growth
+
+
+def test_a_key_stored_twice_answers_each_row_once(spark):
+    inputs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id int, x string")
+    args = "{\"x\":\"a\"}"
+    memo = spark.createDataFrame([(args, "A")] * 2 + [("{\"x\":\"z\"}", "Z")], "input_args string, result string").withColumn(
+        "key", I.memo_key("f", F.col("input_args")))
+    out, added = I.compute_missing(inputs, memo, "f", ["x"], lambda m: m.withColumn("result", F.upper("x")))
+    assert sorted((r["id"], r["result"]) for r in out.collect()) == [(1, "A"), (2, "A"), (3, "B")]
+    assert [r["result"] for r in added.collect()] == ["B"]
