@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import CountVectorizerModel, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,7 @@ TREES = 100
 SEED = 42
 DEPTH = 20  # levels of a tree; Spark allows 30
 FITTED = 200_000  # rows a forest is fitted on, at most about
+SLICE = 4_000  # rows a task of the fit holds, about
 
 
 def split_rows(df: DataFrame, part: str) -> DataFrame:
@@ -67,11 +68,17 @@ def features(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=["input_vec", "output_vec"], outputCol="features").transform(out).drop("input_vec", "output_vec")
 
 
+def _drawn(df: DataFrame) -> Column:
+    """A number below 2^30 from a row's columns."""
+    return F.pmod(F.xxhash64(*[c for c in df.columns if c != "features"]), F.lit(1 << 30))
+
+
 def bounded(df: DataFrame, most: int = FITTED, label: str = "label") -> DataFrame:
     """About ``most`` rows at most, an equal share of each class first given to the small ones; all rows if there are no more.
 
     A row's features decide whether it is in, so the choice is the same in every run.  The
-    driver sees one count per class.
+    driver sees one count per class; the shares, one per class, go to every task, since a join
+    by class would deal the rows to as few tasks as there are classes.
     """
     counts = sorted(df.groupBy(label).count().collect(), key=lambda r: r["count"])
     left, shares = most, []
@@ -82,15 +89,19 @@ def bounded(df: DataFrame, most: int = FITTED, label: str = "label") -> DataFram
     if all(s == 1.0 for _, s in shares):
         return df
     wanted = df.sparkSession.createDataFrame(shares, f"{label} {df.schema[label].dataType.simpleString()}, _share double")
-    drawn = F.pmod(F.xxhash64(*[c for c in df.columns if c != "features"]), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return df.withColumn("_drawn", drawn).join(wanted, label).where("_drawn < _share").drop("_drawn", "_share")
+    return df.withColumn("_drawn", _drawn(df) / F.lit(float(1 << 30))).join(F.broadcast(wanted), label).where("_drawn < _share").drop("_drawn", "_share")
 
 
 def train(df: DataFrame, trees: int = TREES, depth: int = DEPTH, most: int = FITTED) -> PipelineModel:
-    """K6: deep trees on ``bounded`` rows; node ids are kept with the rows, their lineage cut in the checkpoint folder."""
+    """K6: deep trees on ``bounded`` rows; node ids are kept with the rows, their lineage cut in the checkpoint folder.
+
+    The rows are dealt by hash to slices of about ``SLICE`` at most: Spark ML keeps every feature of
+    a row as a number, so that a row takes 16 KB where its bits took a few hundred bytes.
+    """
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="label", numTrees=trees, seed=SEED, maxDepth=depth, cacheNodeIds=True, checkpointInterval=10)
-    return Pipeline(stages=[forest]).fit(bounded(df, most))
+    rows = bounded(df, most)
+    return Pipeline(stages=[forest]).fit(rows.repartition(1 + most // SLICE, _drawn(rows)))
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -42,3 +42,15 @@ def test_scores_from_texts_equal_those_from_keys(spark):
     by_text = {r["id"]: (r["any_correct"], r["all_correct"]) for r in J.score_predictions(truth, guess).collect()}
     by_key = {r["id"]: (r["any_correct"], r["all_correct"]) for r in J.correctness(J.with_keys(truth), J.with_keys(guess)).collect()}
     assert by_text == by_key == {1: (1, 0), 2: (1, 1), 3: (0, 0), 4: (0, 0)}
+
+
+def test_rows_of_a_fit_are_dealt_evenly_whatever_the_classes(spark, monkeypatch):
+    """Neither the draw by class nor the fit may leave the rows to as few tasks as there are classes."""
+    rows = spark.range(0, 6000, 1, 8).selectExpr("id", "cast(id % 2 as double) AS label")
+    drawn = K.bounded(rows, 3000)
+    assert max(r["count"] for r in drawn.groupBy(F.spark_partition_id()).count().collect()) < 800
+    seen = []
+    monkeypatch.setattr(K, "Pipeline", lambda stages: type("P", (), {"fit": lambda self, df: seen.append(df)})())
+    K.train(rows.coalesce(1), most=20_000)
+    dealt = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert len(dealt) == 6 and max(dealt) < 1300
