@@ -1,6 +1,9 @@
 """Input files as DataFrames."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,18 @@ def _tidy(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(t) for c, t in named if t and not t.startswith("_c")])
 
 
+@contextmanager
+def _few_listings(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed by as many tasks as a shuffle has, not by one task each."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def read_molecules(spark: SparkSession, path: str) -> DataFrame:
     """A1: CSV with a header that may hold blanks or a trailing comma."""
     return _tidy(spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True))
@@ -40,7 +55,8 @@ def read_routes(spark: SparkSession, path: str, schema: str | None = None) -> Da
     reader = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken")
     if schema is not None:
         reader = reader.schema(f"{schema}, _broken string")
-    docs = reader.json(path)
+    with _few_listings(spark):
+        docs = reader.json(path)
     if "route_id" in docs.columns:
         return docs.withColumn("route_id", F.col("route_id").cast("bigint"))
     named = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)[^0-9]*$", 1)
@@ -83,7 +99,8 @@ def read_configs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
 
     Partition columns of the folder, such as a configuration's id, lead each row.
     """
-    text = spark.read.text(path, wholetext=True)
+    with _few_listings(spark):
+        text = spark.read.text(path, wholetext=True)
     ids = [c for c in text.columns if c != "value"]
     model = "struct<internal_name:string,display_name:string,supports_advanced_prompt:boolean,supports_stability_check:boolean,supports_hallucination_check:boolean>"
     schema = f"llm_models map<string,{model}>, defaults map<string,string>, _broken string"

@@ -11,8 +11,14 @@ def write_routes(df: DataFrame, root: str) -> None:
 
 
 def write_documents(df: DataFrame, root: str, key: str, text: str) -> None:
-    """One file per row: the text under ``key=<value>/``."""
-    df.select(key, F.col(text).alias("value")).write.partitionBy(key).text(root)
+    """One file per row: the text under ``key=<value>/``.
+
+    Making a folder costs more than its text, so the rows are dealt over all tasks, however small
+    they are, and each task moves its own files in place; the driver would do so one by one.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.select(key, F.col(text).alias("value")).repartition(n, key).write.option(
+        "mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(key).text(root)
 
 
 def save_result(df: DataFrame, path: str) -> None:

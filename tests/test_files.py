@@ -54,3 +54,18 @@ def test_rows_of_a_fit_are_dealt_evenly_whatever_the_classes(spark, monkeypatch)
     K.train(rows.coalesce(1), most=20_000)
     dealt = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
     assert len(dealt) == 6 and max(dealt) < 1300
+
+
+def test_documents_are_written_by_many_tasks_and_listed_by_few(spark, tmp_path, monkeypatch):
+    rows = spark.range(40).selectExpr("id AS route_id", "concat('{\"name\": \"', id, '\"}') AS text").coalesce(1)
+    root = str(tmp_path / "docs")
+    writers.write_documents(rows, root, "route_id", "text")
+    files = list((tmp_path / "docs").glob("route_id=*/part-*"))
+    assert len(files) == 40 and len({f.name.split("-")[1] for f in files}) > 1
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, seen = spark.conf.get(key, None), []
+    real = type(spark.read).json
+    monkeypatch.setattr(type(spark.read), "json", lambda self, path: seen.append(spark.conf.get(key)) or real(self, path))
+    got = {r["route_id"]: r["name"] for r in readers.read_routes(spark, root, "name string").collect()}
+    assert got == {i: str(i) for i in range(40)}
+    assert seen == [spark.conf.get("spark.sql.shuffle.partitions")] and spark.conf.get(key, None) == before
