@@ -74,3 +74,20 @@ def test_a_key_stored_twice_answers_each_row_once(spark):
     out, added = I.compute_missing(inputs, memo, "f", ["x"], lambda m: m.withColumn("result", F.upper("x")))
     assert sorted((r["id"], r["result"]) for r in out.collect()) == [(1, "A"), (2, "A"), (3, "B")]
     assert [r["result"] for r in added.collect()] == ["B"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_target_goes_through_the_driver(spark, table, tmp_path):
+    table([*POOL, "C", "CO"]).write.parquet(str(tmp_path / "m"))
+    molecules = spark.read.parquet(str(tmp_path / "m"))
+    pairs = molecules.select(F.col("mol_id").alias("pair_id"), F.col("mol_id").alias("target"), F.floor(F.col("mol_id") / 10).alias("query"))
+    found = M.contains(pairs, M.match_form(G.structures(molecules)))
+    assert "BroadcastExchange" not in _plan(found)
+    s = G.structures(molecules)
+    few, many = M.search(s, s), M.search(s, s, few=0)
+    assert "BroadcastHashJoin [target" not in _plan(few) and "BroadcastHashJoin [target" not in _plan(many)
+    assert "BroadcastHashJoin [query" not in _plan(many)
+    assert {tuple(r) for r in few.collect()} == {tuple(r) for r in many.collect()} != set()
