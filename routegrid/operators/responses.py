@@ -96,7 +96,7 @@ def first_good_attempt(
     if check_stability:
         kept = stability_filter(kept, key)
     if check_consistency:
-        kept = consistency_filter(stage(kept), key)
+        kept = consistency_filter(kept, key)
     kept = stage(kept)
     first = kept.groupBy("target").agg(F.min("rank.attempt").alias("attempt"))
     return (

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rows import count_if, let, total
+from ..plans.staging import stage
 from .compare import text_structures
 from .molecule import bridgeheads, ring_kinds, rotatable_bonds
 
@@ -291,6 +292,7 @@ def stability_filter(pathways: DataFrame, key: Sequence[str], scores: DataFrame
     ``key`` names the columns that tell pathways apart.  Counts per pathway combine before the shuffle; the reactant lists themselves stay put.
     """
     key = list(key)
+    pathways = stage(pathways)  # read three times below
     parts = pathways.select(*key, F.explode("reactants").alias("smiles"))
     if scores is None:
         scores = stability(text_structures(parts))

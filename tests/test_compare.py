@@ -1,7 +1,10 @@
+import itertools
+
 from pyspark.sql import functions as F
 
 from routegrid.operators import compare as D
 from routegrid.operators import graph as G
+from routegrid.operators import stability as E
 
 PAIRS = [
     ("c1ccccc1CC(N)C(=O)O", "c1ccccc1CC(N)C(=O)O"), ("CC", "CCC"), ("CSO", "CCO"), ("CCO", "CCCl"), ("CCCO", "CC(O)C"),
@@ -65,3 +68,37 @@ def test_substituent_members(table):
     subs = D.substituents(G.structures(table(["CC(C)c1ccc(N)cc1"]))).collect()
     assert {(tuple(s["members"]), s["position"], s["signature"]) for s in subs} == {
         ((0, 1, 2), "para", "C3"), ((7,), "para", "N1")}
+
+
+def test_filters_write_what_they_read_again(spark, monkeypatch):
+    """Lines carry no feature that the score leaves alone; scores stand written before a filter may move into them."""
+    written = []
+
+    def recorded(module):
+        real = module.stage
+        monkeypatch.setattr(module, "stage", lambda df: (written.append(df.schema.simpleString()), real(df))[1])
+
+    recorded(D)
+    recorded(E)
+    df = spark.createDataFrame([("CCO", 0, ["CC", "O"]), ("C1CC1", 0, ["C1C", "CC1"]), ("CCO", 1, ["c1ccccc1", "O"])],
+                               "target string, rank int, reactants array<string>")
+    kept = {(r["target"], r["rank"]) for r in D.consistency_filter(df, ("target", "rank")).collect()}
+    scores = {(r["target"], r["rank"]): r["severity"] for r in D.consistency_scores(D.pathway_table(df)).collect()}
+    assert kept == {k for k, band in scores.items() if band in ("low", "medium")} and 0 < len(kept) < len(scores)
+    steps = written[:written.index("struct<target:string,rank:int,severity:string>") + 1]
+    assert steps[0] == df.schema.simpleString() and not any("envs" in s for s in steps) and not any("places" in s for s in steps[3:])
+    written.clear()
+    assert E.stability_filter(df, ("target", "rank")).count() == 2
+    assert written[0] == df.schema.simpleString()
+
+
+def test_texts_that_cannot_be_read_when_joined(spark, table):
+    """No joined text that is read is ruled out, and the parts that are broken in themselves rule out theirs."""
+    parts = ["CC", "C1CC", "CC1", "C(C", "CC)C", "C)C(C", "C=", "=C", ".C", "C.", "Cx", "C[Na", "C]", "C(C)(C)(C)(C)C", "(C)", "C1CC1(C)(C)(C)C", "C%01C", "", "C(=O", "C1.C1", "[Zz2"]
+    texts = [".".join(p) for n in (1, 2, 3) for p in itertools.product(parts, repeat=n)]
+    read = {r["smiles"] for r in table(texts).join(G.graph(table(texts)), "mol_id").where("valid").select("smiles").collect()}
+    closed = {r[0] for r in table(texts).where(G.closes(F.col("smiles"))).select("smiles").collect()}
+    alone = {r["smiles"] for r in table(parts).where(G.spoils_any(F.col("smiles"))).select("smiles").collect()}
+    spoilt = [".".join(p) for n in (1, 2, 3) for p in itertools.product(parts, repeat=n) if set(p) & (alone - read)]
+    assert read <= closed < set(texts) and {"C1CC.CC1", "C(C.CC)C", "CC.=C"} <= read
+    assert not read & set(spoilt) and {"C=", "Cx", "C[Na", "C]", "C(C)(C)(C)(C)C"} <= alone and not alone & {"C1CC", "C(C", "CC)C", "=C", ""}
