@@ -57,8 +57,9 @@ def validity_filter(candidates: DataFrame, key: Sequence[str]) -> DataFrame:
     """
     key = list(key)
     parts = candidates.select(*key, *[c for c in ["target"] if c not in key], F.posexplode("reactants").alias("place", "smiles"))
-    s = stage(text_structures(parts.select("smiles").union(candidates.select("target"))))
-    prints = fingerprint(s, 2, 1024).select("mol_id", F.array_join("bits", ",").alias("bits"))
+    parts = stage(parts)  # answers are parsed once for all that follows, bits are computed once for both joins
+    s = stage(text_structures(parts.select("smiles").union(parts.select("target"))))
+    prints = stage(fingerprint(s, 2, 1024).select("mol_id", F.array_join("bits", ",").alias("bits")))
     keyed = (
         parts.withColumn("part", F.md5("smiles")).withColumn("whole", F.md5("target"))
         .join(prints.select(F.col("mol_id").alias("part"), F.col("bits").alias("part_bits")), "part", "left")

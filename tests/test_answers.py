@@ -79,3 +79,15 @@ def test_validity_filter_tells_answers_apart(spark):
     df = spark.createDataFrame(rows, "id int, target string, rank int, reactants array<string>")
     assert {r["id"] for r in R.validity_filter(df, ("id", "rank")).collect()} == {1, 3}
     assert {r["id"] for r in R.validity_filter(df, ("target", "rank")).collect()} == {3}
+
+
+def test_validity_filter_parses_once(spark, monkeypatch):
+    """Candidates are read for their parts and for the result, never again."""
+    written = []
+    real = R.stage
+    monkeypatch.setattr(R, "stage", lambda df: (written.append(df.schema.simpleString()), real(df))[1])
+    rows = [("CCO", 0, ["CC", "O"]), ("CCO", 1, ["OCC"]), ("CC", 2, ["CCC"]), ("CCO", 3, ["Cx"]), ("CCO", 4, []), ("Cx", 5, ["CC"])]
+    df = spark.createDataFrame(rows, "target string, rank int, reactants array<string>")
+    assert {r["rank"] for r in R.validity_filter(df, ("target", "rank")).collect()} == {0, 4, 5}
+    assert written[0] == "struct<target:string,rank:int,place:int,smiles:string>"
+    assert written[-1] == "struct<mol_id:string,bits:string>"
