@@ -30,20 +30,28 @@ def best_pathways(candidates: DataFrame) -> DataFrame:
 def solvable_pathways(candidates: DataFrame, stock: DataFrame) -> DataFrame:
     """Strict choice: a molecule is solved if in stock or if all reactants of some pathway
     are.  Grown round by round; a target takes the lowest rank among the pathways complete
-    in the round that first solves it, so the choice cannot run in circles."""
-    parts = stage(candidates.select("target", "rank", "ord", "smiles", "confidence"))
-    need = stage(parts.groupBy("target", "rank").agg(F.count(F.lit(1)).alias("need")))
-    solved = stage(stock.select("smiles").distinct())
-    chosen = None
-    while True:
-        have = parts.join(solved, "smiles", "left_semi").groupBy("target", "rank").agg(F.count(F.lit(1)).alias("have"))
-        done = need.join(have, ["target", "rank"]).where("need = have").groupBy("target").agg(F.min("rank").alias("rank"))
-        fresh = stage(done.join(solved, F.col("target") == F.col("smiles"), "left_anti"))
-        if fresh.isEmpty():
-            break
-        chosen = fresh if chosen is None else chosen.unionByName(fresh)
-        solved = stage(solved.unionByName(fresh.select(F.col("target").alias("smiles"))))
-    return parts.limit(0) if chosen is None else parts.join(chosen, ["target", "rank"], "left_semi")
+    in the round that first solves it, so the choice cannot run in circles.
+
+    All candidates meet the stock once.  Rounds go on from the reactants that were not in it, of
+    targets not solved yet, and meet only what the round before solved."""
+    parts = candidates.select("target", "rank", "ord", "smiles", "confidence")
+    known = stage(stock.select("smiles").distinct())
+    placed = parts.where("target IS NOT NULL AND rank IS NOT NULL").select("target", "rank", "smiles")
+    missing = stage(placed.join(known, "smiles", "left_anti"))
+    pathway = ["target", "rank"]
+    done = placed.select(*pathway).distinct().join(missing.select(*pathway).distinct(), pathway, "left_anti")
+    in_stock = known.select(F.col("smiles").alias("target"))
+    fresh = stage(done.groupBy("target").agg(F.min("rank").alias("rank")).join(in_stock, "target", "left_anti"))
+    chosen, gone = [], in_stock
+    while not fresh.isEmpty():
+        chosen.append(fresh)
+        gone = fresh.select("target") if gone is None else fresh.select("target").unionByName(gone)
+        now = fresh.select(F.col("target").alias("smiles"), F.lit(True).alias("_now"))
+        met = stage(missing.join(gone, "target", "left_anti").join(now, "smiles", "left").select("target", "rank", "smiles", "_now"))
+        done = met.groupBy(*pathway).agg(F.count("_now").alias("have"), F.count(F.lit(1)).alias("need")).where("have = need")
+        fresh = stage(done.groupBy("target").agg(F.min("rank").alias("rank")))
+        missing, gone = met.where("_now IS NULL").drop("_now"), None
+    return parts.join(union_all(chosen), pathway, "left_semi") if chosen else parts.limit(0)
 
 
 def _shared_graph(targets: DataFrame, best: DataFrame, stock: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -38,6 +38,37 @@ def test_expand_strict(spark):
     assert got == {((), "T", "expanded"), ((0,), "A", "expanded"), ((1,), "B", "expanded"), ((0, 0), "S2", "stock"), ((1, 0), "S1", "stock")}
 
 
+def test_strict_choice_carries_only_what_is_missing(spark, monkeypatch):
+    import random
+    rng, rows = random.Random(5), []
+    for t in range(60):
+        rows += [(f"M{t}", k, [rng.choice(["S1", "S2", "N"] + [f"M{i}" for i in range(60)]) for _ in range(rng.randint(1, 4))]) for k in range(3)]
+    rows += [("S1", 0, ["S2"]), ("M0", None, ["S1"]), (None, 0, ["S1"]), ("M1", 7, [None]), ("M2", 9, ["S2", "S2"])]
+    solved, want = {"S1", "S2"}, {}
+    while True:  # round by round, by hand
+        done = {}
+        for t, k, ms in rows:
+            if t is not None and k is not None and t not in solved and all(m in solved for m in ms):
+                done[t] = min(k, done.get(t, k))
+        if not done:
+            break
+        want.update(done)
+        solved |= set(done)
+    cands, sizes, write = _cands(spark, rows), [], R.stage
+
+    def counted(df):
+        out = write(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(R, "stage", counted)
+    got = R.solvable_pathways(cands, spark.createDataFrame([("S1",), ("S2",)], "smiles string")).collect()
+    assert {(r["target"], r["rank"]) for r in got} == set(want.items())
+    assert len(got) == sum(len(ms) for t, k, ms in rows if want.get(t, -1) == k)
+    # the first table after the stock holds what is not in stock; each further one no more than it
+    assert max(sizes) == sum(m not in ("S1", "S2") for t, k, ms in rows if t is not None and k is not None for m in ms)
+
+
 def test_flatten_and_dependencies(spark):
     basic = spark.createDataFrame([("S1",)], "smiles string")
     steps, mols, deps = R.format_route(_expand(spark), basic)
