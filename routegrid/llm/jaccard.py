@@ -14,6 +14,8 @@ from .frames import KEY, batch_of, id_type, join_rows, list_of, row_key, texts
 from .hashing import SPACED, U64, gram_hashes, gram_owners, mix, signed, slices, text_buffer, whole, word_hashes
 
 _SKETCH_BITS = 18
+_WORDS = 8  # 64-bit words of a text's parities
+_PARITIES = [f"w{i}" for i in range(_WORDS)]
 
 
 def _sets(part: pa.RecordBatch, k: int, column: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,6 +83,27 @@ def _prefixes(shingles: np.ndarray, offs: np.ndarray, frequency: np.ndarray, per
     return out
 
 
+def _parities(shingles: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+    """For each set, whether an odd number of its shingles falls into each of 512 slots, as 8 words.
+
+    Every shingle that only one of two sets has turns one bit, so the bits that differ are never
+    more than these shingles.
+    """
+    slot = mix(shingles + U64(0x9E37)) >> U64(58 - (_WORDS - 1).bit_length())
+    bit, word = U64(1) << (slot & U64(63)), slot >> U64(6)
+    out = []
+    for w in range(_WORDS):
+        running = np.concatenate([np.zeros(1, U64), np.bitwise_xor.accumulate(np.where(word == w, bit, U64(0)))])
+        out.append(running[offs[1:]] ^ running[offs[:-1]])
+    return out
+
+
+def _fits(percent: int) -> Column:
+    """Whether the sizes and parities of sets a and b allow the similarity: (100 + percent) times what only one has <= (100 - percent) times both sizes."""
+    differ = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in _PARITIES[1:]), F.bit_count(F.col("w0_a").bitwiseXOR(F.col("w0_b"))))
+    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+
+
 def _verified(pairs: DataFrame, contents: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,15 +124,14 @@ def _verified(pairs: DataFrame, contents: DataFrame, k: int, percent: int) -> Da
 
 
 def _filtered(pairs: DataFrame, prefixes: DataFrame, percent: int, orders: int) -> DataFrame:
-    """The pairs (a, b) whose sizes allow the similarity and that share a prefix shingle under every order.
+    """The pairs (a, b) whose sizes and parities allow the similarity and that share a prefix shingle under every order.
 
-    Sizes come first, so that only the pairs they leave carry prefixes through a shuffle.
+    Sizes and parities come first, so that only the pairs they leave carry prefixes through a shuffle.
     """
     def side(name: str, columns: list[str]) -> DataFrame:
         return prefixes.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
-    pairs = pairs.join(side("a", ["n"]), "a").join(side("b", ["n"]), "b").where(
-        F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b")
+    pairs = pairs.join(side("a", ["n", *_PARITIES]), "a").join(side("b", ["n", *_PARITIES]), "b").where(_fits(percent)).select("a", "b")
     others = [f"p{o}" for o in range(1, orders)]
     meet: Column = F.lit(True)
     for c in others:
@@ -125,13 +147,14 @@ def _linked(docs: DataFrame, k: int = 5, percent: int = 80, orders: int = 3) ->
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 2 << 20):
             shingles, offs, sequence = _sets(part, k)
-            out = {KEY: part.column(KEY), "doc_id": part.column("doc_id"), "node": signed(sequence), "n": np.diff(offs)}
+            out = {KEY: part.column(KEY), "doc_id": part.column("doc_id"), "node": signed(sequence), "n": np.diff(offs),
+                   **dict(zip(_PARITIES, map(signed, _parities(shingles, offs))))}
             for o, (tokens, ends) in enumerate(_prefixes(shingles, offs, frequency, percent, orders)):
                 # filters of further orders work on 32 bits: they may pass too much, never too little
                 out[f"p{o}"] = list_of(signed(tokens) if o == 0 else (tokens >> U64(32)).astype(np.uint32).view(np.int32), ends)
             yield batch_of(out)
 
-    schema = f"{KEY} long, doc_id {id_type(docs)}, node long, n long, p0 array<long>" + "".join(f", p{o} array<int>" for o in range(1, orders))
+    schema = f"{KEY} long, doc_id {id_type(docs)}, node long, n long, " + "".join(f"{w} long, " for w in _PARITIES) + "p0 array<long>" + "".join(f", p{o} array<int>" for o in range(1, orders))
     base = stage(rows.mapInArrow(read, schema))
 
     indexed = base.select("node", "n", F.explode("p0").alias("token"))
@@ -143,7 +166,7 @@ def _linked(docs: DataFrame, k: int = 5, percent: int = 80, orders: int = 3) ->
     members = stage(indexed.join(buckets, "token").select("token", "node", "n", "centre").distinct())
     nodes = members.select("node").distinct()
     known = base.join(nodes, "node")
-    prefixes = stage(known.groupBy("node").agg(F.min(KEY).alias(KEY), *[F.first(c).alias(c) for c in ("n", *[f"p{o}" for o in range(1, orders)])]))
+    prefixes = stage(known.groupBy("node").agg(F.min(KEY).alias(KEY), *[F.first(c).alias(c) for c in ("n", *_PARITIES, *[f"p{o}" for o in range(1, orders)])]))
 
     def contents(pairs: DataFrame) -> DataFrame:
         """The texts of the nodes of some pairs."""
@@ -168,15 +191,15 @@ def _linked(docs: DataFrame, k: int = 5, percent: int = 80, orders: int = 3) ->
     labels = stage(components(links))
     tested = spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    placed = stage(members.join(labels, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label")))
+    placed = stage(members.join(labels, "node", "left").join(prefixes.select("node", *_PARITIES), "node").select(
+        "token", "node", "n", *_PARITIES, F.coalesce("label", "node").alias("label")))
     largest = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(
         F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     mixed = placed.join(largest, "token")
-    outer = mixed.where("label <> main").select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    inner = mixed.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), "main")
+    outer, inner = (rows.select("token", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "label", *_PARITIES)], *more)
+                    for x, rows, more in (("a", mixed.where("label <> main"), []), ("b", mixed, ["main"])))
     # a pair of two outer nodes comes up from both sides; it is kept from one
-    rest = outer.join(inner, "token").where(
-        f"label_a <> label_b AND (label_b = main OR a < b) AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select(
+    rest = outer.join(inner, "token").where(F.expr("label_a <> label_b AND (label_b = main OR a < b)") & _fits(percent)).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     rest = stage(_filtered(rest, prefixes, percent, orders))
     more = stage(_verified(rest, contents(rest), k, percent)) if not rest.isEmpty() else rest
