@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from routegrid.llm import bpe, decontaminate, jaccard, language, suffixes
 from routegrid.llm.frames import small_batches
-from routegrid.plans.staging import checkpoint_root
+from routegrid.plans.staging import checkpoint_root, released, write_once
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = f"{checkpoint_root(spark)}/pipeline/{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{number}")
-        docs = spark.read.parquet(f"{root}/{number}")
+        with released(spark):  # nothing but its output is read after a stage
+            docs = write_once(stage(spark, docs, sf_dir), f"{root}/{number}")
     return docs

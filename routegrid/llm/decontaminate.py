@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import stage
+from ..plans.staging import released, stage
 from .frames import KEY, batch_of, id_type, join_rows, list_of, row_key, texts
 from .hashing import LETTERED, U64, gram_hashes, gram_owners, mix, signed, slices, text_buffer, window_min, word_hashes
 
@@ -157,6 +157,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int
 
 def clean(docs: DataFrame, benchmark: DataFrame, **limits: int) -> DataFrame:
     """The documents that are not contaminated, with all their columns; each row is judged by its own id, null or not, and text."""
-    bad = _marked(docs, benchmark, **limits).where("contaminated").select(KEY, "doc_id").distinct()
+    with released(docs.sparkSession) as keep:
+        bad = keep(_marked(docs, benchmark, **limits).where("contaminated").select(KEY, "doc_id").distinct())
     rows = docs.select(row_key("doc_id", "text").alias(KEY), "doc_id", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     return join_rows(rows, bad, "left_anti").select("row.*")

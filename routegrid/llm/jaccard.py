@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import stage
+from ..plans.staging import released, stage
 from .components import components
 from .frames import KEY, batch_of, id_type, join_rows, list_of, row_key, texts
 from .hashing import SPACED, U64, gram_hashes, gram_owners, mix, signed, slices, text_buffer, whole, word_hashes
@@ -242,14 +242,15 @@ def one_of_each(docs: DataFrame, **limits: int) -> DataFrame:
     Rows are told apart by id and text: rows that share an id are judged one by one, and of
     rows equal in both one stays.  A text without shingles is alone, so only its equal rows go.
     """
-    # a label and a row key may be the same number, so "n > 0" is part of the group
-    each = stage(_linked(docs, **limits).groupBy(
-        KEY, "doc_id", (F.col("n") > 0).alias("some"), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col(KEY)).alias("part")
-    ).agg(F.count(F.lit(1)).alias("times")))
-    kept = each.groupBy("some", "part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", KEY)).alias("least")).select(
-        F.col("least")[KEY].alias(KEY), F.col("least")["doc_id"].alias("doc_id"))
-    repeated = stage(join_rows(each.where("times > 1"), kept, "left_semi").select(KEY, "doc_id"))
-    left = stage(join_rows(each, kept, "left_anti").select(KEY, "doc_id").unionByName(repeated))
+    with released(docs.sparkSession) as keep:  # only the rows that go are read later
+        # a label and a row key may be the same number, so "n > 0" is part of the group
+        each = stage(_linked(docs, **limits).groupBy(
+            KEY, "doc_id", (F.col("n") > 0).alias("some"), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col(KEY)).alias("part")
+        ).agg(F.count(F.lit(1)).alias("times")))
+        kept = each.groupBy("some", "part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", KEY)).alias("least")).select(
+            F.col("least")[KEY].alias(KEY), F.col("least")["doc_id"].alias("doc_id"))
+        repeated = keep(join_rows(each.where("times > 1"), kept, "left_semi").select(KEY, "doc_id"))
+        left = keep(join_rows(each, kept, "left_anti").select(KEY, "doc_id").unionByName(repeated))
     rows = docs.select(row_key("doc_id", "text").alias(KEY), "doc_id", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     out = join_rows(rows, left, "left_anti")
     if not repeated.isEmpty():

@@ -7,6 +7,7 @@ import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
 pytest.importorskip("public_tokenizers")
+staging = pytest.importorskip("routegrid.plans.staging")
 
 
 def words(rng, n, stems):
@@ -61,3 +62,30 @@ def test_stages_keep_their_columns(spark, tmp_path, rows):
 
 def test_empty_table(spark, tmp_path):
     assert pipeline.run(spark, written(spark, tmp_path, [], [])).count() == 0
+
+
+def test_disk_between_stages(spark, tmp_path, rows, monkeypatch):
+    """A stage leaves two staged tables at most, of what it cuts; a run leaves none, and its outputs are written with the clean-up of shuffle files."""
+    docs, _, item = rows
+    root = tmp_path / "checkpoints"
+    monkeypatch.setattr(pipeline, "checkpoint_root", lambda _: str(root))
+    monkeypatch.setattr(staging, "checkpoint_root", lambda _: str(root))
+    left, writes = [], []
+
+    def staged():
+        return {p.name for p in root.glob("staged/*")}
+
+    def watched(stage):
+        def run(*given):
+            before = staged()
+            out = stage(*given)
+            left.append((len(before), len(staged() - before)))
+            return out
+        return run
+
+    once = staging.write_once
+    monkeypatch.setattr(pipeline, "STAGES", [(name, watched(stage)) for name, stage in pipeline.STAGES])
+    monkeypatch.setattr(pipeline, "write_once", lambda df, path: writes.append(path) or once(df, path))
+    pipeline.run(spark, written(spark, tmp_path / "tables", docs, [(1, item)]))
+    assert [before for before, _ in left] == [0] * 5 and not staged() and len(writes) == 5
+    assert [after for _, after in left[1:]] == [2, 1, 1, 0]
