@@ -1,11 +1,10 @@
-"""Reaction classification with Spark ML."""
+"""Reaction classification in Spark ML pipelines."""
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import CountVectorizerModel, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,15 +12,15 @@ from pyspark.sql import types as T
 
 from ..plans.staging import stage
 from .compare import text_structures
+from .forest import Forest
 from .molecule import fingerprint
 
 # Fingerprint bits per side, trees and seed of the classifier.
 BITS = 2048
 TREES = 100
 SEED = 42
-DEPTH = 20  # levels of a tree; Spark allows 30
-FITTED = 200_000  # rows a forest is fitted on, at most about
-SLICE = 4_000  # rows a task of the fit holds, about
+DEPTH = 20  # levels of a tree
+SLICE = 4_000  # rows a task holds, about, where a caller bounds them
 
 
 def split_rows(df: DataFrame, part: str) -> DataFrame:
@@ -73,7 +72,7 @@ def _drawn(df: DataFrame) -> Column:
     return F.pmod(F.xxhash64(*[c for c in df.columns if c != "features"]), F.lit(1 << 30))
 
 
-def bounded(df: DataFrame, most: int = FITTED, label: str = "label") -> DataFrame:
+def bounded(df: DataFrame, most: int, label: str = "label") -> DataFrame:
     """About ``most`` rows at most, an equal share of each class first given to the small ones; all rows if there are no more.
 
     A row's features decide whether it is in, so the choice is the same in every run.  The
@@ -92,16 +91,12 @@ def bounded(df: DataFrame, most: int = FITTED, label: str = "label") -> DataFram
     return df.withColumn("_drawn", _drawn(df) / F.lit(float(1 << 30))).join(F.broadcast(wanted), label).where("_drawn < _share").drop("_drawn", "_share")
 
 
-def train(df: DataFrame, trees: int = TREES, depth: int = DEPTH, most: int = FITTED) -> PipelineModel:
-    """K6: deep trees on ``bounded`` rows; node ids are kept with the rows, their lineage cut in the checkpoint folder.
-
-    The rows are dealt by hash to slices of about ``SLICE`` at most: Spark ML keeps every feature of
-    a row as a number, so that a row takes 16 KB where its bits took a few hundred bytes.
-    """
-    forest = RandomForestClassifier(
-        featuresCol="features", labelCol="label", numTrees=trees, seed=SEED, maxDepth=depth, cacheNodeIds=True, checkpointInterval=10)
-    rows = bounded(df, most)
-    return Pipeline(stages=[forest]).fit(rows.repartition(1 + most // SLICE, _drawn(rows)))
+def train(df: DataFrame, trees: int = TREES, depth: int = DEPTH, most: int | None = None) -> PipelineModel:
+    """K6: deep trees on every row; on ``bounded`` ones only if a caller says so, then dealt by hash to slices of about ``SLICE``."""
+    rows = df if most is None else bounded(df, most)
+    if most is not None:
+        rows = rows.repartition(1 + most // SLICE, _drawn(rows))
+    return Pipeline(stages=[Forest(2 * BITS, trees, depth, SEED)]).fit(rows)
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
