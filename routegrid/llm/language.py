@@ -208,13 +208,11 @@ def fit(labelled: DataFrame, order: int = 4, discount: float = 0.75, fit_chars:
         for part in slices(batches, "text", 1 << 20):
             chars, offs, _ = characters(part.column("text").to_pylist())
             grams = Grams(chars, offs, order)
-            columns = {"language": np.asarray(part.column("language"))[grams.owner]}
-            for n in range(order + 1):
-                columns[f"g{n}"] = signed(grams.at(n))
-            for n in range(order):
-                columns[f"c{n}"] = signed(grams.at(n, back=1))
-            counted = pd.DataFrame(columns)
-            yield batch_of(dict(counted.groupby(list(columns), as_index=False).size().rename(columns={"size": "n"}).items()))
+            owner = np.asarray(part.column("language"))[grams.owner]
+            # the longest n-gram tells all its tails: the other columns are made once for each
+            _, at, n = np.unique(mix(grams.at(order) ^ mix(owner.astype(U64) + U64(1))), return_index=True, return_counts=True)
+            columns = {"language": owner[at]} | {f"g{k}": signed(grams.at(k, at)) for k in range(order + 1)} | {f"c{k}": signed(grams.at(k, at, 1)) for k in range(order)}
+            yield batch_of(columns | {"n": n})
 
     keys = ["language", *[f"g{n}" for n in range(order + 1)], *[f"c{n}" for n in range(order)]]
     schema = "language int, " + ", ".join(f"{k} long" for k in keys[1:]) + ", n long"
